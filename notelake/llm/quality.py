@@ -140,35 +140,31 @@ def estimated(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, round_).alias("p")).select("p.*")
 
 
-def judged(docs: DataFrame, columns: list[str], threshold: float = 0.5) -> DataFrame:
-    """``columns`` of each row with its figures, base_failed, votes, p_good and kept.
+def _scored(docs: DataFrame, columns: list[str], threshold: float) -> DataFrame:
+    """The columns as _c_0, _c_1, ..., which no figure can replace, the figures, p_good and kept.
 
-    Documents that fail the base rules are not kept and take no part in estimating accuracies. Null, empty and
-    blank texts fail. Rows that repeat count each; an empty table gives no rows; other columns are left out.
-    The figures are written once, without the texts; estimating and judging read them.
+    Columns and figures are written once; estimating and judging read them. (Filters on figures that are not
+    written would be pushed below the projections that compute them, and compute them again in each use.)
     """
-    # Figures must not replace columns of the same name that the caller asks for.
     df = measured(docs.select(*[F.col(c).alias(f"_c_{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("text"))).drop("text")
     df = materialise(df.withColumn("base_failed", base_failed()).withColumn("votes", votes()), "quality")
     patterns = df.filter("not base_failed").groupBy(F.col("votes").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     fitted = F.broadcast(estimated(patterns))  # one row
     df = df.crossJoin(fitted).withColumn("p_good", posterior(F.col("votes"), F.col("on_good"), F.col("on_bad"), F.col("prior")))
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop("prior", "on_good", "on_bad")
-    return df.select(*[F.col(f"_c_{i}").alias(c) for i, c in enumerate(columns)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes", "p_good", "kept")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
-def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, with their columns.
+def judged(docs: DataFrame, columns: list[str], threshold: float = 0.5) -> DataFrame:
+    """``columns`` of each row with its figures, base_failed, votes, p_good and kept.
 
-    Verdicts follow from the text alone once accuracies are known: they are a function of the votes, and the
-    few patterns of votes that are kept (3 ** rules at most) join back to texts measured once more.
+    Documents that fail the base rules are not kept and take no part in estimating accuracies. Null, empty and
+    blank texts fail. Rows that repeat count each; an empty table gives no rows; other columns are left out.
     """
-    slim = materialise(measured(docs.select(F.col("text").cast("string").alias("text"))).filter(~base_failed()).select(votes().alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")), "quality-patterns")
-    fitted = F.broadcast(estimated(slim))
-    good = slim.crossJoin(fitted).filter(posterior(F.col("v"), F.col("on_good"), F.col("on_bad"), F.col("prior")) >= threshold)
-    good = materialise(good.select(F.col("v").alias("_good")), "quality-kept")
-    row = F.struct(*docs.columns)
-    df = measured(docs.select(row.alias("_row"), F.col("text").cast("string").alias("text")))
-    df = df.filter(~base_failed()).withColumn("_votes", votes())
-    df = df.join(F.broadcast(good), F.col("_votes") == F.col("_good"), "left_semi")
-    return df.select("_row.*")
+    own = [F.col(f"_c_{i}").alias(c) for i, c in enumerate(columns)]
+    return _scored(docs, columns, threshold).select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes", "p_good", "kept")
+
+
+def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with their columns."""
+    own = [F.col(f"_c_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return _scored(docs, docs.columns, threshold).filter("kept").select(*own)
