@@ -32,6 +32,20 @@ _PER_WORD = np.array([1, *COUNTS, 0], dtype=np.int64)
 _FOOT = struct.Struct("<QQQ8s")
 
 
+_SHORT = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
+
+
+def _bit_lengths(x: np.ndarray) -> np.ndarray:
+    if len(x) and x.max() < 1 << 16:
+        return _SHORT[x.astype(np.uint16)]
+    need, rest = np.zeros(len(x), dtype=np.uint8), x.copy()
+    for step in (48, 32, 16):
+        big = rest >> np.uint64(step) > 0
+        need[big] += step
+        rest[big] >>= np.uint64(step)
+    return need + _SHORT[rest.astype(np.uint16)]
+
+
 def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes runs of unsigned 64-bit ids, one after the other in ``values``.
 
@@ -48,13 +62,7 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     place = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(values))
     room = np.zeros(int((sizes + pad).sum()) + pad, dtype=np.uint64)
     room[place] = values
-    need = np.zeros(len(room), dtype=np.uint8)  # bits of each id
-    rest = room.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >> np.uint64(step) > 0
-        need[big] += step
-        rest[big] >>= np.uint64(step)
-    need += rest.astype(np.uint8)
+    need = _bit_lengths(room)
     selector = np.where(need > BITS[-1], 0, len(COUNTS)).astype(np.uint8)
     reach, most = 1, need  # most[i]: bits of the largest of the ``reach`` ids from i on
     for k in range(len(COUNTS) - 2, -1, -1):
@@ -63,7 +71,7 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
             by = min(reach, COUNTS[k] - reach)
             np.maximum(grown[:-by], most[by:], out=grown[:-by])
             reach, most = reach + by, grown.copy()
-        selector[(most <= BITS[k]) & (selector > 0)] = k + 1
+        np.putmask(selector, (most <= BITS[k]) & (selector > 0), k + 1)
     jump = _PER_WORD[selector].tolist()
     at, words_per_block = [], np.zeros(len(sizes), dtype=np.int64)
     for b, (i, end) in enumerate(zip(starts.tolist(), (starts + sizes).tolist(), strict=True)):
@@ -233,28 +241,22 @@ def read_file(uri: str, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """(file, doc_id, position, start_in_file, n_tokens, ids: binary of unsigned 32-bit little-endian ids) of all documents of the files."""
-    schema = "file long, doc_id long, start_in_file long, n_tokens long, ids binary"
+    """doc_id, start (ids of all documents before it), n_tokens, ids (binary of unsigned 32-bit little-endian ids)
+    of all documents of the files.
+
+    The starts of files are a prefix sum over the manifest, one row per file; they go to the tasks that read.
+    """
+    before = F.sum("n_ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))
+    files = manifest.select("file", "path", F.coalesce(before, F.lit(0)).cast("long").alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, uri in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = 0
+            for uri, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for doc_ids, lengths, ids in read_file(uri):
                     raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths)
                     parts = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), file)), pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(at + ends - lengths), pa.array(lengths), pa.array(parts, type=pa.binary())], ["file", "doc_id", "start_in_file", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(at + ends - lengths), pa.array(lengths), pa.array(parts, type=pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
                     at += int(ends[-1])
 
-    files = manifest.select("file", "path")
-    return files.repartition(max(1, min(partitions(files.sparkSession) * 4, 10_000)), "file").mapInArrow(run, schema)
-
-
-def token_table(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids: what the files hold, with global starts.
-
-    The starts of files are a prefix sum over the manifest, one row per file.
-    """
-    before = F.sum("n_ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))
-    starts = manifest.select("file", F.coalesce(before, F.lit(0)).alias("first"))
-    return read_tokens(manifest).join(starts, "file").select("doc_id", (F.col("first") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    dealt = files.repartition(max(1, min(partitions(files.sparkSession) * 4, 10_000)), "file")
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
