@@ -7,18 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, simhash, simple8b, warc
+from ..session import ship
+from . import ann, chat, counts, mixing, packing, quality, simhash, simple8b, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file that queries use; operators take a path."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file for the queries; operators take a path."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
+
+
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("embedding"), F.col("vec_id") % 20 == 0)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +33,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = simple8b.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
-    return simple8b.token_table(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return simple8b.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +41,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     schema = "conv_id long, turn long, role string, text string"
@@ -57,6 +67,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -67,5 +81,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_simple8b, op4_simhash, op6_chat, op7_quality, op9_packing, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cross_polytope, op2_mixing, op3_simple8b, op4_simhash, op5_token_counts, op6_chat, op7_quality, op8_urls, op9_packing, op10_warc)}
 ORACLE: dict[str, str] = {}

@@ -105,3 +105,87 @@ def test_warc(spark, sf_dir):
     rows = q.op10_warc(spark, sf_dir).collect()
     assert len(rows) == len(pages)
     assert {r["page_id"]: tuple(r)[1:] for r in rows} == want
+
+
+def test_nearest(spark, sf_dir):
+    import numpy as np
+    from notelake.llm.ann import nearest
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=float)
+    asked = np.flatnonzero(ids % 20 == 0)
+    row, near, s = nearest(ids[asked], x[asked], ids, x, 20)
+    want = {(int(ids[asked][a]), int(b)): c for a, b, c in zip(row, near, s, strict=True)}
+    got = q.op1_cross_polytope(spark, sf_dir).collect()
+    assert len(got) == len(asked) * min(20, len(ids) - 1)
+    found = [(r["query_id"], r["vec_id"]) for r in got]
+    assert len(set(found)) == len(found)
+    assert len(set(found) & set(want)) >= 0.9 * len(want)
+    at = {int(i): v for i, v in zip(ids, x, strict=True)}
+    by_query = defaultdict(list)
+    for r in got:
+        assert r["score"] == pytest.approx(float(at[r["query_id"]] @ at[r["vec_id"]]), abs=1e-12)
+        by_query[r["query_id"]].append((r["rank"], -r["score"], r["vec_id"]))
+    for v in by_query.values():
+        assert [t[0] for t in sorted(v)] == list(range(1, len(v) + 1)) and [t[1:] for t in sorted(v)] == sorted(t[1:] for t in v)
+
+
+def test_token_counts(spark, sf_dir, docs):
+    from notelake.llm.counts import zipf_vocabulary
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = zipf_vocabulary(q.tokenizer_path("piece_bpe_32k.model"))
+    unigram = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    unigram.pre_tokenizer = pre_tokenizers.Metaspace()
+    rows = q.op5_token_counts(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        text = docs[r["doc_id"]]["text"]
+        assert (r["n_tokens"], r["n_chars"]) == (len(unigram.encode(text, add_special_tokens=False).ids), len(text))
+
+
+def test_urls(spark, sf_dir):
+    from notelake.llm.urls import labelled_urls, trained
+
+    rules, model = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}, trained(labelled_urls())
+    pages = {p["page_id"]: p["url"] for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = q.op8_urls(spark, sf_dir).collect()
+    assert sorted(r["page_id"] for r in rows) == sorted(pages)
+    for r in rows:
+        rest = pages[r["page_id"]].split("://", 1)[1]
+        end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, path = rest[:end].lower(), rest[end:].split("?")[0].split("#")[0]
+        fits = [x for x in rules if ("." + host).endswith("." + x.split("/", 1)[0]) and path.startswith("/" + x.split("/", 1)[1])]
+        rule = max(fits, key=len, default=None)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (rules[rule] if rule else "block" if model.probability(host, path) >= 0.7 else "allow")
+
+
+def test_pipeline(spark, sf_dir, docs, tokenizer):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.quality_stage(spark, table, sf_dir)
+    good = {r["doc_id"] for r in q.op7_quality(spark, sf_dir).collect() if r["kept"]}
+    assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == good
+    one = corpus_pipeline.dedup_stage(spark, kept, sf_dir)
+    groups = components([(d, fingerprint(docs[d]["text"])) for d in good])
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted({c for _, _, c in groups})
+    mixed = corpus_pipeline.mixing_stage(spark, one, sf_dir)
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for d in {c for _, _, c in groups}:
+        sizes[docs[d]["source"]] += len(words(docs[d]["text"]))
+    passes = defaultdict(int)
+    for r in mixed.collect():
+        assert tuple(r) == tuple(docs[r["doc_id"]])
+        passes[r["doc_id"]] += 1
+        taken[r["source"]] += len(words(r["text"]))
+    longest = max(len(words(d["text"])) for d in docs.values())
+    assert max(passes.values()) <= 3 and all(abs(taken[s] - t) <= longest for s, t in targets(sizes).items())
+    rows = corpus_pipeline.packing_stage(spark, mixed, sf_dir).collect()
+    total = sum(n * (1 + len(tokenizer.encode(docs[d]["text"], add_special_tokens=False).ids)) for d, n in passes.items())
+    assert sum(r["length"] for r in rows) == total
+    by_sequence = defaultdict(int)
+    for r in rows:
+        by_sequence[r["sequence_id"]] += r["length"]
+    assert max(by_sequence.values()) <= 1024
