@@ -8,59 +8,43 @@ from collections.abc import Iterable
 import numpy as np
 
 
-def byte_characters() -> dict[int, str]:
-    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256, 257, ..."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class BpeEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids with the ``tokenizers`` library.
 
     The byte-level pre-tokenizer always ends a part before a space that is followed by a character other than
     white space, or that follows one. Where every space of a text is such, the text is the sequence of its
-    space-delimited parts; ids of parts are cached. Of new parts, those of letters alone, or of letters and one
-    mark of punctuation, are given to the library already cut, many at a time; the others are encoded one by
-    one. Texts with other spaces, and those that hold an added token's string, are encoded whole. All ways give
-    the ids of ``encode(text, add_special_tokens=False)``.
+    space-delimited parts; ids of parts are cached, and new parts are encoded joined to one text and cut apart
+    by their bytes. Texts with other spaces, and those that hold an added token's string, are encoded whole. All
+    ways give the ids of ``encode(text, add_special_tokens=False)``.
     """
 
-    def __init__(self, path: str, cached: int = 800_000):
+    def __init__(self, path: str, cached: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cut = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.cut.pre_tokenizer = None
+        self.tokenizer = Tokenizer.from_file(path)
         self.cached, self.cache = cached, {}
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # bytes of each id, a character of the vocabulary each
         for token, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(token)
-        self.alphabet = byte_characters()
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r" (?<=[\s\x1c-\x1f\x85\u180e] )(?![^\s\x1c-\x1f\x85\u180e])", *added]))
-        # what ends with an underscore or digit is no word of letters; neither is anything with an apostrophe
-        self.simple = re.compile(r" ([^\W\d_]+)([.,;:!?|\n]?)")
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _add(self, parts: list[str]) -> None:
-        full = self.simple.fullmatch
-        match = [(p, m) for p in parts if (m := full(p)) and m[1].isalpha()]
-        known = {p for p, _ in match}
-        other = [p for p in parts if p not in known]
+        """Encodes new parts: those of a space and another character joined, many at a time, the others one by one."""
+        plain, other = [], []
+        for p in parts:
+            (plain if p[:1] == " " and p[1:2].strip() else other).append(p)
         self.cache.update(zip(other, self._ids(other), strict=True))
-        for i in range(0, len(match), 4000):
-            run = [p for p, _ in match[i : i + 4000]]
-            text = "\0".join(run).encode().decode("latin-1").translate(self.alphabet)
-            plain = text.split(self.alphabet[0])
-            cut = [x for p, (_, m) in zip(plain, match[i : i + 4000], strict=True) for x in ((p[:-1], p[-1]) if m[2] else (p,))]
-            ids = np.array(self.cut.encode_batch_fast([cut], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(list(map(len, plain)))) + 1
-            raw, at = ids.tobytes(), 0
-            for part, end in zip(run, (ends * 4).tolist(), strict=True):
-                self.cache[part] = raw[at:end]
-                at = end
+        for i in range(0, len(plain), 2000):
+            run = plain[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, dtype="<u4")
+            sizes = list(map(len, "\0".join(run).encode().split(b"\0")))
+            ends = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1) * 4
+            raw, starts = ids.tobytes(), [0, *ends.tolist()]
+            self.cache.update(zip(run, map(raw.__getitem__, map(slice, starts, starts[1:])), strict=False))
 
     def encode(self, texts: Iterable[str | None], step: int = 1 << 20) -> Iterable[bytes]:
         """The ids of each text, null as empty; ``step`` characters or one text are held as parts at a time."""
@@ -97,3 +81,13 @@ class BpeEncoder:
                 at = end
         if len(self.cache) > self.cached:  # begin anew, with what is in use
             self.cache = dict(zip(parts, ids, strict=True))
+
+
+_OF_PROCESS: dict[str, BpeEncoder] = {}
+
+
+def encoder_of(path: str) -> BpeEncoder:
+    """The encoder of this worker process: its cache serves all tasks that the worker runs."""
+    if path not in _OF_PROCESS:
+        _OF_PROCESS[path] = BpeEncoder(path)
+    return _OF_PROCESS[path]

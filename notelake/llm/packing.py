@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BpeEncoder
+from .bpe import encoder_of
 from .common import materialise
 
 
@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = BpeEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder, tail = encoder_of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         names = ["row_id", "doc_id", "start", "length", "doc_tokens", "ids"]
 
         def flush(out: list[tuple]) -> pa.RecordBatch:

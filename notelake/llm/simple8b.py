@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import BpeEncoder
+from .bpe import encoder_of
 from .common import materialise, partitions, scratch_path
 from .files import new_file, open_file
 
@@ -133,7 +133,7 @@ def token_payloads(docs: DataFrame, tokenizer: str, end_id: int, buckets: int) -
     cuts = sorted(set(cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, edges = BpeEncoder(tokenizer), np.array(cuts, dtype=np.int64)
+        encoder, edges = encoder_of(tokenizer), np.array(cuts, dtype=np.int64)
         tail = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             at = 0
