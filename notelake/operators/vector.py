@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import SearchFilter
 
@@ -82,6 +83,8 @@ def _run(index: DataFrame, asked: list, limit: int, threshold: float, embedding:
     norms = np.linalg.norm(q, axis=1)
     q = q / np.where(norms > 0, norms, np.nan)[:, None]
 
+    query_type = to_arrow_type(queries.schema["query_id"].dataType)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(names) or not b.num_rows:
@@ -92,7 +95,7 @@ def _run(index: DataFrame, asked: list, limit: int, threshold: float, embedding:
             s = np.where(np.isnan(s) | ((s < threshold) if threshold > 0 else False), -np.inf, s)
             edge = np.partition(s, -limit, axis=1)[:, -limit] if b.num_rows > limit else np.full(len(s), -np.inf)
             row, col = np.nonzero((s >= edge[:, None] - 1e-8) & np.isfinite(s))
-            yield pa.RecordBatch.from_arrays([pa.array(names[row].tolist()), b.column(0).take(pa.array(col)), pa.array(s[row, col])], ["query_id", id_column, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[row].tolist(), type=query_type), b.column(0).take(pa.array(col)), pa.array(s[row, col])], ["query_id", id_column, "score"])
 
     query_kind = dict(queries.dtypes)["query_id"]
     rows = index.filter(F.col(embedding).isNotNull()).select(id_column, embedding)

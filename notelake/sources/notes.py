@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import logging
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..session import ship
 
+log = logging.getLogger(__name__)
+FILE_SCHEMA = "relative_path string, content binary, file_size_bytes long, modified_at timestamp"
+
 
 def hidden(relative_path: Column) -> Column:
     """Any part of the path begins with a dot."""
@@ -46,19 +53,29 @@ def scan_stats(listed: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, content, file_size_bytes, modified_at of the notes below a folder; listed by the driver, read
-    by tasks. Unreadable files are left out."""
+    """relative_path, content, file_size_bytes, modified_at of the notes below a folder; names are listed by the
+    driver, files read by tasks. (Spark's own file source never reads names that begin with an underscore.)
+    Unreadable files are left out."""
     ship(spark)
     base = root.rstrip("/")
-    names = [(n,) for n in _listed(spark, base)]
-    listed = listing(spark.createDataFrame(names, "relative_path string"))
-    wanted = [r["relative_path"] for r in listed.filter("status = 'note'").collect()]
-    if not wanted:
-        return spark.createDataFrame([], "relative_path string, content binary, file_size_bytes long, modified_at timestamp")
-    plain = [f"{base}/{n}" for n in wanted]
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(plain)
-    tail = F.expr("substring(path, locate({0}, path) + length({0}) + 1)".format("'" + base.split("://")[-1].replace("'", "\\'") + "'"))
-    return files.select(tail.alias("relative_path"), "content", F.col("length").alias("file_size_bytes"), F.col("modificationTime").alias("modified_at"))
+    names = spark.createDataFrame([(n,) for n in _listed(spark, base)], "relative_path string")
+    wanted = listing(names).filter("status = 'note'").select("relative_path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pafs.FileSystem.from_uri(base if "://" in base else os.path.abspath(base))
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                try:
+                    info = fs.get_file_info(f"{top}/{name}")
+                    with fs.open_input_stream(f"{top}/{name}", compression=None) as f:
+                        content = f.read()
+                except OSError as e:
+                    log.warning("skipped %s: %s", name, e)
+                    continue
+                mtime = pa.array([info.mtime_ns // 1000], type=pa.timestamp("us", tz="UTC"))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], type=pa.binary()), pa.array([len(content)], type=pa.int64()), mtime], ["relative_path", "content", "file_size_bytes", "modified_at"])
+
+    return wanted.mapInArrow(read, FILE_SCHEMA)
 
 
 def parsed(files: DataFrame) -> DataFrame:

@@ -103,6 +103,6 @@ def answered(messages: Column, provider: ChatProvider) -> Column:
     @F.pandas_udf("string")
     def ask(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in rows:
-            yield s.map(lambda m: with_retries(lambda: provider.chat([dict(x) for x in m])))
+            yield s.map(lambda m: None if m is None else with_retries(lambda: provider.chat([dict(x) for x in m])))
 
     return ask(messages)
