@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +42,12 @@ class Mixture:
         return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))).drop("_i", "_rows")
 
 
+def shuffle_key(seed: int) -> Column:
+    """60 bits of the MD5 of seed, doc_id and text, in the upper bits of a long: the order of a source's stream."""
+    line = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.shiftleft(F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("long"), 4)
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], max_repeat: int) -> DataFrame:
     """Sources in code-point order, null last, with weights repeating, and water-filled targets.
 
@@ -107,7 +113,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: int =
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    base = materialise(docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("key")), "mix-sizes")
+    base = materialise(docs.select("doc_id", "source", word_count(text).alias("size"), shuffle_key(seed).alias("key")), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = materialise(source_targets(sizes, weights, max_repeat), "mix-sources")
     total, rows, n_sources = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0)), F.count(F.lit(1))).first()
@@ -142,7 +148,6 @@ def mixed_documents(docs: DataFrame, max_repeat: int = 3, **options) -> DataFram
     Documents without words are not part of a mix of words and go; rows that agree in doc_id, source and text
     share their passes, rounded up.
     """
-    text = F.col("text").cast("string")
     seed = options.get("seed", 42)
     m = mix(docs, max_repeat=max_repeat, **options)
     passes = F.ceil((F.col("quota") - F.col("start")) / F.col("source_size"))
@@ -150,6 +155,6 @@ def mixed_documents(docs: DataFrame, max_repeat: int = 3, **options) -> DataFram
     used = m.documents.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("source").alias("_s"))
     used = used.agg(F.ceil(F.sum(passes) / F.count(F.lit(1))).alias("_copies")).filter("_copies > 0")
     same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
-    joined = docs.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", text)).join(used, same)
+    joined = docs.withColumn("_key", shuffle_key(seed)).join(used, same)
     copies = joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return copies.select(*[docs[c] for c in docs.columns])

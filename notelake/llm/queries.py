@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import ann, chat, counts, mixing, packing, quality, simhash, simple8b, urls, warc
+from .oracle import ORACLE  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,4 +83,3 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cross_polytope, op2_mixing, op3_simple8b, op4_simhash, op5_token_counts, op6_chat, op7_quality, op8_urls, op9_packing, op10_warc)}
-ORACLE: dict[str, str] = {}
