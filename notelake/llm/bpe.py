@@ -18,7 +18,7 @@ class BpeEncoder:
     ways give the ids of ``encode(text, add_special_tokens=False)``.
     """
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,8 +67,8 @@ class BpeEncoder:
                 parts += t.replace(" ", "\0 ").split("\0")
                 ends.append(len(parts))
         ids = list(map(self.cache.get, parts))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
+        if None in ids:
+            missing = [i for i, x in enumerate(ids) if x is None]
             self._add(list({parts[i] for i in missing}))
             for i in missing:
                 ids[i] = self.cache[parts[i]]
