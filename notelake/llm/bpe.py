@@ -26,22 +26,28 @@ class BpeEncoder:
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # bytes of each id, a character of the vocabulary each
         for token, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(token)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" (?<=[\s\x1c-\x1f\x85\u180e] )(?![^\s\x1c-\x1f\x85\u180e])", *added]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaces = re.compile(r" (?<=[\s\x1c-\x1f\x85\u180e] )(?![^\s\x1c-\x1f\x85\u180e])")
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _whole(self, text: str) -> bool:
+        """The text can't be taken apart at its spaces."""
+        return "\0" in text or any(a in text for a in self.added) or self.spaces.search(text) is not None
+
     def _add(self, parts: list[str]) -> None:
-        """Encodes new parts: those of a space and another character joined, many at a time, the others one by one."""
+        """Encodes new parts. Parts follow a space; the one that begins a text has a NUL before it. Those that begin
+        with a character other than white space are joined, many at a time, the others encoded one by one."""
         plain, other = [], []
         for p in parts:
-            (plain if p[:1] == " " and p[1:2].strip() else other).append(p)
-        self.cache.update(zip(other, self._ids(other), strict=True))
-        for i in range(0, len(plain), 2000):
-            run = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, dtype="<u4")
-            sizes = list(map(len, "\0".join(run).encode().split(b"\0")))
+            (plain if p[:1].strip() and p[0] != "\0" else other).append(p)
+        self.cache.update(zip(other, self._ids([p[1:] if p[:1] == "\0" else " " + p for p in other]), strict=True))
+        for i in range(0, len(plain), 500):
+            run = plain[i : i + 500]
+            text = " " + " ".join(run)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            sizes = np.array(list(map(len, text.encode().split(b" ")[1:]))) + 1
             ends = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1) * 4
             raw, starts = ids.tobytes(), [0, *ends.tolist()]
             self.cache.update(zip(run, map(raw.__getitem__, map(slice, starts, starts[1:])), strict=False))
@@ -61,14 +67,16 @@ class BpeEncoder:
         parts: list[str] = []
         ends: list[int | None] = []
         for t in texts:
-            if "\0" in t or self.whole.search(t):
+            if self._whole(t):
                 ends.append(None)
             else:
-                parts += t.replace(" ", "\0 ").split("\0")
+                own = t.split(" ")
+                own[0] = "\0" + own[0]
+                parts += own
                 ends.append(len(parts))
         ids = list(map(self.cache.get, parts))
-        if None in ids:
-            missing = [i for i, x in enumerate(ids) if x is None]
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
             self._add(list({parts[i] for i in missing}))
             for i in missing:
                 ids[i] = self.cache[parts[i]]
