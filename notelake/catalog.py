@@ -243,6 +243,14 @@ def chunk_ids(spark, sf_dir):
     return c.select("chunk_id", "note_path", "chunk_index", "total_chunks", F.regexp_extract("chunk_text", r"^(\[Note: [^\]]*\])", 1).alias("breadcrumb"))
 
 
+@query(rf"""WITH {VAULT_SQL}, {HEADS_SQL}, {_TITLE_SQL}, {_SECTIONS_SQL}, kept AS (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY k) - 1 AS i FROM sections WHERE text <> '')
+SELECT relative_path AS note_path, CAST(i AS INT) AS chunk_index, substr('[Note: ' || regexp_replace(path, '^(.*?) > ', '\1 | Section: ') || ']' || chr(10) || chr(10) || text, 1, 200) AS preview FROM kept""")
+def chunk_preview(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    c = chunk.chunked(v, Settings(chunk_size=1_000_000, chunk_overlap=64))
+    return chunk.chunk_preview(c, v).select("note_path", "chunk_index", "preview")
+
+
 @query(rf"WITH {VAULT_SQL}, {HEADS_SQL}, {_TITLE_SQL}, {_SECTIONS_SQL} SELECT content_hash AS note_id, count(*) AS n_chunks, count(DISTINCT relative_path) AS n_paths FROM sections JOIN notes USING (relative_path) WHERE text <> '' GROUP BY content_hash")
 def chunk_stats(spark, sf_dir):
     c = chunk.chunked(vault(spark, sf_dir), Settings(chunk_size=1_000_000, chunk_overlap=64))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,6 +52,27 @@ def built(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "ch
     return KeywordIndex(postings, terms, stats, version)
 
 
+def saved(index: KeywordIndex, path: str, partitions: int | None = None) -> KeywordIndex:
+    """Writes the index and returns the written one. Postings and terms are ranged and sorted by term, so a reader
+    that looks for a few terms skips the row groups without them."""
+    spark = index.stats.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, df in (("postings", index.postings), ("terms", index.terms)):
+        df.repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/{name}")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    return loaded(spark, path, index.version)
+
+
+def loaded(spark: SparkSession, path: str, version: str | None = None) -> KeywordIndex:
+    return KeywordIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")), version)
+
+
+def for_terms(index: KeywordIndex, terms: list[str]) -> KeywordIndex:
+    """The index with the given terms only: a condition that a written index reads by."""
+    wanted = F.col("term").isin(*terms) if terms else F.lit(False)
+    return KeywordIndex(index.postings.filter(wanted), index.terms.filter(wanted), index.stats, index.version)
+
+
 def query_terms(queries: DataFrame, text_column: str = "text") -> DataFrame:
     """query_id, term, n: terms of queries and how often they occur there."""
     tokens = queries.select("query_id", F.explode(keyword_tokens(text_column)).alias("term"))

@@ -34,6 +34,27 @@ class Bucket:
         return ok
 
 
+class RateLimiter:
+    """Buckets of one serving process by key."""
+
+    def __init__(self, per_minute: float, burst: float):
+        self.per_minute, self.burst = per_minute, burst
+        self.buckets: dict[str, Bucket] = {}
+
+    def check(self, key: str, now: float) -> bool:
+        return self.buckets.setdefault(key, Bucket(self.per_minute, self.burst)).allow(now)
+
+    def remaining(self, key: str, now: float) -> float:
+        """Tokens of a key; the burst for one that has not been seen. Takes none."""
+        return self.buckets.get(key, Bucket(self.per_minute, self.burst)).remaining(now)
+
+    def reset(self, key: str) -> None:
+        self.buckets.pop(key, None)
+
+    def bucket_count(self) -> int:
+        return len(self.buckets)
+
+
 def rate_limited(requests: DataFrame, key: str, seconds: str, order: str, per_minute: float, burst: float) -> DataFrame:
     """Adds ``allowed`` and ``tokens_left`` to requests, in the order of ``seconds`` then ``order`` in each key.
 

@@ -59,6 +59,16 @@ def test_bm25_against_python(spark):
     assert k.is_stale(None) and bm25.search(k, spark.createDataFrame([(1, "the of")], "query_id int, text string"), 9).count() == 0
 
 
+def test_bm25_saved(spark, tmp_path):
+    k = bm25.built(spark.createDataFrame([(i, f"word{i % 7} common x{i}") for i in range(60)], "chunk_id int, chunk_text string"), version="v")
+    stored = bm25.saved(k, f"{tmp_path}/k", 3)
+    q = spark.createDataFrame([(1, "word3 x10")], "query_id int, text string")
+    want = [tuple(r) for r in bm25.search(k, q, 5).orderBy("list_pos").collect()]
+    few = bm25.for_terms(stored, ["word3", "x10"])
+    assert want and [tuple(r) for r in bm25.search(few, q, 5).orderBy("list_pos").collect()] == want and not stored.is_stale("v")
+    assert "In(term, [word3,x10])" in few.postings._jdf.queryExecution().toString()
+
+
 def test_bm25_two_documents_score_nothing(spark):
     k = bm25.built(spark.createDataFrame([("a", "cat"), ("b", "dog")], "chunk_id string, chunk_text string"))
     assert bm25.search(k, spark.createDataFrame([(1, "cat")], "query_id int, text string"), 9).count() == 0
@@ -84,6 +94,10 @@ def test_vector_search(spark):
 def test_bucket(spark):
     b = limits.Bucket(60, 3)
     assert [b.allow(t) for t in (0, 0, 0, 0, 1.5, 1.5, 1.0)] == [True, True, True, False, True, False, False]
+    r = limits.RateLimiter(60, 1)
+    assert r.remaining("x", 0) == 1 and r.check("x", 0) and not r.check("x", 0) and r.bucket_count() == 1
+    r.reset("x")
+    assert r.bucket_count() == 0 and r.check("x", 0)
     rows = [(i, f"k{i % 3}", float(i % 50)) for i in range(300)]
     got = limits.rate_limited(spark.createDataFrame(rows, "i int, k string, s double"), "k", "s", "i", 30, 4).collect()
     want = {}
