@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterable
 
@@ -18,7 +19,7 @@ class BpeEncoder:
     ways give the ids of ``encode(text, add_special_tokens=False)``.
     """
 
-    def __init__(self, path: str, cached: int = 1_200_000):
+    def __init__(self, path: str, cached: int = 1_600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -97,5 +98,6 @@ _OF_PROCESS: dict[str, BpeEncoder] = {}
 def encoder_of(path: str) -> BpeEncoder:
     """The encoder of this worker process: its cache serves all tasks that the worker runs."""
     if path not in _OF_PROCESS:
+        gc.set_threshold(100_000, 50, 100)  # texts, parts and ids are in no cycles; passes over them find nothing
         _OF_PROCESS[path] = BpeEncoder(path)
     return _OF_PROCESS[path]

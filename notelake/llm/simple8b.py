@@ -63,15 +63,15 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     room = np.zeros(int((sizes + pad).sum()) + pad, dtype=np.uint64)
     room[place] = values
     need = _bit_lengths(room)
-    selector = np.where(need > BITS[-1], 0, len(COUNTS)).astype(np.uint8)
-    reach, most = 1, need  # most[i]: bits of the largest of the ``reach`` ids from i on
+    selector = np.full(len(room), len(COUNTS), dtype=np.uint8)
+    reach, most = 1, need  # most[i]: bits of the largest of the ``reach`` ids from i on; reach at most doubles
     for k in range(len(COUNTS) - 2, -1, -1):
-        grown = most.copy()
-        while reach < COUNTS[k]:
-            by = min(reach, COUNTS[k] - reach)
-            np.maximum(grown[:-by], most[by:], out=grown[:-by])
-            reach, most = reach + by, grown.copy()
-        np.putmask(selector, (most <= BITS[k]) & (selector > 0), k + 1)
+        by = COUNTS[k] - reach
+        wider = most.copy()
+        np.maximum(most[:-by], most[by:], out=wider[:-by])
+        reach, most = COUNTS[k], wider
+        np.putmask(selector, most <= BITS[k], k + 1)
+    selector[need > BITS[-1]] = 0
     jump = _PER_WORD[selector].tolist()
     at, words_per_block = [], np.zeros(len(sizes), dtype=np.int64)
     for b, (i, end) in enumerate(zip(starts.tolist(), (starts + sizes).tolist(), strict=True)):
