@@ -137,9 +137,9 @@ def token_payloads(docs: DataFrame, tokenizer: str, end_id: int, buckets: int) -
         tail = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             at = 0
-            while at < b.num_rows:  # slices of some MB of text
+            while at < b.num_rows:  # slices whose arrays a processor's cache holds
                 part, size = at, 0
-                while at < b.num_rows and size < 1 << 22:
+                while at < b.num_rows and size < 1 << 18:
                     size += len(b.column(1)[at].as_buffer() or b"") if b.column(1)[at].is_valid else 0
                     at += 1
                 rows = b.slice(part, at - part)
