@@ -76,7 +76,13 @@ class BpeEncoder:
                 parts += own
                 ends.append(len(parts))
         ids = list(map(self.cache.get, parts))
-        missing = [i for i, x in enumerate(ids) if x is None]
+        missing, i = [], -1
+        try:
+            while True:
+                i = ids.index(None, i + 1)
+                missing.append(i)
+        except ValueError:  # no further one
+            pass
         if missing:
             self._add(list({parts[i] for i in missing}))
             for i in missing:

@@ -58,16 +58,16 @@ def drop_scratch(spark: SparkSession, *paths: str) -> None:
         _delete(spark, path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and a lost executor
-    costs no recomputation of what came before."""
-    return materialise_at(df, name)[0]
+    costs no recomputation of what came before. ``dictionary``: whether values may recur."""
+    return materialise_at(df, name, dictionary)[0]
 
 
-def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialise_at(df: DataFrame, name: str, dictionary: bool = True) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,12 +104,13 @@ def pack(pieces: DataFrame, documents: int, capacity: int = 1024, docs_per_group
     schema = own.schema
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("row_id", "ascending"), ("start", "ascending")])
-        placed = first_fit_decreasing(table["length"].to_pylist(), capacity)
-        bins, offsets = zip(*placed, strict=True)
-        ids = np.array(bins, dtype=np.int64) * groups + key[0].as_py()
+        order = pc.sort_indices(table, [("doc_id", "ascending"), ("row_id", "ascending"), ("start", "ascending")]).to_numpy()
+        placed = first_fit_decreasing(table["length"].to_numpy()[order].tolist(), capacity)
+        where = np.empty((len(order), 2), dtype=np.int64)  # the rows, with their ids, stay in the order they came in
+        where[order] = placed
+        ids, offsets = where[:, 0] * groups + key[0].as_py(), where[:, 1]
         table = table.drop_columns(["_group"])
-        return table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets, type=pa.int64()))
+        return table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
     packed = rest.groupBy("_group").applyInArrow(run, schema)
     return own.unionByName(packed)
@@ -121,5 +123,5 @@ def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity:
     empty text is the end id alone; an empty table packs to nothing; other columns are ignored. Texts of any
     length are cut into pieces, each id in exactly one.
     """
-    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity), "pack-pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity), "pack-pieces", dictionary=False)
     return pack(pieces, pieces.filter("start = 0").count(), capacity, docs_per_group)
