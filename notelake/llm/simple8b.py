@@ -72,7 +72,7 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
         reach, most = COUNTS[k], wider
         np.putmask(selector, most <= BITS[k], k + 1)
     selector[need > BITS[-1]] = 0
-    jump = _PER_WORD[selector].tolist()
+    jump = _PER_WORD.astype(np.uint8)[selector].tobytes()
     at, words_per_block = [], np.zeros(len(sizes), dtype=np.int64)
     for b, (i, end) in enumerate(zip(starts.tolist(), (starts + sizes).tolist(), strict=True)):
         before = len(at)
