@@ -42,8 +42,10 @@ def built(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "ch
     it is replaced by a quarter of the mean over all terms, which is taken before.
     """
     postings = postings_of(chunks, id_column, text_column)
-    sizes = chunks.select(F.size(keyword_tokens(F.coalesce(text_column, F.lit("")))).alias("dl"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    # Lengths are summed over the postings, so texts are taken apart once; the count reads no text.
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = n.crossJoin(F.broadcast(total)).select("n", F.try_divide("total", "n").alias("avgdl"))  # one row each
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats: one row
     mean = raw.agg(F.avg("raw").alias("mean"))
