@@ -50,11 +50,11 @@ def word_count(text: Column) -> Column:
 def keyword_tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits that are whole words, without stop words and single characters.
 
-    A word boundary lies between word characters of any script and others, so runs are split at everything
-    else first and those with other letters are left out.
+    A word boundary lies between word characters of any script and others, so a run with another letter beside it
+    is no whole word.
     """
-    runs = F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+")
-    return F.filter(runs, lambda t: t.rlike("^[a-z0-9]+$") & (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{M}\p{N}_])[a-z0-9]{2,}+(?![\p{L}\p{M}\p{N}_])"), F.lit(0))
+    return F.filter(runs, lambda t: ~t.isin(*STOP_WORDS))
 
 
 def estimated_tokens(text: Column) -> Column:
