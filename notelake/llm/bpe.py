@@ -19,7 +19,7 @@ class BpeEncoder:
     ways give the ids of ``encode(text, add_special_tokens=False)``.
     """
 
-    def __init__(self, path: str, cached: int = 1_600_000):
+    def __init__(self, path: str, cached: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
