@@ -101,9 +101,11 @@ class BpeEncoder:
 _OF_PROCESS: dict[str, BpeEncoder] = {}
 
 
-def encoder_of(path: str) -> BpeEncoder:
-    """The encoder of this worker process: its cache serves all tasks that the worker runs."""
+def encoder_of(path: str, cached: int = 1_000_000) -> BpeEncoder:
+    """The encoder of this worker process: its cache, of at most about ``cached`` parts of some 250 bytes each, serves
+    all tasks that the worker runs."""
     if path not in _OF_PROCESS:
         gc.set_threshold(100_000, 50, 100)  # texts, parts and ids are in no cycles; passes over them find nothing
         _OF_PROCESS[path] = BpeEncoder(path)
+    _OF_PROCESS[path].cached = cached
     return _OF_PROCESS[path]

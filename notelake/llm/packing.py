@@ -55,13 +55,13 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
     return out
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, cached_parts: int = 1_000_000) -> DataFrame:
     """(row_id, doc_id, start, length, doc_tokens, ids): each document's ids and ``end_id``, cut after every
     ``capacity`` ids; ids are unsigned 32-bit little-endian. A null text is empty. row_id tells rows of one
     doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = encoder_of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder, tail = encoder_of(tokenizer, cached_parts), np.array([end_id], dtype="<u4").tobytes()
         names = ["row_id", "doc_id", "start", "length", "doc_tokens", "ids"]
 
         def flush(out: list[tuple]) -> pa.RecordBatch:
@@ -116,12 +116,12 @@ def pack(pieces: DataFrame, documents: int, capacity: int = 1024, docs_per_group
     return own.unionByName(packed)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, docs_per_group: int = 8192) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, docs_per_group: int = 8192, cached_parts: int = 1_000_000) -> DataFrame:
     """Sequences of whole documents: row_id, doc_id, start, length, doc_tokens, ids, sequence_id, offset.
 
     Every row of ``docs`` is a document, also if it repeats a doc_id or text, or has a null doc_id; a null or
     empty text is the end id alone; an empty table packs to nothing; other columns are ignored. Texts of any
-    length are cut into pieces, each id in exactly one.
+    length are cut into pieces, each id in exactly one. ``cached_parts`` bears on speed and memory only.
     """
-    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity), "pack-pieces", dictionary=False)
+    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity, cached_parts), "pack-pieces", dictionary=False)
     return pack(pieces, pieces.filter("start = 0").count(), capacity, docs_per_group)

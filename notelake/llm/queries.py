@@ -73,7 +73,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
+    out = packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, cached_parts=1_600_000)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
