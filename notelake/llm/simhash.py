@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from . import neardup
+from .common import bounded_broadcast, materialise, partitions
 from .components import components
 
 _U = np.uint64
@@ -258,32 +259,40 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_deduplicated(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each component stays: the one with the least doc_id, with all its columns. Of rows that
-    repeat that doc_id one stays; a component without any id keeps one row."""
-    found = materialise(simhash_components(docs, width, radius), "simhash-components")
-    repeated = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "simhash-repeated")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def near_deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each component of near copies stays: the one with the least doc_id, with all its columns. Of
+    rows that repeat that doc_id one stays; a component without any id keeps one row.
+
+    Near copies share at least ``similarity`` (Jaccard) of their shingles of ``width`` words; see ``neardup``.
+    """
+    rows = materialise(neardup.signed_rows(docs, width).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    roots = materialise(neardup.near_roots(rows, width, similarity), "near-roots")
+    own = rows.select("doc_id", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    own = materialise(own, "near-own")
+    found = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fp", "component_id")
+    found = materialise(found, "near-components")
+    repeated = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "near-repeated")
+    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    kept = docs.join(bounded_broadcast(gone, gone.count(), 16), F.col("doc_id") == F.col("_gone"), "left_anti")
     if repeated.isEmpty():
         return kept
     odd = repeated.select(F.col("doc_id").alias("_odd"))
     once = kept.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_anti")
     many = kept.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi")
-    with_fp = fingerprint_column(many, width)
+    with_fp = word_digest_column(many)
     ranked = with_fp.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     blank = with_fp.filter(F.col("doc_id").isNull()).join(found.filter("component_id is null").select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
     return once.unionByName(ranked.select(*docs.columns)).unionByName(blank.select(*docs.columns))
 
 
-def fingerprint_column(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The rows with their fingerprint as column ``fp``."""
+def word_digest_column(docs: DataFrame) -> DataFrame:
+    """The rows with the XXH64 of their words as column ``fp``."""
 
     @F.pandas_udf("long")
     def fp(texts):
         import pandas as pd
 
-        values = np.array([fingerprint(None if x is None else bytes(x), width) for x in texts], dtype=np.uint64)
-        return pd.Series(values.view(np.int64))
+        values = [xxhash.xxh64_intdigest(b" ".join(neardup.words_of(None if x is None else bytes(x))), 42) for x in texts]
+        return pd.Series(np.array(values, dtype=np.uint64).view(np.int64))
 
     return docs.withColumn("fp", fp(F.col("text").cast("binary")))
