@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import neardup
@@ -260,8 +261,9 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
 
 
 def near_deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each component of near copies stays: the one with the least doc_id, with all its columns. Of
-    rows that repeat that doc_id one stays; a component without any id keeps one row.
+    """One row of each component of near copies stays, with all its columns: the one with the least doc_id (null
+    last), of those with the least XXH64 of its words, then of the whole row. Rows that repeat a doc_id with texts of
+    different components stay in each.
 
     Near copies share at least ``similarity`` (Jaccard) of their shingles of ``width`` words; see ``neardup``.
     """
@@ -269,20 +271,20 @@ def near_deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     roots = materialise(neardup.near_roots(rows, width, similarity), "near-roots")
     own = rows.select("doc_id", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     own = materialise(own, "near-own")
-    found = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fp", "component_id")
-    found = materialise(found, "near-components")
-    repeated = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "near-repeated")
-    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    kept = docs.join(bounded_broadcast(gone, gone.count(), 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp"))
+    best = materialise(own.groupBy("root").agg(first.alias("w")).select("root", F.col("w.doc_id").alias("_id"), F.col("w.fp").alias("_fp")), "near-best")
+    repeated = materialise(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "near-repeated")
+    gone = own.join(best, "root").filter("doc_id <> _id or fp <> _fp").select(F.col("doc_id").alias("_gone")).distinct()
     if repeated.isEmpty():
-        return kept
+        gone = materialise(gone, "near-gone")
+        return docs.join(bounded_broadcast(gone, gone.count(), 16), F.col("doc_id") == F.col("_gone"), "left_anti")
     odd = repeated.select(F.col("doc_id").alias("_odd"))
-    once = kept.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_anti")
-    many = kept.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi")
-    with_fp = word_digest_column(many)
-    ranked = with_fp.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    blank = with_fp.filter(F.col("doc_id").isNull()).join(found.filter("component_id is null").select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
-    return once.unionByName(ranked.select(*docs.columns)).unionByName(blank.select(*docs.columns))
+    same_id = F.col("doc_id").eqNullSafe(F.col("_odd"))
+    once = docs.join(odd, same_id, "left_anti").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    many = docs.join(odd, same_id, "left_semi").select(F.struct(*docs.columns).alias("_all"), "doc_id", "text")
+    many = word_digest_column(many).join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
+    order = W.partitionBy("doc_id", "fp").orderBy(F.xxhash64("text"), F.xxhash64(F.to_json("_all")))
+    return once.unionByName(many.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("_all.*"))
 
 
 def word_digest_column(docs: DataFrame) -> DataFrame:

@@ -57,6 +57,16 @@ def test_chains_in_one_bucket(spark):
     assert [r["doc_id"] for r in kept] == _first_of_groups(dict(rows)) == [0]
 
 
+def test_repeated_ids_lose_no_group(spark):
+    """An id whose rows lie in two groups goes from one of them only."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, c), (7, c), (8, a), (9, b)]
+    kept = simhash.near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == [(3, a), (5, b), (7, c)]
+    two = simhash.near_deduplicated(spark.createDataFrame([(5, a), (5, b), (5, b)], "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in two) == [(5, a), (5, b)]
+
+
 @pytest.fixture(scope="module")
 def texts(spark, sf_dir):
     return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
