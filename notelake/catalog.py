@@ -99,10 +99,10 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: the first words of benchmark items, with vectors of the index."""
+def asked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Queries: the first words of benchmark items, as in the SQL, or the ``whole`` items; with vectors of the index."""
     b, e = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    q = b.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    q = b.select(F.col("item_id").alias("query_id"), (F.col("text") if whole else F.substring("text", 1, 60)).alias("text"))
     return q.join(e.select("vec_id", F.col("embedding").alias("vector")), F.col("vec_id") == F.col("query_id") * 7 % 500).drop("vec_id")
 
 

@@ -197,7 +197,7 @@ def chat_messages(spark, sf_dir):
 def answer_contexts(spark, sf_dir):
     """From questions to messages, end to end; held against its parts in the tests."""
     index = doc_chunks(spark, sf_dir)
-    out = answer.answer_context(index, asked(spark, sf_dir), RetrievalQuery(top_k=5), 2000, bm25.built(index))
+    out = answer.answer_context(index, asked(spark, sf_dir, whole=True), RetrievalQuery(top_k=5), 2000, bm25.built(index))
     return out.select("query_id", "blocked", "included", "total_tokens", "was_truncated", F.size("messages").alias("n_messages"))
 
 
