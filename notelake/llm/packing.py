@@ -55,34 +55,32 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
     return out
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, cached_parts: int = 1_000_000) -> DataFrame:
+def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids, one after the other, with ``end_id`` after each; and their lengths with it."""
+    out = np.full(len(ids) + len(lengths), end_id, dtype="<u4")
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)] = ids
+    return out, lengths + 1
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, cache_bytes: int = 96 << 20) -> DataFrame:
     """(row_id, doc_id, start, length, doc_tokens, ids): each document's ids and ``end_id``, cut after every
     ``capacity`` ids; ids are unsigned 32-bit little-endian. A null text is empty. row_id tells rows of one
     doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = encoder_of(tokenizer, cached_parts), np.array([end_id], dtype="<u4").tobytes()
-        names = ["row_id", "doc_id", "start", "length", "doc_tokens", "ids"]
-
-        def flush(out: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols[:5]] + [pa.array(cols[5], type=pa.binary())], names)
-
+        encoder, names = encoder_of(tokenizer, cache_bytes), ["row_id", "doc_id", "start", "length", "doc_tokens", "ids"]
         for b in batches:
-            out, size = [], 0
-            texts = (x.as_py() for x in b.column(2))
-            for row, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.encode(texts), strict=True):
-                raw += tail
-                n = len(raw) // 4
-                for at in range(0, n, capacity):
-                    ids = raw[4 * at : 4 * (at + capacity)]
-                    out.append((row, doc_id, at, len(ids) // 4, n, ids))
-                size += len(raw)
-                if size >= 1 << 22:
-                    yield flush(out)
-                    out, size = [], 0
-            if out:
-                yield flush(out)
+            at = 0
+            for ids, lengths in encoder.encode(b.column(2)):
+                ids, lengths = with_end(ids, lengths, end_id)
+                pieces = -(-lengths // capacity)
+                row = np.repeat(np.arange(len(lengths)), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(capacity, lengths[row] - start)
+                rows = pa.array(row + at)
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.r_[0, np.cumsum(length)] * 4).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(start), pa.array(length), pa.array(lengths[row]), data], names)
+                at += len(lengths)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "row_id long, doc_id long, start long, length long, doc_tokens long, ids binary")
@@ -116,12 +114,12 @@ def pack(pieces: DataFrame, documents: int, capacity: int = 1024, docs_per_group
     return own.unionByName(packed)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, docs_per_group: int = 8192, cached_parts: int = 1_000_000) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, docs_per_group: int = 8192, cache_bytes: int = 96 << 20) -> DataFrame:
     """Sequences of whole documents: row_id, doc_id, start, length, doc_tokens, ids, sequence_id, offset.
 
     Every row of ``docs`` is a document, also if it repeats a doc_id or text, or has a null doc_id; a null or
     empty text is the end id alone; an empty table packs to nothing; other columns are ignored. Texts of any
-    length are cut into pieces, each id in exactly one. ``cached_parts`` bears on speed and memory only.
+    length are cut into pieces, each id in exactly one. ``cache_bytes``, of a worker process, bears on speed and memory only.
     """
-    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity, cached_parts), "pack-pieces", dictionary=False)
+    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity, cache_bytes), "pack-pieces", dictionary=False)
     return pack(pieces, pieces.filter("start = 0").count(), capacity, docs_per_group)

@@ -2,8 +2,8 @@
 
 File: magic ``SMP8B001``; the words of all documents; an index; a trailer. Documents are coded one after the
 other, in blocks of at most ``BLOCK`` ids that start on a word, so that any block can be decoded by itself. The
-index has, per document, doc_id (long; its least value for null), number of ids, and number of blocks, and, per
-block, the offset of its first word. Selector 0 is the escape: the next word holds one id of 64 bits.
+index has, per document, doc_id (long), number of ids, and number of blocks (its complement where doc_id is null), and,
+per block, the offset of its first word. Selector 0 is the escape: the next word holds one id of 64 bits.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from .bpe import encoder_of
 from .common import materialise, partitions, scratch_path
 from .files import new_file, open_file
+from .packing import with_end
 
 MAGIC = b"SMP8B001"
-BLOCK = 4096
-NULL_ID = -(1 << 63)
+BLOCK = 1024
 #: Ids per word and bits per id of selectors 1 to 14, most ids first.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -72,15 +72,17 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
         reach, most = COUNTS[k], wider
         np.putmask(selector, most <= BITS[k], k + 1)
     selector[need > BITS[-1]] = 0
-    jump = _PER_WORD.astype(np.uint8)[selector].tobytes()
-    at, words_per_block = [], np.zeros(len(sizes), dtype=np.int64)
-    for b, (i, end) in enumerate(zip(starts.tolist(), (starts + sizes).tolist(), strict=True)):
-        before = len(at)
-        while i < end:
-            at.append(i)
-            i += jump[i]
-        words_per_block[b] = len(at) - before
-    at = np.array(at, dtype=np.int64)
+    # all blocks go on by a word at a time; their places ascend from block to block
+    jump, lanes, here, ends = _PER_WORD.astype(np.uint8)[selector], np.arange(len(sizes)), starts, starts + sizes
+    places, words_per_block = [], np.zeros(len(sizes), dtype=np.int64)
+    while len(lanes):
+        places.append(here)
+        words_per_block[lanes] += 1
+        here = here + jump[here]
+        on = here < ends[lanes]
+        if not on.all():
+            lanes, here = lanes[on], here[on]
+    at = np.sort(np.concatenate(places)) if places else np.empty(0, dtype=np.int64)
     chosen = selector[at] if len(at) else np.empty(0, dtype=np.uint8)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for k, (n, bits) in enumerate(zip(COUNTS, BITS, strict=True), 1):
@@ -123,73 +125,97 @@ def decode(words: np.ndarray, words_per_block: np.ndarray, ids_per_block: np.nda
     return out[keep]
 
 
-def token_payloads(docs: DataFrame, tokenizer: str, end_id: int, buckets: int) -> DataFrame:
-    """(bucket, doc_id, n_tokens, crc, payload): the coded ids of each document with ``end_id`` after them."""
+#: Files are at most as many, so that what the driver and the tasks hold of their bounds is at most 512 KB.
+MOST_FILES = 1 << 15
+_SLICE = 1 << 17  # ids coded at a time
+
+
+def file_bounds(docs: DataFrame, docs_per_file: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edges, first, files): ids up to an edge and past the one before lie in ``files`` files from ``first`` on.
+
+    Edges are approximate quantiles of doc_id, a bounded summary of the column; an id that holds as much as several
+    files is an edge several times, and its rows are dealt to as many files.
+    """
     n = docs.count()
+    wanted = max(1, min(MOST_FILES, -(-n // docs_per_file)))
     cuts = []
-    if n and buckets > 1:
-        quantiles = [i / buckets for i in range(1, buckets)]
-        cuts = docs.agg(F.percentile_approx("doc_id", quantiles, 100 * buckets).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
+    if wanted > 1:
+        q = F.percentile_approx(F.col("doc_id").cast("long"), [i / wanted for i in range(1, wanted)], max(1000, 16 * wanted))
+        cuts = docs.agg(q.alias("q")).first()["q"] or []
+    edges, files = np.unique(np.array(cuts, dtype=np.int64), return_counts=True)
+    files = np.append(files, 1)  # past the last edge
+    return edges, np.cumsum(files) - files, files
+
+
+def token_payloads(docs: DataFrame, tokenizer: str, end_id: int, edges: np.ndarray, first: np.ndarray, files: np.ndarray) -> DataFrame:
+    """(file, doc_id, n_tokens, crc, payload): the coded ids of each document with ``end_id`` after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, edges = encoder_of(tokenizer), np.array(cuts, dtype=np.int64)
-        tail = np.array([end_id], dtype="<u4").tobytes()
+        encoder, dealt = encoder_of(tokenizer), 0
         for b in batches:
             at = 0
-            while at < b.num_rows:  # slices whose arrays a processor's cache holds
-                part, size = at, 0
-                while at < b.num_rows and size < 1 << 18:
-                    size += len(b.column(1)[at].as_buffer() or b"") if b.column(1)[at].is_valid else 0
-                    at += 1
-                rows = b.slice(part, at - part)
-                raw = [x + tail for x in encoder.encode(rows.column(1).to_pylist())]
-                lengths = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-                words, per_block, blocks = encode(np.frombuffer(b"".join(raw), dtype="<u4"), lengths)
-                ends = np.cumsum(np.r_[0, per_block])[np.cumsum(blocks)] * 8
-                data, first, payload = words.astype("<u8").tobytes(), 0, []
-                block_at = 0
-                for end, k in zip(ends.tolist(), blocks.tolist(), strict=True):
-                    payload.append(struct.pack(f"<{k}Q", *per_block[block_at : block_at + k]) + data[first:end])
-                    first, block_at = end, block_at + k
-                ids = rows.column(0).cast(pa.int64())
-                known = ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-                bucket = np.searchsorted(edges, known, side="left")
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), ids, pa.array(lengths), pa.array([zlib.crc32(x) for x in raw], type=pa.int64()), pa.array(payload, type=pa.binary())], ["bucket", "doc_id", "n_tokens", "crc", "payload"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket long, doc_id long, n_tokens long, crc long, payload binary")
+            for ids, lengths in encoder.encode(b.column(1)):
+                all_ids, all_lengths = with_end(ids, lengths, end_id)
+                ends = np.cumsum(all_lengths)
+                for part in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(ends // _SLICE)) + 1):  # a processor's cache holds their arrays
+                    low, high = int(ends[part[0]] - all_lengths[part[0]]), int(ends[part[-1]])
+                    own, lengths = all_ids[low:high], all_lengths[part]
+                    words, per_block, blocks = encode(own, lengths)
+                    payload = _payloads(words, per_block, blocks)
+                    raw, stops = memoryview(own.tobytes()), (np.cumsum(lengths) * 4).tolist()
+                    crc = [zlib.crc32(raw[s:e]) for s, e in zip([0, *stops], stops, strict=False)]
+                    rows = b.column(0).slice(at, len(part)).cast(pa.int64())
+                    known = rows.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+                    i = np.searchsorted(edges, known, side="left")
+                    file = first[i] + (dealt + np.arange(len(part))) % files[i]
+                    dealt += len(part)
+                    at += len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(file.astype(np.int32)), rows, pa.array(lengths), pa.array(crc, type=pa.int64()), payload], ["file", "doc_id", "n_tokens", "crc", "payload"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file int, doc_id long, n_tokens long, crc long, payload binary")
+
+
+def _payloads(words: np.ndarray, per_block: np.ndarray, blocks: np.ndarray) -> pa.Array:
+    """Of each document the words per block, then the words."""
+    block_ends, word_ends = np.cumsum(blocks), np.r_[0, np.cumsum(per_block)][np.cumsum(blocks)]
+    own = np.diff(np.r_[0, word_ends])
+    ends = word_ends + block_ends
+    out = np.empty(len(words) + len(per_block), dtype="<u8")
+    out[np.arange(len(per_block)) + np.repeat(np.r_[0, word_ends[:-1]], blocks)] = per_block
+    out[np.arange(len(words)) + np.repeat(block_ends, own)] = words
+    return pa.BinaryArray.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer((np.r_[0, ends] * 8).astype(np.int32)), pa.py_buffer(out)])
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, docs_per_file: int = 16384) -> DataFrame:
     """Writes the ids of all documents in files and returns their manifest: (file, path, n_docs, n_ids), file
     ascending as the documents' ids do.
 
-    Files take ranges of doc_id of about ``docs_per_file`` rows; inside, documents ascend by doc_id, null first,
-    rows that repeat an id by length and checksum of their ids. Only coded ids are shuffled, not texts. A null
-    text is empty: its one id is ``end_id``. No documents give no files. Other columns are ignored.
+    Files take ranges of doc_id of about ``docs_per_file`` rows, of more past ``MOST_FILES`` files; a task writes one
+    file. Inside, documents ascend by doc_id, null first, rows that repeat an id by length and checksum of their ids; an
+    id with more rows than a file has is dealt to several files, its rows in any order. Only coded ids are shuffled, not
+    texts. A null text is empty: its one id is ``end_id``. No documents give no files. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    buckets = max(1, -(-docs.count() // docs_per_file))
-    coded = token_payloads(docs, tokenizer, end_id, buckets)
-    ordered = coded.repartition(max(partitions(spark), min(buckets, 10_000)), "bucket").sortWithinPartitions("bucket", "doc_id", "n_tokens", "crc")
-    folder = scratch_path(spark, "tokens")
+    edges, first, files = file_bounds(docs, docs_per_file)
+    coded = token_payloads(docs, tokenizer, end_id, edges, first, files)
+    ordered = coded.repartitionById(int(files.sum()), F.col("file")).sortWithinPartitions("file", "doc_id", "n_tokens", "crc")
+    folder = scratch_path(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, current, done = None, None, []
         for b in batches:
-            for bucket, doc_id, n, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                if bucket != current:
+            for file, doc_id, n, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if file != current:
                     if writer:
                         done.append((current, *writer.close()))
-                    writer, current = _Writer(folder), bucket
+                    writer, current = _Writer(folder), file
                 writer.add(doc_id, n, payload.as_buffer())
         if writer:
             done.append((current, *writer.close()))
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["file", "path", "n_docs", "n_ids"])
 
-    files = ordered.select("bucket", "doc_id", "n_tokens", "payload").mapInArrow(run, "file long, path string, n_docs long, n_ids long")
-    return materialise(files, "token-manifest")
+    written = ordered.select("file", "doc_id", "n_tokens", "payload").mapInArrow(run, "file long, path string, n_docs long, n_ids long")
+    return materialise(written, "token-manifest")
 
 
 class _Writer:
@@ -205,7 +231,7 @@ class _Writer:
         blocks = -(-n // BLOCK)
         per_block = np.frombuffer(payload, dtype="<u8", count=blocks)
         self.out.write(payload.slice(8 * blocks))
-        self.docs.append((NULL_ID if doc_id is None else doc_id, n, blocks))
+        self.docs.append((0, n, ~blocks) if doc_id is None else (doc_id, n, blocks))
         ends = self.words + np.cumsum(per_block)
         self.offsets.append(ends - per_block)
         self.words, self.ids = int(ends[-1]), self.ids + n
@@ -218,8 +244,9 @@ class _Writer:
         return self.path, len(self.docs), self.ids
 
 
-def read_file(uri: str, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc ids, lengths, all their ids) of a file, ``step`` documents at a time; raises ValueError on damage."""
+def read_file(uri: str, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc ids, which of them are null, lengths, all their ids) of a file, ``step`` documents at a time; raises
+    ValueError on damage."""
     with open_file(uri) as f:
         size = f.size()
         if size < len(MAGIC) + _FOOT.size or f.read_at(8, 0) != MAGIC:
@@ -227,7 +254,9 @@ def read_file(uri: str, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarra
         words, n, n_blocks, magic = _FOOT.unpack(f.read_at(_FOOT.size, size - _FOOT.size))
         if magic != MAGIC or size != 8 + 8 * words + 24 * n + 8 * n_blocks + _FOOT.size:
             raise ValueError(f"{uri} is cut short")
-        docs = np.frombuffer(f.read_at(24 * n, 8 + 8 * words), dtype="<i8").reshape(-1, 3)
+        docs = np.frombuffer(f.read_at(24 * n, 8 + 8 * words), dtype="<i8").reshape(-1, 3).copy()
+        null = docs[:, 2] < 0
+        docs[null, 2] = ~docs[null, 2]
         offsets = np.frombuffer(f.read_at(8 * n_blocks, 8 + 8 * words + 24 * n), dtype="<u8").astype(np.int64)
         offsets = np.append(offsets, words)
         first = np.cumsum(np.r_[0, docs[:, 2]])
@@ -237,7 +266,7 @@ def read_file(uri: str, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarra
             data = np.frombuffer(f.read_at(8 * int(offsets[b] - offsets[a]), 8 + 8 * int(offsets[a])), dtype="<u8")
             sizes = np.full(b - a, BLOCK, dtype=np.int64)
             sizes[np.cumsum(rows[:, 2]) - 1] = (rows[:, 1] - 1) % BLOCK + 1
-            yield rows[:, 0], rows[:, 1], decode(data, np.diff(offsets[a : b + 1]), sizes)
+            yield rows[:, 0], null[i : i + step], rows[:, 1], decode(data, np.diff(offsets[a : b + 1]), sizes)
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -252,11 +281,12 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for doc_ids, lengths, ids in read_file(uri):
-                    raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths)
-                    parts = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(at + ends - lengths), pa.array(lengths), pa.array(parts, type=pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                for doc_ids, null, lengths, ids in read_file(uri):
+                    ends = np.cumsum(lengths)
+                    raw = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.r_[0, ends] * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=null), pa.array(at + ends - lengths), pa.array(lengths), raw], ["doc_id", "start", "n_tokens", "ids"])
                     at += int(ends[-1])
 
-    dealt = files.repartition(max(1, min(partitions(files.sparkSession) * 4, 10_000)), "file")
+    n = max(1, min(partitions(files.sparkSession) * 4, 10_000))
+    dealt = files.repartitionById(n, F.pmod(F.col("file"), F.lit(n)).cast("int"))
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import components, figures, fingerprint, ids_crc, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from notelake.llm import ann, chat, counts, mixing, packing, quality, simhash, simple8b, urls, warc
+from notelake.llm import ann, bpe, chat, counts, mixing, packing, quality, simhash, simple8b, urls, warc
 from notelake.llm import queries as q
 from notelake.llm.bpe import BpeEncoder
 from notelake.llm.components import components as graph_components
@@ -35,14 +36,37 @@ def encoder():
     return BpeEncoder(q.tokenizer_path())
 
 
-def test_encoder_equals_library(encoder):
-    random.seed(7)
-    alphabet = [" ", "  ", "\n", "\t", "a", "bc", "é", "\u00a0", "\x1c", "\x85", "!", "1", "²", "<|endoftext|>", "\u180e", "\u200b", "漢", "\0", "'s", "'", "👍", "\u0301", "ⅷ", "\u3000", "Word,", "_"]
-    texts = ["".join(random.choices(alphabet, k=random.randint(0, 9))) for _ in range(5000)]
-    plain = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert list(encoder.encode(texts, step=200)) == [np.array(e.ids, dtype="<u4").tobytes() for e in plain]
-    encoder.cached = 50
-    assert list(encoder.encode(texts, step=200)) == [np.array(e.ids, dtype="<u4").tobytes() for e in plain]
+def _split(encoder, texts):
+    return [x.tobytes() for ids, n in encoder.encode(pa.array(texts, pa.string())) for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+_PIECES = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "bc", "é", "\u00a0", "\x1c", "\x85", "!", ",x", "1", "²", "<|endoftext|>", "\u180e", "\u200b", "\u2009", "漢", "\0", "'s", "'", "👍", "\u0301", "ⅷ", "\u3000", "\u2019", "\ufeff", "Word,", "_", "antidisestablishmentarianism"]
+
+
+@pytest.mark.parametrize("step", [1 << 20, 50, 7])
+def test_encoder_equals_library(encoder, monkeypatch, step):
+    """Texts of all kinds of white space, in windows of any size, with a cache that begins anew all the time."""
+    monkeypatch.setattr(bpe, "_STEP", step)
+    r = random.Random(step)
+    texts = ["".join(r.choices(_PIECES, k=r.randint(0, 30))) for _ in range(1500)]
+    plain = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert _split(encoder, texts) == plain
+    monkeypatch.setattr(encoder.table, "limit", 1)
+    assert _split(encoder, texts) == plain and _split(encoder, [None, "", None]) == [b"", b"", b""]
+
+
+def test_encoder_of_other_tokenizers():
+    """A file of another kind is not taken apart; its ids are the library's too."""
+    other = BpeEncoder(q.tokenizer_path("word_bpe_49k.json"))
+    texts = ["Hello, World", " two  words\n", "don't STOP", "", "a<|endoftext|> b"]
+    assert not other.parts and _split(other, texts) == [np.array(other.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
+def test_encoder_refuses_ids_that_do_not_fit(monkeypatch):
+    broken = BpeEncoder(q.tokenizer_path())
+    broken.lengths = broken.lengths + 1
+    with pytest.raises(ValueError):
+        _split(broken, ["some new words"])
 
 
 def test_mixing_edges(odd, none):
@@ -83,6 +107,16 @@ def test_simple8b_edges(odd, none, encoder):
     assert order[:2] == [None, None] and order[2:] == sorted(order[2:])
 
 
+def test_simple8b_hot_id(spark):
+    """An id with most rows is dealt to several files; the least long is an id like any other."""
+    least = -(1 << 63)
+    rows = [(7, f"text {i}") for i in range(50)] + [(i, "x") for i in range(20)] + [(least, "least"), (None, "none")]
+    manifest = simple8b.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), q.tokenizer_path(), docs_per_file=8)
+    assert max(r["n_docs"] for r in manifest.collect()) < 30
+    back = sorted(simple8b.read_tokens(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in back] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0) if d is not None else (False, 0))
+
+
 def test_simple8b_damage(odd, tmp_path):
     path = simple8b.write_tokens(odd, q.tokenizer_path()).first()["path"].removeprefix("file://")
     data = open(path, "rb").read()
