@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,10 +72,61 @@ def materialise_at(df: DataFrame, name: str, dictionary: bool = True) -> tuple[D
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Scratch tables of one computation, which go together once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[SparkSession, str]] = []
+
+    def keep(self, df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+        out, path = materialise_at(df, name, dictionary)
+        self.held.append((df.sparkSession, path))
+        return out
+
+    def drop(self) -> None:
+        for spark, path in self.held:
+            drop_scratch(spark, path)
+        self.held.clear()
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of record batches; what a batch needed goes back to the system after it, so that idle Python
+    workers hold little beside the executor."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow
+
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+        def each() -> Iterator:
+            for b in batches:
+                yield b
+                del b
+                pyarrow.default_memory_pool().release_unused()
+                if trim:
+                    trim(0)
+
+        yield from run(each())
+
+    return wrapped
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and back quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of a table, whatever their names."""
+    return [named(c) for c in df.columns]
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, text_or_empty
+from .common import WORD, materialise, named, text_or_empty
 
 WINDOW = 8  # words of a repeated window
 #: name: (ratio, good if at most or at least, bad if at least or at most). Fixed values of the rules.
@@ -146,7 +146,7 @@ def _scored(docs: DataFrame, columns: list[str], threshold: float) -> DataFrame:
     Columns and figures are written once; estimating and judging read them. (Filters on figures that are not
     written would be pushed below the projections that compute them, and compute them again in each use.)
     """
-    df = measured(docs.select(*[F.col(c).alias(f"_c_{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("text"))).drop("text")
+    df = measured(docs.select(*[named(c).alias(f"_c_{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("text"))).drop("text")
     df = materialise(df.withColumn("base_failed", base_failed()).withColumn("votes", votes()), "quality")
     patterns = df.filter("not base_failed").groupBy(F.col("votes").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     fitted = F.broadcast(estimated(patterns))  # one row
@@ -165,6 +165,7 @@ def judged(docs: DataFrame, columns: list[str], threshold: float = 0.5) -> DataF
 
 
 def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, with their columns."""
+    """The rows of ``docs`` that ``judged`` keeps, with their columns, whatever their names. Null, empty and blank texts go;
+    rows that repeat stay or go each; whole texts count, however long; an empty table stays empty."""
     own = [F.col(f"_c_{i}").alias(c) for i, c in enumerate(docs.columns)]
     return _scored(docs, docs.columns, threshold).filter("kept").select(*own)

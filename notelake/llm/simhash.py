@@ -13,11 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import bounded_broadcast, materialise, partitions
+from .bits import planes, within
+from .common import Scratch, bounded_broadcast, lean, materialise, own_columns, partitions
 from .components import components
 
-_U = np.uint64
-_ONES = _U(0xFFFFFFFFFFFFFFFF)
 #: Rows compared with one another at once, unless one group alone is larger.
 _BLOCK = 1024
 #: Query rows compared with a block in one step.
@@ -56,54 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(x.as_py(), width) for x in b.column(1)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
-
-
-def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes: bit j of word i of row p is bit p of fingerprint 64 i + j. (64, ceil(n / 64)) uint64."""
-    n = len(fps)
-    padded = np.zeros(-(-n // 64) * 64, dtype="<u8")
-    padded[:n] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
-
-
-def within(queries: np.ndarray, sliced: np.ndarray, radius: int, order: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-    """For each query, a bit per fingerprint of the block: at most ``radius`` bits differ. (q, words) uint64.
-
-    A carry-save counter of bit_length(radius) planes counts the differing bits of 64 distances per word;
-    distances past its range stay marked as over. Words in which every distance is over are abandoned.
-    ``own``: positions of the queries in the block, which don't count as near.
-    """
-    width, live = max(1, radius.bit_length()), np.arange(sliced.shape[1])
-    shape = (len(queries), len(live))
-    count = [np.zeros(shape, dtype=_U) for _ in range(width)]
-    over = np.zeros(shape, dtype=_U)
-    if own is not None:
-        over[np.arange(len(own)), own >> 6] |= _U(1) << (own & 63).astype(_U)
-    near = np.zeros(shape, dtype=_U)
-    for step, p in enumerate(order):
-        ask = np.where((queries >> _U(p)) & _U(1), _ONES, _U(0))
-        carry = sliced[p][None, live] ^ ask[:, None]
-        for c in count:
-            c ^= carry  # the sum bit; what was set and is now clear carries on
-            carry &= ~c
-        over |= carry
-        if step >= 2 * radius and step % 4 == 3:
-            open_ = (over != _ONES).any(axis=0)
-            if not open_.any():
-                return near
-            if open_.sum() * 2 <= len(live):
-                live, over, count = live[open_], over[:, open_], [np.ascontiguousarray(c[:, open_]) for c in count]
-    if radius + 1 < 1 << width:  # the counter's range passes the radius: compare its value with the radius
-        more, same = np.zeros(over.shape, dtype=_U), np.full(over.shape, _ONES)
-        for k in reversed(range(width)):
-            bit = _ONES if radius >> k & 1 else _U(0)
-            more |= same & count[k] & ~bit
-            same &= ~(count[k] ^ bit)
-        over |= more
-    near[:, live] = ~over
-    return near
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 class _Roots:
@@ -265,29 +217,34 @@ def near_deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     last), of those with the least XXH64 of its words, then of the whole row. Rows that repeat a doc_id with texts of
     different components stay in each.
 
-    Near copies share at least ``similarity`` (Jaccard) of their shingles of ``width`` words; see ``neardup``.
+    Near copies share at least ``similarity`` (Jaccard) of their shingles of ``width`` words; see ``neardup``. Null and
+    blank texts, which have no shingle, are copies of one another; texts of fewer words than ``width`` are one shingle.
+    Whole texts count, however long. An empty table stays empty. Columns may have any name.
     """
-    rows = materialise(neardup.signed_rows(docs, width).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    roots = materialise(neardup.near_roots(rows, width, similarity), "near-roots")
+    scratch = Scratch()
+    rows = scratch.keep(neardup.signed_rows(docs, width).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    roots = scratch.keep(neardup.near_roots(rows, width, similarity, scratch), "near-roots")
     own = rows.select("doc_id", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    own = materialise(own, "near-own")
+    own = scratch.keep(own, "near-own")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp"))
-    best = materialise(own.groupBy("root").agg(first.alias("w")).select("root", F.col("w.doc_id").alias("_id"), F.col("w.fp").alias("_fp")), "near-best")
-    repeated = materialise(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "near-repeated")
-    gone = own.join(best, "root").filter("doc_id <> _id or fp <> _fp").select(F.col("doc_id").alias("_gone")).distinct()
+    best = materialise(own.groupBy("root").agg(first.alias("w")).select("root", F.col("w.doc_id").alias("best_id"), F.col("w.fp").alias("best_fp")), "near-best")
+    repeated = materialise(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("odd")), "near-repeated")
+    gone = own.join(best, "root").filter("doc_id <> best_id or fp <> best_fp").select(F.col("doc_id").alias("gone")).distinct()
+    gone = materialise(gone, "near-gone")
+    scratch.drop()
+    whole = docs.select(F.struct(*own_columns(docs)).alias("whole"), F.col("doc_id").cast("long").alias("id"))
+    once = whole.join(bounded_broadcast(gone, gone.count(), 16), F.col("id") == F.col("gone"), "left_anti")
     if repeated.isEmpty():
-        gone = materialise(gone, "near-gone")
-        return docs.join(bounded_broadcast(gone, gone.count(), 16), F.col("doc_id") == F.col("_gone"), "left_anti")
-    odd = repeated.select(F.col("doc_id").alias("_odd"))
-    same_id = F.col("doc_id").eqNullSafe(F.col("_odd"))
-    once = docs.join(odd, same_id, "left_anti").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    many = docs.join(odd, same_id, "left_semi").select(F.struct(*docs.columns).alias("_all"), "doc_id", "text")
-    many = word_digest_column(many).join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
-    order = W.partitionBy("doc_id", "fp").orderBy(F.xxhash64("text"), F.xxhash64(F.to_json("_all")))
-    return once.unionByName(many.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("_all.*"))
-
-
-def word_digest_column(docs: DataFrame) -> DataFrame:
+        return once.select("whole.*")
+    same_id = F.col("id").eqNullSafe(F.col("odd"))
+    once = once.join(repeated, same_id, "left_anti")
+    many = word_digest_column(whole.join(repeated, same_id, "left_semi").withColumn("text", F.col("whole.text")), "text")
+    many = many.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("fp") == F.col("best_fp")), "left_semi")
+    order = W.partitionBy("id", "fp").orderBy(F.xxhash64("text"), F.xxhash64(F.to_json("whole")))
+    return once.select("whole.*").unionByName(many.withColumn("n", F.row_number().over(order)).filter("n = 1").select("whole.*"))
+
+
+def word_digest_column(docs: DataFrame, text: str) -> DataFrame:
     """The rows with the XXH64 of their words as column ``fp``."""
 
     @F.pandas_udf("long")
@@ -297,4 +254,4 @@ def word_digest_column(docs: DataFrame) -> DataFrame:
         values = [xxhash.xxh64_intdigest(b" ".join(neardup.words_of(None if x is None else bytes(x))), 42) for x in texts]
         return pd.Series(np.array(values, dtype=np.uint64).view(np.int64))
 
-    return docs.withColumn("fp", fp(F.col("text").cast("binary")))
+    return docs.withColumn("fp", fp(F.col(text).cast("binary")))
