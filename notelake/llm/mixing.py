@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise, running_offsets, word_count
+from .common import bounded_broadcast, materialise, own_columns, partitions, running_offsets, word_count
 
 GOLDEN = 0.6180339887498949  # fixed value: (sqrt(5) - 1) / 2
 _CHUNK = 4096  # slots ranked by one window
@@ -23,23 +23,26 @@ _CELLS = 4096  # cells of [0, 1) in which points meet the sources' intervals
 
 @dataclass
 class Mixture:
-    """``documents``: a row per input row (doc_id, source, size, source_size, target, start, quota, taken_words
-    comes from ``taken()``). ``pieces``: what each slot takes. ``sources``: sizes, weights, targets, quotas."""
+    """``documents``: a row per input row (doc_id, source, key, twin, size, source_size, target, start, quota).
+    ``sources``: sizes, weights, targets, quotas. ``schedule``: the slot of each block of each source. ``pieces``: what
+    each slot takes. ``points``: number of points; slots from there on hold the blocks that no point was left for."""
 
     documents: DataFrame
     sources: DataFrame
     schedule: DataFrame
     pieces: DataFrame
+    points: int
 
     def taken(self) -> DataFrame:
-        """A row per document with the words that the mix takes of it, repeats counted."""
+        """A row per document with the words that the mix takes of it, repeats counted, the first slot that takes some
+        (null if none does), and in how many pieces slots take it."""
         keys = ["sid", "start", "doc_id", "size", "source_size", "target"]
-        got = self.pieces.select(*keys, F.col("length").alias("n"))
-        none = self.documents.select(*keys, F.lit(0).cast("long").alias("n"), "copies_of_row")
-        got = got.withColumn("copies_of_row", F.lit(0).cast("long"))
-        out = got.unionByName(none).groupBy(*keys).agg(F.sum("n").alias("taken"), F.sum("copies_of_row").alias("_rows"))
-        # empty documents of one id share a position; one row each
-        return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))).drop("_i", "_rows")
+        none = F.lit(None).cast("long")
+        got = self.pieces.select(*keys, F.col("length").alias("n"), "slot", F.lit(0).cast("long").alias("rows"))
+        own = self.documents.select(*keys, F.lit(0).cast("long").alias("n"), none.alias("slot"), F.lit(1).cast("long").alias("rows"))
+        out = got.unionByName(own).groupBy(*keys).agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_pieces"), F.sum("rows").alias("rows"))
+        # documents without words share a position; one row each
+        return out.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("i", "rows")
 
 
 def shuffle_key(seed: int) -> Column:
@@ -103,25 +106,25 @@ def slot_schedule(sources: DataFrame, n_sources: int, total: int, block: int) ->
     return slots.unionByName(late)
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: int = 3, slots: int = 1 << 17, max_block: int = 1 << 20, seed: int = 42) -> Mixture:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: int = 3, slots: int = 1 << 17, max_block: int = 1 << 20, seed: int = 42, twin: Column | None = None) -> Mixture:
     """Mixes documents (doc_id, text, source) to the sources' weights.
 
     The size of a document is its number of words. Blocks have ``total / slots`` words, ``max_block`` at most.
     Null texts and texts without words have size 0 and are never taken; a null source is a source of its own,
     last in order; repeated rows are documents of their own; an empty table gives an empty mixture; other
-    columns are ignored. The result depends on the rows alone, not on their partitions, so reruns agree.
+    columns are ignored. Texts of any length count whole. Ties of the shuffle go by doc_id, size and ``twin`` (long), which
+    may tell rows of one text apart. The result depends on the rows alone, not on their partitions, so reruns agree.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    base = materialise(docs.select("doc_id", "source", word_count(text).alias("size"), shuffle_key(seed).alias("key")), "mix-sizes")
+    base = materialise(docs.select("doc_id", "source", word_count(text).alias("size"), shuffle_key(seed).alias("key"), (F.lit(0).cast("long") if twin is None else twin).alias("twin")), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = materialise(source_targets(sizes, weights, max_repeat), "mix-sources")
     total, rows, n_sources = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0)), F.count(F.lit(1))).first()
     block = min(max(1, total // slots), max_block)
     known = bounded_broadcast(sources.select(F.col("source").alias("_s"), "sid", "source_size", "target", "quota"), n_sources, 96)
     placed = base.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = running_offsets(placed, "sid", "key", "size", ["doc_id", "size"], rows, "start")
-    placed = placed.withColumn("copies_of_row", F.lit(1).cast("long"))
+    placed = running_offsets(placed, "sid", "key", "size", ["doc_id", "size", "twin"], rows, "start")
     placed = materialise(placed, "mix-placed")
     schedule = slot_schedule(sources, n_sources, total, block)
     first = F.col("epoch") * F.col("source_size") + F.col("start")
@@ -131,30 +134,37 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: int =
     lo = F.greatest(F.col("at"), F.col("block") * block)
     hi = F.least(F.col("until"), (F.col("block") + 1) * block)
     cut = cut.withColumn("offset", lo - F.col("at")).withColumn("length", hi - lo)
-    pieces = cut.join(schedule, ["sid", "block"]).select("slot", "sid", "source", "block", "epoch", "doc_id", "start", "size", "source_size", "target", "offset", "length")
-    return Mixture(placed, sources, schedule, pieces)
+    pieces = cut.join(schedule, ["sid", "block"]).select("slot", "sid", "source", "block", "epoch", "doc_id", "key", "twin", "start", "size", "source_size", "target", "offset", "length")
+    return Mixture(placed, sources, schedule, pieces, -(-total // block))
 
 
 def taken_per_document(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per document row (see ``mix``)."""
+    """doc_id, size, source_size, target, taken, first_slot, n_pieces: one row per document row (see ``mix``)."""
     out = mix(docs, **options).taken()
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_pieces")
 
 
-def mixed_documents(docs: DataFrame, max_repeat: int = 3, **options) -> DataFrame:
-    """The documents of the mix with their columns: a document appears once for each of its passes whose first
-    word lies inside its source's quota, so a source's words pass its target by less than one document.
+def mixed_documents(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
+    """The documents of the mix with their columns, in the order of its slots: a document appears for each slot that
+    takes its first word, so a source's words pass its target by less than one document.
 
-    Documents without words are not part of a mix of words and go; rows that agree in doc_id, source and text
-    share their passes, rounded up.
+    Partitions follow one another as runs of slots do, and rows inside one are in order. Documents without words (null,
+    blank) are not part of a mix of words and go. Rows that agree in all columns appear as often together as their slots
+    say. An empty table stays empty. Columns may have any name. ``docs`` is read twice.
     """
-    seed = options.get("seed", 42)
-    m = mix(docs, max_repeat=max_repeat, **options)
-    passes = F.ceil((F.col("quota") - F.col("start")) / F.col("source_size"))
-    passes = F.when((F.col("size") > 0) & (F.col("start") < F.col("quota")), F.least(F.lit(max_repeat).cast("long"), passes)).otherwise(0)
-    used = m.documents.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("source").alias("_s"))
-    used = used.agg(F.ceil(F.sum(passes) / F.count(F.lit(1))).alias("_copies")).filter("_copies > 0")
-    same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
-    joined = docs.withColumn("_key", shuffle_key(seed)).join(used, same)
-    copies = joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return copies.select(*[docs[c] for c in docs.columns])
+    columns = [F.to_json(F.struct(c)) if "map" in kind or "variant" in kind else c for c, (_, kind) in zip(own_columns(docs), docs.dtypes, strict=True)]
+    m = mix(docs, seed=seed, twin=F.xxhash64(*columns), **options)
+    copies = m.pieces.filter("offset = 0").select("slot", "start", F.col("doc_id").alias("m_doc"), F.col("key").alias("m_key"), F.col("twin").alias("m_twin"))
+    whole = docs.select(F.struct(*own_columns(docs)).alias("whole"), "doc_id", shuffle_key(seed).alias("key"), F.xxhash64(*columns).alias("twin"))
+    keys = ["doc_id", "key", "twin"]
+    twins = m.documents.filter("size > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*(F.col(k).alias(f"t_{k}") for k in keys))
+    twins = materialise(twins, "mix-twins")
+    if not twins.isEmpty():  # one row stands for all that are alike
+        same = (F.col("key") == F.col("t_key")) & (F.col("twin") == F.col("t_twin")) & F.col("doc_id").eqNullSafe(F.col("t_doc_id"))
+        one = whole.join(twins, same, "left_semi").groupBy(*keys).agg(F.first("whole").alias("whole"))
+        whole = whole.join(twins, same, "left_anti").unionByName(one.select(*whole.columns))
+    same = (F.col("key") == F.col("m_key")) & (F.col("twin") == F.col("m_twin")) & F.col("doc_id").eqNullSafe(F.col("m_doc"))
+    n = partitions(docs.sparkSession)
+    part = F.least(F.expr(f"slot * {n}L div {max(1, m.points)}L"), F.lit(n - 1)).cast("int")
+    dealt = whole.join(copies, same).select("whole", "slot", "start").repartitionById(n, part)
+    return dealt.sortWithinPartitions("slot", "start").select("whole.*")

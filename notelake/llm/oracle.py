@@ -6,23 +6,29 @@ from . import quality
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-#: The mix: where a document lies in its source's shuffled stream, and how much of it the quota's passes cover.
+#: The mix: where a document lies in its source's shuffled stream, how much of it the quota's passes cover, and the
+#: golden-ratio points that fall to the blocks it lies in.
 MIXING = rf"""WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS sid FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][CAST((sid - 1) % 3 + 1 AS INT)] AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM s),
 l AS (SELECT *, (CAST((SELECT sum(source_size) FROM s) AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS try FROM w),
 t AS (SELECT *, least(cap, coalesce((SELECT try FROM l WHERE try <= cap / w ORDER BY cap / w, sid LIMIT 1) * w, cap)) AS target FROM l),
-q AS (SELECT *, least(CAST(round(target) AS BIGINT), CAST(cap AS BIGINT)) AS quota FROM t),
-a AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d)
-SELECT a.doc_id, a.size, q.source_size, q.target, CAST(greatest(0, least(quota, a + size) - a) + greatest(0, least(quota, source_size + a + size) - source_size - a) + greatest(0, least(quota, 2 * source_size + a + size) - 2 * source_size - a) AS BIGINT) AS taken
-FROM a JOIN q ON a.source IS NOT DISTINCT FROM q.source"""
+b AS (SELECT total, blk, CAST((total + blk - 1) // blk AS BIGINT) AS n FROM (SELECT total, least(greatest(1, total // 131072), 1048576) AS blk FROM (SELECT CAST(sum(source_size) AS BIGINT) AS total FROM s))),
+q AS (SELECT t.*, blk, n, least(CAST(round(target) AS BIGINT), CAST(cap AS BIGINT)) AS quota, sum(target) OVER (ORDER BY sid) / total AS hi, coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total AS lo FROM t, b),
+u AS (SELECT slot, ((slot + 0.5e0) * 0.6180339887498949e0) % 1.0e0 AS u FROM (SELECT unnest(range(n)) AS slot FROM b)),
+r AS (SELECT sid, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block FROM u JOIN q ON u >= lo AND u < hi),
+a AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d),
+e AS (SELECT a.doc_id, a.size, a.a, q.*, CAST(a.a // blk AS BIGINT) AS block, greatest(0, least(quota, a + size) - a) AS t0, greatest(0, least(quota, source_size + a + size) - source_size - a) AS t1, greatest(0, least(quota, 2 * source_size + a + size) - 2 * source_size - a) AS t2 FROM a JOIN q ON a.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, CAST(t0 + t1 + t2 AS BIGINT) AS taken, CAST(CASE WHEN t0 > 0 THEN coalesce(r.slot, n + e.block * (SELECT count(*) FROM s) + e.sid) END AS BIGINT) AS first_slot,
+CAST(CASE WHEN t0 > 0 THEN (a + t0 - 1) // blk - a // blk + 1 ELSE 0 END + CASE WHEN t1 > 0 THEN (source_size + a + t1 - 1) // blk - (source_size + a) // blk + 1 ELSE 0 END + CASE WHEN t2 > 0 THEN (2 * source_size + a + t2 - 1) // blk - (2 * source_size + a) // blk + 1 ELSE 0 END AS BIGINT) AS n_pieces
+FROM e LEFT JOIN r ON r.sid = e.sid AND r.block = e.block"""
 
 _ESCAPED = r"regexp_replace(replace(coalesce({0}, ''), '\', '\\'), '([<\[])(/?s>|/?INST\]|image>|audio>|document>)', '\1\\\2', 'g')"
 
 CHAT = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-CAST(sum(length({_ESCAPED.format("text")}) + length(replace({_ESCAPED.format("role")}, chr(10), '\' || chr(10))) + CASE WHEN role = 'assistant' THEN 8 ELSE 21 END) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+CAST(sum(length({_ESCAPED.format("text")}) + length(replace({_ESCAPED.format("role")}, chr(10), '\' || chr(10))) + CASE WHEN role = 'assistant' THEN 8 ELSE 21 END) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS media_tokens FROM c GROUP BY conv_id"""
 
 WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS n, sha256(h) AS dg, min(page_id) OVER (PARTITION BY h) AS f FROM p)
 SELECT page_id, n AS payload_bytes, dg AS payload_digest, CASE WHEN n >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND f <> page_id THEN f END AS refers_to FROM d"""
