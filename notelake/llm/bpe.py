@@ -33,7 +33,7 @@ _KEY = 16
 _KEEP = np.array([[(1 << 8 * min(8, max(0, n - 8 * w))) - 1 for w in range(2)] for n in range(_KEY + 1)], dtype=np.uint64)
 _MIX = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 #: Bytes of texts that are taken apart at a time.
-_STEP = 1 << 20
+_STEP = 1 << 19
 
 
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -157,7 +157,7 @@ class BpeEncoder:
     so are all texts of other tokenizers. ``cache_bytes`` bounds the cache; it bears on speed only.
     """
 
-    def __init__(self, path: str, cache_bytes: int = 96 << 20):
+    def __init__(self, path: str, cache_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -344,7 +344,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _OF_PROCESS: dict[str, BpeEncoder] = {}
 
 
-def encoder_of(path: str, cache_bytes: int = 96 << 20) -> BpeEncoder:
+def encoder_of(path: str, cache_bytes: int = 64 << 20) -> BpeEncoder:
     """The encoder of this worker process; its cache, of ``cache_bytes`` at most, serves all tasks that the worker runs."""
     if path not in _OF_PROCESS:
         _OF_PROCESS[path] = BpeEncoder(path, cache_bytes)

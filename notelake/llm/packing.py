@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder_of
-from .common import materialise
+from .common import lean, materialise
 
 
 class CapacityTree:
@@ -62,7 +62,7 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndar
     return out, lengths + 1
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, cache_bytes: int = 96 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, cache_bytes: int = 64 << 20) -> DataFrame:
     """(row_id, doc_id, start, length, doc_tokens, ids): each document's ids and ``end_id``, cut after every
     ``capacity`` ids; ids are unsigned 32-bit little-endian. A null text is empty. row_id tells rows of one
     doc_id apart."""
@@ -83,7 +83,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
                 at += len(lengths)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "row_id long, doc_id long, start long, length long, doc_tokens long, ids binary")
+    return rows.mapInArrow(lean(run), "row_id long, doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def pack(pieces: DataFrame, documents: int, capacity: int = 1024, docs_per_group: int = 8192, seed: int = 42) -> DataFrame:
@@ -114,7 +114,7 @@ def pack(pieces: DataFrame, documents: int, capacity: int = 1024, docs_per_group
     return own.unionByName(packed)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, docs_per_group: int = 8192, cache_bytes: int = 96 << 20) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, docs_per_group: int = 8192, cache_bytes: int = 64 << 20) -> DataFrame:
     """Sequences of whole documents: row_id, doc_id, start, length, doc_tokens, ids, sequence_id, offset.
 
     Every row of ``docs`` is a document, also if it repeats a doc_id or text, or has a null doc_id; a null or

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import encoder_of
-from .common import materialise, partitions, scratch_path
+from .common import lean, materialise, partitions, scratch_path
 from .files import new_file, open_file
 from .packing import with_end
 
@@ -172,7 +172,7 @@ def token_payloads(docs: DataFrame, tokenizer: str, end_id: int, edges: np.ndarr
                     at += len(part)
                     yield pa.RecordBatch.from_arrays([pa.array(file.astype(np.int32)), rows, pa.array(lengths), pa.array(crc, type=pa.int64()), payload], ["file", "doc_id", "n_tokens", "crc", "payload"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file int, doc_id long, n_tokens long, crc long, payload binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "file int, doc_id long, n_tokens long, crc long, payload binary")
 
 
 def _payloads(words: np.ndarray, per_block: np.ndarray, blocks: np.ndarray) -> pa.Array:
@@ -289,4 +289,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
     n = max(1, min(partitions(files.sparkSession) * 4, 10_000))
     dealt = files.repartitionById(n, F.pmod(F.col("file"), F.lit(n)).cast("int"))
-    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return dealt.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
