@@ -36,12 +36,19 @@ def text_parts(text: Column) -> Column:
     return F.array(one)
 
 
-def _visit(part: Column) -> Column:
-    """What a part reads as: escaped text or its placeholder; parts of unknown type read as their text."""
-    out = escaped(F.coalesce(part["text"], F.lit("")))
-    for kind, mark in PLACEHOLDERS.items():
-        out = F.when(part["type"] == kind, F.lit(mark)).otherwise(out)
-    return out
+def _content(parts: Column) -> Column:
+    """What parts read as, in order: placeholders, and between them the texts that follow one another, joined and then
+    escaped, so that no control string arises where two meet. Parts of unknown type read as their text."""
+    mark = lambda p: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv]), p["type"]), F.lit(""))
+
+    def visit(s: Column, p: Column) -> Column:
+        media = F.coalesce(p["type"].isin(*PLACEHOLDERS), F.lit(False))
+        done = F.when(media, F.concat(s["done"], escaped(s["text"]), mark(p))).otherwise(s["done"])
+        text = F.when(media, F.lit("")).otherwise(F.concat(s["text"], F.coalesce(p["text"], F.lit(""))))
+        return F.struct(done.alias("done"), text.alias("text"))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("text"))
+    return F.aggregate(parts, start, visit, lambda s: F.concat(s["done"], escaped(s["text"])))
 
 
 def _attachments(parts: Column) -> Column:
@@ -67,7 +74,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     null conv_id is a conversation; no turns give no rows; other columns are ignored. A conversation becomes one
     string, so it meets in one task, as its result does.
     """
-    content = F.array_join(F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), _visit), "")
+    content = _content(F.coalesce("parts", F.array().cast(f"array<{PART}>")))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     t = turns.select("conv_id", "turn", role.alias("role"), content.alias("content"), _attachments(F.coalesce("parts", F.array().cast(f"array<{PART}>"))).alias("media"))
     # A line feed inside a role is escaped too, as the first one outside ends it.
@@ -88,10 +95,10 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
 def parse_chats(chats: DataFrame) -> DataFrame:
     """Reads ``formatted`` back: conv_id, turns (array of role and text, placeholders as they stand), loss_text
-    (all text under the loss spans, unescaped)."""
+    (all text under the loss spans, unescaped), media_tokens."""
     # Neither CLOSE nor a line feed that ends a role can occur unescaped elsewhere.
     parts = F.filter(F.split("formatted", "(?<=</s>)"), lambda x: x != "")
     pattern = r"(?s)^<s>(?:\[INST\])?((?:[^\\\n]|\\.)*+)\n(.*?)(?:\[/INST\])?</s>$"
     turns = F.transform(parts, lambda x: F.struct(unescaped(F.regexp_extract(x, pattern, 1)).alias("role"), unescaped(F.regexp_extract(x, pattern, 2)).alias("text")))
     masked = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return chats.select("conv_id", "formatted", turns.alias("turns"), F.array_join(masked, "").alias("loss_text"))
+    return chats.select("conv_id", "formatted", turns.alias("turns"), F.array_join(masked, "").alias("loss_text"), "media_tokens")

@@ -51,7 +51,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "conv_id long, turn long, role string, text string"
     extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], schema)
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = chat.parse_chats(chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text")))))
+    made = chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text"))))
+    back = chat.parse_chats(made)
     line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -60,6 +61,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "media_tokens",
     )
 
 
