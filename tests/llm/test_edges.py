@@ -8,7 +8,7 @@ import pytest
 from brute import components, figures, fingerprint, ids_crc, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from notelake.llm import ann, bpe, chat, counts, mixing, packing, quality, simhash, simple8b, urls, warc
+from notelake.llm import ann, bits, bpe, chat, counts, mixing, packing, quality, simhash, simple8b, urls, warc
 from notelake.llm import queries as q
 from notelake.llm.bpe import BpeEncoder
 from notelake.llm.components import components as graph_components
@@ -83,6 +83,32 @@ def test_mixing_edges(odd, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+_CLASHES = ["fp", "_gone", "gone", "root", "_row", "whole", "_key", "key", "_i", "i", "_copies", "_d", "_k", "_s", "sid", "slot", "start", "twin", "n", "id", "a b.c", "size", "_id", "_c_0"]
+
+
+def test_clashing_columns(spark):
+    """Stages give any columns back as they were, also of rows that repeat an id."""
+    rows = [(1, "one two three four", "s", *range(len(_CLASHES))), (2, "five six seven", "s", *range(100, 100 + len(_CLASHES))), (2, "eight nine ten", "s", *range(200, 200 + len(_CLASHES)))]
+    rows += [(3, "one two three four", "s", *range(300, 300 + len(_CLASHES))), rows[1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` long" for c in _CLASHES))
+    kept = simhash.near_deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows[:3])
+    mixed = mixing.mixed_documents(docs, weights=(1,))
+    assert mixed.columns == docs.columns and sorted(map(tuple, mixed.collect())) == sorted(rows)
+    assert quality.kept_documents(docs).columns == docs.columns
+
+
+def test_twins_share_no_pass(spark):
+    """Two equal documents fill a target to less than one document past it."""
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, " ".join(f"w{i}" for i in range(5)), "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {s: 0 for s in "xy"}
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["source"]] += len(words(r["text"]))
+    want = {r["source"]: r["target"] for r in mixing.mix(docs).sources.collect()}
+    assert want["x"] == pytest.approx(55 / 7) and want["x"] - 1 <= got["x"] < want["x"] + 3
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(3)
     for top in (1, 2, 60_000, 1 << 33, (1 << 64) - 1):
@@ -145,9 +171,9 @@ def test_bit_slices(seed, radius, n):
     fps = centres[rng.integers(0, 5, n)]
     for _ in range(4):
         fps = fps ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
-    near = simhash.within(fps[:9], simhash.planes(fps), radius, np.arange(64))
-    bits = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, :n]
-    assert (bits == (np.bitwise_count(fps[:9, None] ^ fps[None, :]) <= radius)).all()
+    near = bits.within(fps[:9], bits.planes(fps), radius, np.arange(64))
+    found = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, :n]
+    assert (found == (np.bitwise_count(fps[:9, None] ^ fps[None, :]) <= radius)).all()
 
 
 @pytest.mark.parametrize("shard", [8, 32768])
@@ -210,6 +236,33 @@ def test_chat_parts(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_chat_split_parts(spark):
+    """Control strings that arise only where texts meet come back, as turns, texts and loss."""
+    r, bits_ = random.Random(6), ["<", "<s", "s>", "/s>", "</s>", "[", "[IN", "ST]", "INST]", "[INST]", "/INST]", "\\", "\n", "<im", "age>", "x", "", None]
+    rows, want = [], {}
+    for conv in range(300):
+        want[conv] = []
+        for turn in range(r.randint(1, 3)):
+            parts, text = [], ""
+            for _ in range(r.randint(0, 6)):
+                if r.random() < 0.2:
+                    kind = r.choice(["image", "audio", "document"])
+                    parts.append((kind, None, "u", None))
+                    text += f"<{kind}>"
+                else:
+                    t = r.choice(bits_)
+                    parts.append((r.choice(["text", None, "odd"]), t, None, None))
+                    text += t or ""
+            role = r.choice(["user", "assistant", "system<", "a\n\\"])
+            rows.append((conv, turn, role, parts))
+            want[conv].append((role, text))
+    made = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>"))
+    back = {b["conv_id"]: b for b in chat.parse_chats(made).collect()}
+    for conv, turns in want.items():
+        assert [(t["role"], t["text"]) for t in back[conv]["turns"]] == turns
+        assert back[conv]["loss_text"] == "".join(t for role, t in turns if role == "assistant")
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "<image>", "\\", "\n", "[", "<", "/s>", "x"]), max_size=10).map("".join))
 def test_escape_model(text):
@@ -252,21 +305,35 @@ def test_quality_posterior(spark):
 
 
 def test_urls_edges(spark):
-    rows = [(1, None, 5), (2, "no scheme", 5), (3, "http://A.Example.NET/en/x?y=/", 5), (3, "http://a.net", 5), (None, "x://b.org/fr/", 5), (4, "http://spam-farm.example.org/win", 5), (5, "a://h/b://c", 5)]
+    rows = [(1, None, 5), (2, "no scheme", 5), (3, "http://A.Example.NET/en/x?y=/", 5), (3, "http://a.net", 5), (None, "x://b.org/fr/", 5), (4, "http://cheapcasino.example.org/x", 5), (5, "a://h/b://c", 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, rule int")
     got = [tuple(r)[1:4] + (r["verdict"],) for r in urls.judged_urls(pages).collect()]
     assert got[0][:3] == got[1][:3] == ("", "", None)
-    assert got[2:6] == [("a.example.net", "/en/x", "example.net/en/", "allow"), ("a.net", "", None, got[3][3]), ("b.org", "/fr/", "org/fr/", "allow"), ("spam-farm.example.org", "/win", None, "block")]
+    assert got[2:6] == [("a.example.net", "/en/x", "example.net/en/", "allow"), ("a.net", "", None, got[3][3]), ("b.org", "/fr/", "org/fr/", "allow"), ("cheapcasino.example.org", "/x", None, "block")]
     assert got[6][:2] == ("h", "/b://c") and urls.judged_urls(pages.limit(0)).count() == 0
 
 
 def test_urls_held_out():
-    """Trained on half of the words, the model tells most of the shapes' other words apart."""
-    data = urls.labelled_urls()
-    train, test = [x for i, x in enumerate(data) if i % 5 != 4], data[4::5]
-    model = urls.trained(train)
-    right = sum((model.probability(*urls.host_and_path(u)) >= 0.5) == bool(y) for u, y in test)
-    assert right >= 0.9 * len(test)
+    """Hosts that training did not see, made of words that it saw in others, are told apart at the threshold that ships."""
+    got = urls.held_out()
+    right = sum((p >= urls.THRESHOLD) == bool(y) for _, y, p in got)
+    assert len(got) == len(urls.labelled_hosts()) and right >= 0.9 * len(got)
+
+
+def test_urls_held_out_by_word():
+    """The threshold is the least step that leaves hosts of wanted words that training never saw alone; of hosts of
+    unwanted words that it never saw about a third are found."""
+    got = urls.held_out(by_word=True)
+    blocked = lambda t, y: sum(p >= t for _, z, p in got if z == y) / sum(z == y for _, z, _ in got)
+    assert urls.THRESHOLD == next(t / 20 for t in range(1, 20) if blocked(t / 20, 0) <= 0.02) and blocked(urls.THRESHOLD, 1) >= 0.3
+
+
+def test_urls_long(spark):
+    """Very long hosts and paths are judged whole."""
+    long = "x" * 300_000
+    pages = spark.createDataFrame([(1, f"http://{long}.net/{long}"), (2, f"http://a.example.com/{long}?q"), (3, "://"), (4, "")], "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judged_urls(pages).collect()}
+    assert (got[1]["host"], got[1]["path"], got[1]["rule"]) == (f"{long}.net", f"/{long}", "net/") and got[2]["path"] == f"/{long}" and got[3]["host"] == ""
 
 
 def test_packing_edges(odd, none, encoder):

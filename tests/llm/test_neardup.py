@@ -12,7 +12,7 @@ def _sets(text):
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
 
 
-def _first_of_groups(texts):
+def first_of_groups(texts):
     """Least id of each group of transitively linked texts, by comparing all pairs."""
     sets, up = {d: _sets(t) for d, t in texts.items()}, {d: d for d in texts}
 
@@ -46,7 +46,7 @@ def test_near_copies_go(spark):
         rows += [(g * 10, " ".join(ws)), (g * 10 + 1, _edited(ws, 2, g)), (g * 10 + 2, _edited(ws, 5, g))]  # about 0.84 and 0.65
     assert 0.8 <= neardup.similarity(*(neardup.shingles(neardup.words_of(t.encode()), 5) for _, t in rows[:2])) < 0.9
     kept = simhash.near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(r["doc_id"] for r in kept) == _first_of_groups(dict(rows)) == [r[0] for r in rows if r[0] % 10 != 1]
+    assert sorted(r["doc_id"] for r in kept) == first_of_groups(dict(rows)) == [r[0] for r in rows if r[0] % 10 != 1]
 
 
 def test_chains_in_one_bucket(spark):
@@ -54,7 +54,7 @@ def test_chains_in_one_bucket(spark):
     ws = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(ws[7 * i : 7 * i + 120])) for i in range(20)]
     kept = simhash.near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert [r["doc_id"] for r in kept] == _first_of_groups(dict(rows)) == [0]
+    assert [r["doc_id"] for r in kept] == first_of_groups(dict(rows)) == [0]
 
 
 def test_repeated_ids_lose_no_group(spark):
@@ -76,4 +76,4 @@ def test_stage_equals_all_pairs(spark, sf_dir, texts):
     import corpus_pipeline
 
     kept = corpus_pipeline.dedup_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
-    assert sorted(r["doc_id"] for r in kept.collect()) == _first_of_groups(texts)
+    assert sorted(r["doc_id"] for r in kept.collect()) == first_of_groups(texts)
