@@ -3,11 +3,13 @@
 Vectors are scaled to a common length, with one more coordinate where lengths differ, so that the largest inner
 product is the nearest unit vector. In each table, fast Hadamard pseudo-rotations assign a vector to the nearest
 signed axis, for one hash or several; the tuple is its bucket. A query visits, in each table, the buckets whose
-axes are nearest to it, and candidates are ranked by their inner products on the original vectors.
+axes are nearest to it. Inside buckets, vectors are compared by codes of a byte a component; the best by code are
+ranked by their inner products on the original vectors.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise, partitions
 
+log = logging.getLogger(__name__)
 _BLOCK = 2048  # rows of a bucket held at once
 _ASKED = 1024  # queries of a bucket held at once; more are dealt to further tasks
+_SPARE = 3  # times the wanted neighbours are kept by code
+_MOST = 512  # probes per table; queries are held against all rows where these would not do
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -141,52 +146,74 @@ def _best(row: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.n
     return row[place < k], ids[place < k], s[place < k]
 
 
+def packed(x: np.ndarray) -> list[bytes]:
+    """Codes of vectors: the greatest size of a component as float, and each component as a 127th of it."""
+    top = np.abs(x).max(axis=1)
+    out = np.empty((len(x), 4 + x.shape[1]), dtype=np.uint8)
+    out[:, :4] = top.astype("<f4")[:, None].view(np.uint8)
+    out[:, 4:] = np.rint(x * (127 / top)[:, None]).astype(np.int8).view(np.uint8)
+    return [r.tobytes() for r in out]
+
+
+def unpacked(codes: pa.Array) -> np.ndarray:
+    raw = np.frombuffer(b"".join(codes.to_pylist()), dtype=np.uint8).reshape(len(codes), -1)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * (np.ascontiguousarray(raw[:, :4]).view("<f4") / 127)
+
+
 def valid_vectors(table: DataFrame, vector: Column) -> DataFrame:
-    """(vec_id long, v: array of double) of the rows whose vector is not null, zero, or with a null, NaN or infinite
-    component; of the rows of the commonest length of vector (ties to the shorter)."""
-    v = vector.cast("array<double>")
+    """(vec_id long, v: array of float or double) of the rows whose vector is not null, zero, or with a null, NaN or
+    infinite component; of the rows of the commonest length of vector (ties to the shorter), as there is no inner product
+    across lengths. Rows of other lengths are counted in a warning."""
+    kind = "float" if dict(table.select(vector.alias("v")).dtypes)["v"] == "array<float>" else "double"
+    v = vector.cast(f"array<{kind}>")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.coalesce(ok, F.lit(False)) & F.col("vec_id").isNotNull())
-    top = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return rows.filter(F.size("v") == (top[0]["d"] if top else 0))
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.agg(F.max_by("d", F.struct("n", -F.col("d"))).alias("d"), F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    if top["d"] is not None and top["all"] > top["most"]:
+        log.warning("%d vectors of another length than %d take no part", top["all"] - top["most"], top["d"])
+    return rows.filter(F.size("v") == (top["d"] or 0))
 
 
 def fitted(vectors: DataFrame, k: int, recall: float, tables: int, sample: int = 20_000, asked: int = 256, seed: int = 42) -> tuple[Hasher, int, int]:
-    """(hasher, probes per table, rows): the fewest probes that find ``recall`` of the k nearest in a sample.
+    """(hasher, probes per table, rows): the fewest probes that find ``recall`` of the k nearest in a sample; 0 probes
+    where more than ``_MOST`` would be needed.
 
-    The sample holds at most ``sample`` rows, ``asked`` of them as queries. All rows have more near neighbours
-    than a sample, nearer ones, and those are found more often, so recall over all rows is higher.
+    The sample is the ``sample`` rows of the least hashes, ``asked`` of them queries, whatever the partitions. All rows
+    have more near neighbours than a sample, nearer ones, and those are found more often, so recall over all rows is
+    higher.
     """
-    rows, scale = vectors.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    rows, scale = vectors.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()
     if not rows:
         return Hasher(1, tables, 1, 1, 1.0, seed), 1, 0
-    # the least hashes are a random sample that doesn't depend on partitions
+    h = F.xxhash64(F.lit(seed), "vec_id")
     share = min(1.0, 1.5 * sample / rows)
-    some = vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(sample).toPandas()
+    some = vectors.filter(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.pmod(h, F.lit(1 << 20)), "vec_id").limit(sample).toPandas()
     x = np.stack(some["v"].to_numpy()).astype(float)
     hasher = shaped(x.shape[1], rows, tables, float(scale) * (1 + 1e-12), seed=seed)
     q, ids = x[:asked], np.arange(len(x))
     near_q, near, _ = nearest(ids[: len(q)], q, ids, x, k)
     if not len(near):
         return hasher, 1, rows
-    # the whole list of probes can be long; ranks past ``most`` count as not found
-    most = min(hasher.all_buckets(), 512)
+    most = min(hasher.all_buckets(), _MOST)
     probes, codes = hasher.probes(q, most), hasher.buckets(x)
     rank = np.full(len(near), most)
     for t in range(tables):
         hit = probes[near_q, t] == codes[near, t][:, None]
         rank = np.minimum(rank, np.where(hit.any(axis=1), hit.argmax(axis=1), most))
     need = int(np.quantile(rank, recall, method="higher")) + 1
-    return hasher, min(need, most), rows
+    return hasher, need if need <= most else 0, rows
 
 
-def search(table: DataFrame, vector: Column, is_query: Column, k: int = 20, recall: float = 0.96, tables: int = 16, seed: int = 42) -> DataFrame:
+def search(table: DataFrame, vector: Column, is_query: Column, k: int = 20, recall: float = 0.96, tables: int = 8, seed: int = 42) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among all other rows, by inner product.
 
     ``is_query`` is a condition on vec_id. Vectors that are null, zero, or hold null or non-finite components take
-    no part, nor do vectors of another length than most, nor rows without vec_id; of rows that repeat a vec_id
-    the least vector counts. A query that meets fewer than k candidates in its buckets is held against all rows,
-    in blocks, so each query gets min(k, other rows) neighbours. An empty table gives no rows.
+    no part, nor do vectors of another length than most (a warning counts them), nor rows without vec_id; of rows that
+    repeat a vec_id the least vector counts. A query that meets fewer than k candidates in its buckets, and every query
+    where ``_MOST`` probes would not reach ``recall``, is held against all rows, in blocks, so each query gets min(k,
+    other rows) neighbours. An empty table gives no rows. Buckets get ids and codes only; a vector is fetched for the
+    queries that have it among the best by code.
     """
     vectors = materialise(valid_vectors(table, vector).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-vectors")
     hasher, probes, rows = fitted(vectors, k, recall, tables, seed=seed)
@@ -205,28 +232,42 @@ def search(table: DataFrame, vector: Column, is_query: Column, k: int = 20, reca
         many = many.withColumn("_i", F.row_number().over(same)).filter(F.col("_i") <= k + 1)
         index = few.select("vec_id", "v").unionByName(many.select("vec_id", "v"))
     queries = vectors.filter(is_query)
-    entries = index.mapInArrow(_bucketed(hasher), "t int, b long, id long, v array<double>").withColumn("q", F.lit(0))
-    asks = queries.mapInArrow(_probing(hasher, probes), "t int, b long, id long, v array<double>").withColumn("q", F.lit(1))
-    found = materialise(_ranked(_pieces(entries, asks, rows * tables), k), "ann-found")
-    got = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     least = min(k, max(0, rows - 1))
-    short = queries.join(got.filter(F.col("n") >= least).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    found, short = None, queries
+    if probes:
+        kind = "t int, b long, id long, v binary"
+        entries = index.mapInArrow(_bucketed(hasher), kind).withColumn("q", F.lit(0))
+        asks = queries.mapInArrow(_probing(hasher, probes), kind).withColumn("q", F.lit(1))
+        near = _ranked(_pieces(entries, asks, rows * tables), _SPARE * k, codes=True).select("query_id", "vec_id")
+        near = near.join(index, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        found = materialise(_best_of(near.select("query_id", "vec_id", "q", "v").mapInArrow(_paired, "query_id long, vec_id long, score double"), k), "ann-found")
+        got = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        short = queries.join(got.filter(F.col("n") >= least).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
     short = materialise(short, "ann-short")
-    if not short.isEmpty() and least:
-        blocks = max(1, rows // 65_536)
-        every = index.select(F.lit(0).alias("t"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"), F.col("vec_id").alias("id"), "v", F.lit(0).alias("q"))
-        to_all = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.col("vec_id").alias("id"), "v", F.lit(1).alias("q"))
-        rest = _ranked(_pieces(every, to_all, rows), k)
-        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
+    if least and (found is None or not short.isEmpty()):
+        blocks, whole = max(1, rows // 65_536), F.col("v").cast("array<double>").alias("v")
+        every = index.select(F.lit(0).alias("t"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"), F.col("vec_id").alias("id"), whole, F.lit(0).alias("q"))
+        to_all = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.col("vec_id").alias("id"), whole, F.lit(1).alias("q"))
+        rest = _ranked(_pieces(every, to_all, rows), k, codes=False)
+        found = rest if found is None else found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
+    elif found is None:
+        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     return found.select("query_id", "rank", "vec_id", "score")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        s = scores(_matrix(b.column(2)).astype(float), _matrix(b.column(3)).astype(float)) if b.num_rows else np.empty(0)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], ["query_id", "vec_id", "score"])
+
+
+def _best_of(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _bucketed(hasher: Hasher):
@@ -234,10 +275,10 @@ def _bucketed(hasher: Hasher):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
-                ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
-                codes = hasher.buckets(x)
+                ids, x = b.column(0), _matrix(b.column(1)).astype(float)
+                buckets, codes = hasher.buckets(x), pa.array(packed(x), pa.binary())
                 for t in range(hasher.tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, dtype=np.int32)), pa.array(codes[:, t]), pa.array(ids), _lists(x)], ["t", "b", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, dtype=np.int32)), pa.array(buckets[:, t]), ids, codes], ["t", "b", "id", "v"])
 
     return run
 
@@ -247,11 +288,12 @@ def _probing(hasher: Hasher, count: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
-                probes = hasher.probes(x, count)
+                x = _matrix(b.column(1)).astype(float)
+                probes, codes = hasher.probes(x, count), pa.array(packed(x), pa.binary())
+                n = probes.shape[2]
+                rows = pa.array(np.repeat(np.arange(len(x)), n))
                 for t in range(hasher.tables):
-                    n = probes.shape[2]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids) * n, t, dtype=np.int32)), pa.array(probes[:, t].ravel()), pa.array(np.repeat(ids, n)), _lists(np.repeat(x, n, axis=0))], ["t", "b", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, dtype=np.int32)), pa.array(probes[:, t].ravel()), b.column(0).take(rows), codes.take(rows)], ["t", "b", "id", "v"])
 
     return run
 
@@ -277,8 +319,18 @@ def _pieces(entries: DataFrame, asks: DataFrame, total: int) -> DataFrame:
     return both.withColumn("i", i).withColumn("j", j).select("t", "b", "id", "v", "q", "i", "j")
 
 
-def _ranked(pieces: DataFrame, k: int) -> DataFrame:
-    """Ranks candidates inside pieces, then over the pieces of each query."""
+def _near_by_code(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``nearest``, by the codes alone."""
+    s = q @ x.T
+    s[q_ids[:, None] == ids[None, :]] = -np.inf
+    col = np.argpartition(-s, k - 1, axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), s.shape)
+    row, col = np.repeat(np.arange(len(q)), col.shape[1]), col.ravel()
+    good = np.isfinite(s[row, col])
+    return _best(row[good], ids[col[good]], s[row[good], col[good]].astype(float), k)
+
+
+def _ranked(pieces: DataFrame, k: int, codes: bool) -> DataFrame:
+    """Ranks candidates inside pieces, then over the pieces of each query; by ``codes`` or by whole vectors."""
     keys = ["t", "b", "i", "j"]
     dealt = pieces.repartition(partitions(pieces.sparkSession), *keys).sortWithinPartitions(*keys, F.desc("q"))
 
@@ -295,8 +347,11 @@ def _ranked(pieces: DataFrame, k: int) -> DataFrame:
             return got
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             m = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1, 5, 6)], axis=1)
-            side, row_ids, x = batch.column(4).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3))
+            side, row_ids = batch.column(4).to_numpy(), batch.column(2).to_numpy()
+            x = unpacked(batch.column(3)) if codes else _matrix(batch.column(3))
             cuts = np.flatnonzero((m[1:] != m[:-1]).any(axis=1) | (side[1:] != side[:-1])) + 1
             for a, b in zip([0, *cuts], [*cuts, len(m)], strict=True):
                 if mark is None or (m[a] != mark).any():
@@ -311,7 +366,7 @@ def _ranked(pieces: DataFrame, k: int) -> DataFrame:
                     continue
                 for at in range(a, b, _BLOCK):
                     end = min(b, at + _BLOCK)
-                    row, near, s = nearest(q_ids, q, row_ids[at:end], x[at:end], k)
+                    row, near, s = (_near_by_code if codes else nearest)(q_ids, q, row_ids[at:end], x[at:end], k)
                     best.append((q_ids[row], near, s))
                     held += len(row)
                 if held > 400_000:
@@ -323,9 +378,7 @@ def _ranked(pieces: DataFrame, k: int) -> DataFrame:
             yield _found(flush())
 
     found = dealt.select("t", "b", "id", "v", "q", "i", "j").mapInArrow(run, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return _best_of(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
 
 def _found(got: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
