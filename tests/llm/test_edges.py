@@ -382,7 +382,7 @@ def test_warc_damage():
             list(warc.read_archive(io.BytesIO(bad)))
 
 
-def test_ann_edges(spark):
+def test_ann_edges(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6)], 0) for i in range(60)]
     rows += [(100 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], 0) for i in range(45)]
@@ -397,6 +397,14 @@ def test_ann_edges(spark):
         want = sorted((-float(sum(at[qid][k] * v[k] for k in range(6))), i) for i, v in at.items() if i != qid)[:20]
         assert len(near) == 20
         assert len({n[1] for n in near} & {w[1] for w in want}) >= 18
+    exact = {}
+    monkeypatch.setattr(ann, "_MOST", 1)
+    for r in ann.search(table, F.col("embedding"), F.col("vec_id") % 20 == 0, recall=1.0).collect():
+        exact.setdefault(r["query_id"], []).append(r["vec_id"])
+    for qid, near in exact.items():  # too few probes for the recall: every query against all rows
+        want = sorted((-float(sum(at[qid][k] * v[k] for k in range(6))), i) for i, v in at.items() if i != qid)[:20]
+        assert set(near) == {w[1] for w in want}
+    monkeypatch.undo()
     few = ann.search(table.filter("vec_id < 5"), F.col("embedding"), F.col("vec_id") % 20 == 0).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
     assert ann.search(table.limit(0), F.col("embedding"), F.col("vec_id") % 20 == 0).count() == 0
