@@ -12,6 +12,8 @@ from ..functions.text import keyword_tokens
 
 #: Fixed values of the scoring function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+_SALT = 16  # files over which the postings of one term are spread
+_SMALL = 100_000  # terms of queries that go to all tasks; they are counted first
 
 
 @dataclass
@@ -42,16 +44,41 @@ def built(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "ch
     it is replaced by a quarter of the mean over all terms, which is taken before.
     """
     postings = postings_of(chunks, id_column, text_column)
-    # Lengths are summed over the postings, so texts are taken apart once; the count reads no text.
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    stats = _statistics(postings, chunks.agg(F.count(F.lit(1)).alias("n")))  # the count reads no text
+    terms = _frequencies(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
+    return KeywordIndex(postings, terms, stats, version)
+
+
+def _statistics(postings: DataFrame, n: DataFrame) -> DataFrame:
+    """n and the mean length, which is summed over the postings."""
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    stats = n.crossJoin(F.broadcast(total)).select("n", F.try_divide("total", "n").alias("avgdl"))  # one row each
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return n.crossJoin(F.broadcast(total)).select("n", F.try_divide("total", "n").alias("avgdl"))  # one row each
+
+
+def _frequencies(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """term, df, idf."""
     raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats: one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
-    return KeywordIndex(postings, terms, stats, version)
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
+
+
+def written(chunks: DataFrame, path: str, id_column: str = "chunk_id", text_column: str = "chunk_text", version: str | None = None) -> KeywordIndex:
+    """Builds the index at ``path`` and returns the written one. Texts are taken apart once: postings are written first,
+    and everything else is counted from them. Rows of a term lie together, sorted, so a reader that looks for a few terms
+    skips the row groups without them; a frequent term is dealt to ``_SALT`` files."""
+    spark = chunks.sparkSession
+    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(_SALT))
+    postings = postings_of(chunks, id_column, text_column).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", spread)
+    postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    _statistics(postings, chunks.agg(F.count(F.lit(1)).alias("n"))).write.mode("overwrite").parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats")
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df.write.mode("overwrite").parquet(f"{path}/df")
+    terms = _frequencies(spark.read.parquet(f"{path}/df"), stats)
+    terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    return loaded(spark, path, version)
 
 
 def saved(index: KeywordIndex, path: str, partitions: int | None = None) -> KeywordIndex:
@@ -85,11 +112,20 @@ def scored(index: KeywordIndex, asked: DataFrame) -> DataFrame:
     """query_id, chunk_id, score of all chunks with a term of the query. A term that repeats in a query counts as
     often. Postings join terms of queries on the term; nothing else of the index moves."""
     wanted = asked.join(index.terms, "term").withColumn("w", F.col("n") * F.col("idf")).select("query_id", "term", "w")
+    if asked.count() <= _SMALL:  # then postings of a frequent term needn't meet in one task
+        wanted = F.broadcast(wanted)
     hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
+def search_text(index: KeywordIndex, query: str, limit: int) -> DataFrame:
+    """``search`` for one text: only the postings of its terms are read."""
+    one = index.stats.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
+    terms = [r["term"] for r in query_terms(one).select("term").collect()]
+    return search(for_terms(index, terms), one, limit)
+
+
 def search(index: KeywordIndex, queries: DataFrame, limit: int, text_column: str = "text") -> DataFrame:
     """query_id, chunk_id, score, list_pos: the best chunks with a score above 0, ties to the smaller id.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def sorted_by_score(candidates: DataFrame) -> DataFrame:
     """Adds ``pos``: descending by score, ties in the order of ``list_pos``."""
-    return candidates.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "list_pos")))
+    return candidates.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "list_pos")))
 
 
 def fused(lists: list[tuple[DataFrame, float]], rrf_k: int = 60, symmetric_penalty: bool = False) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RetrievalQuery
 from ..operators import bm25, fusion, vector
+from ..session import scratch_path
 
 
 @dataclass
@@ -55,17 +57,22 @@ def search_batch(index: DataFrame, queries: DataFrame, options: RetrievalQuery =
 
 
 def search(index: DataFrame, text: str, embedding: list[float] | None, options: RetrievalQuery = RetrievalQuery(), keywords: bm25.KeywordIndex | None = None) -> Retrieval:  # noqa: B008
-    """Answers one query."""
+    """Answers one query; of a keyword index only the postings of its terms are read."""
     spark = index.sparkSession
+    if keywords is not None:
+        asked = spark.createDataFrame([(0, text)], "query_id int, text string")
+        keywords = bm25.for_terms(keywords, [r["term"] for r in bm25.query_terms(asked).select("term").collect()])
     one = spark.createDataFrame([(0, text, embedding or [])], "query_id int, text string, vector array<double>")
     return search_batch(index, one, options, keywords)
 
 
 class Retriever:
-    """Searches an index table and keeps its keyword index, which is built again when the table's version is another."""
+    """Searches an index table and keeps its keyword index: written once below ``folder`` (the shared folder where none
+    is given), read by every search, and written again by the first search after the table's version is another."""
 
-    def __init__(self, index, provider):
+    def __init__(self, index, provider, folder: str | None = None):
         self.index, self.provider, self.keywords = index, provider, None
+        self.folder = folder or scratch_path(index.read().sparkSession, "keywords")
 
     def invalidate(self) -> None:
         if self.keywords:
@@ -74,7 +81,7 @@ class Retriever:
     def ensure_keywords(self) -> bm25.KeywordIndex:
         version = self.index.version
         if self.keywords is None or self.keywords.is_stale(version):
-            self.keywords = bm25.built(self.index.payloads(), version=version)
+            self.keywords = bm25.written(self.index.payloads(), f"{self.folder}/{uuid4().hex}", version=version)
         return self.keywords
 
     def search(self, text: str, options: RetrievalQuery = RetrievalQuery()) -> Retrieval:  # noqa: B008
