@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -16,8 +18,8 @@ from ..functions.text import iso_timestamp
 from ..operators.chunk import chunked
 from ..session import ship
 from ..sources.index import PAYLOAD_COLUMNS, IndexTable, stale_ids
-from ..sources.providers import EmbeddingProvider, embedded
-from ..sources.storage import VersionedTable
+from ..sources.providers import EmbeddingProvider, embedded_or_failed
+from ..sources.storage import VersionedTable, read_text, write_text
 
 log = logging.getLogger(__name__)
 STATE_SCHEMA = "relative_path string, content_hash string"
@@ -93,29 +95,45 @@ def dead_notes(d: DataFrame, current: DataFrame) -> DataFrame:
     return gone.join(current.select(F.col("content_hash").alias("note_id")), "note_id", "left_anti")
 
 
-def _rows(notes: DataFrame, provider: EmbeddingProvider, settings: Settings, indexed_at: str) -> DataFrame:
-    p = payloads(chunked(notes, settings), notes, indexed_at).dropDuplicates(["chunk_id"])
-    return p.withColumn("embedding", embedded(F.col("chunk_text"), provider, settings.embed_batch_size))
+def index_rows(notes: DataFrame, provider: EmbeddingProvider, settings: Settings, indexed_at: str) -> DataFrame:
+    """Rows of the index for notes, and ``error`` where a chunk's vector could not be had. Of notes with the same bytes
+    the last by path gives the chunks."""
+    own = F.row_number().over(W.partitionBy("content_hash").orderBy(F.desc("relative_path")))
+    once = notes.withColumn("_n", own).filter("_n = 1").drop("_n")
+    p = payloads(chunked(once, settings), notes, indexed_at)
+    p = p.withColumn("_e", embedded_or_failed(F.col("chunk_text"), provider, settings.embed_batch_size))
+    return p.select(*PAYLOAD_COLUMNS, F.col("_e.vector").alias("embedding"), F.col("_e.error").alias("error"))
+
+
+def _good(rows: DataFrame) -> DataFrame:
+    return rows.filter("error is null").drop("error")
+
+
+def _errors(rows: DataFrame, most: int = 20) -> list[str]:
+    """The commonest messages and how many chunks each cost; a report, so it is short."""
+    found = rows.filter("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "error").limit(most)
+    return [f"{r['error']} ({r['n']} chunks)" for r in found.collect()]
 
 
 def ingest_full(notes: DataFrame, index: IndexTable, provider: EmbeddingProvider, settings: Settings | None = None, on_change: Callable[[], None] | None = None) -> IndexingStats:
-    """Indexes all notes and deletes chunks that no note has any more. Without notes nothing is deleted."""
+    """Indexes all notes and deletes chunks that no note has any more. Without notes nothing is deleted. Batches that
+    can't be embedded are told as errors; the rest is indexed."""
     s, stats, begun = settings or Settings(), IndexingStats(), time.monotonic()
     ship(notes.sparkSession)
     index.ensure()
     stats.total_notes = notes.count()
     if stats.total_notes:
         try:
-            rows = _rows(notes, provider, s, datetime.now(timezone.utc).isoformat()).persist()
+            rows = index_rows(notes, provider, s, datetime.now(timezone.utc).isoformat()).persist()
             stats.total_chunks = rows.count()
-            stale = stale_ids(index.read(), rows)
-            stats.deleted_stale_chunks = stale.count()
-            old = stale.persist()
-            old.count()
-            index.upsert(rows)
-            stats.indexed_chunks = stats.total_chunks
+            stats.errors += _errors(rows)
+            old = stale_ids(index.read(), rows).persist()
+            stats.deleted_stale_chunks = old.count()
+            index.upsert(_good(rows))
+            stats.indexed_chunks = _good(rows).count()
             index.delete_ids(old)
             rows.unpersist()
+            old.unpersist()
             if on_change:
                 on_change()
         except Exception as e:  # noqa: BLE001 - a failed run is reported, not raised
@@ -127,7 +145,8 @@ def ingest_full(notes: DataFrame, index: IndexTable, provider: EmbeddingProvider
 
 def sync_incremental(notes: DataFrame, state: VersionedTable, index: IndexTable, provider: EmbeddingProvider, settings: Settings | None = None, on_change: Callable[[], None] | None = None) -> SyncStats:
     """Brings the index up to date with changed notes only. Without changes nothing is written; deletions come
-    before new chunks; the state is saved when the index has been written, so failed runs are repeated."""
+    before new chunks; notes with a chunk that could not be embedded stay out of the state, so the next run takes
+    them up again, and a run that fails as a whole is repeated."""
     s, stats, begun = settings or Settings(), SyncStats(), time.monotonic()
     ship(notes.sparkSession)
     index.ensure()
@@ -138,11 +157,13 @@ def sync_incremental(notes: DataFrame, state: VersionedTable, index: IndexTable,
         try:
             index.delete_notes(dead_notes(d, notes))
             wanted = notes.join(d.filter("status in ('new', 'modified')").select("relative_path"), "relative_path", "left_semi")
-            rows = _rows(wanted, provider, s, datetime.now(timezone.utc).isoformat()).persist()
-            stats.new_chunks = rows.count()
-            index.upsert(rows)
+            rows = index_rows(wanted, provider, s, datetime.now(timezone.utc).isoformat()).persist()
+            stats.new_chunks = _good(rows).count()
+            stats.errors += _errors(rows)
+            index.upsert(_good(rows))
+            failed = rows.filter("error is not null").select(F.col("note_id").alias("content_hash")).distinct()
+            state.overwrite(next_state(notes, wanted.join(failed, "content_hash", "left_semi")))
             rows.unpersist()
-            state.overwrite(next_state(notes))
             if on_change:
                 on_change()
         except Exception as e:  # noqa: BLE001 - a failed run is reported, not raised
@@ -153,6 +174,17 @@ def sync_incremental(notes: DataFrame, state: VersionedTable, index: IndexTable,
     return stats
 
 
+def record_run(spark: SparkSession, path: str, stats: IndexingStats | SyncStats) -> None:
+    """Keeps the figures and status of the last run in a small file."""
+    write_text(spark, path, json.dumps({**asdict(stats), "status": stats.status, "finished_at": datetime.now(timezone.utc).isoformat()}, sort_keys=True))
+
+
+def last_run(spark: SparkSession, path: str) -> dict | None:
+    """What ``record_run`` kept; None before the first run."""
+    text = read_text(spark, path)
+    return None if text is None else json.loads(text)
+
+
 def run_periodically(run: Callable[[], object], minutes: float, stop: Callable[[], bool], sleep: Callable[[float], None] = time.sleep) -> None:
     """Sleeps first, then runs, again and again; failures of a run are logged. 0 minutes: off."""
     while minutes > 0 and not stop():

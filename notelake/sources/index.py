@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import VersionedTable
+from .storage import BucketedTable
 
 PAYLOAD = "chunk_id string, note_id string, note_title string, note_path string, tags array<string>, heading_path array<string>, chunk_index int, total_chunks int, word_count int, chunk_text string, indexed_at string, note_modified_at string"
 SCHEMA = PAYLOAD + ", embedding array<float>"
@@ -16,10 +16,11 @@ PAYLOAD_COLUMNS = tuple(c.split()[0] for c in PAYLOAD.split(", "))
 
 
 def upserted(index: DataFrame, new: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
-    """Rows of the index that ``new`` doesn't replace, and ``new``; of rows with one key the last by ``order``."""
-    if order:
-        last = W.partitionBy(key).orderBy(F.desc(order))
-        new = new.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    """Rows of the index that ``new`` doesn't replace, and ``new``; of its rows with one key the last by ``order``, which
+    is their place in the table where none is given."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    new = new.withColumn("_place", place).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_place"))))
+    new = new.filter("_n = 1").drop("_n", "_place")
     return index.join(new.select(key), key, "left_anti").unionByName(new.select(*index.columns))
 
 
@@ -89,10 +90,11 @@ class IndexTable(ABC):
 
 
 class ParquetIndex(IndexTable):
-    """An index in versioned Parquet. Empty changes write nothing."""
+    """An index in buckets of Parquet by the hash of note_id: a change of some notes writes their buckets only. Empty
+    changes write nothing."""
 
-    def __init__(self, spark: SparkSession, path: str, name: str = "chunks"):
-        self.table, self.name = VersionedTable(spark, path, SCHEMA), name
+    def __init__(self, spark: SparkSession, path: str, name: str = "chunks", buckets: int = 256):
+        self.table, self.name = BucketedTable(spark, path, SCHEMA, "note_id", buckets), name
 
     def ensure(self) -> None:
         self.table.ensure()
@@ -107,21 +109,22 @@ class ParquetIndex(IndexTable):
     def version(self) -> str | None:
         return self.table.version
 
+    def _notes_of(self, ids: DataFrame) -> DataFrame:
+        """note_ids of the chunks with some ids; two columns are read."""
+        return self.read().select("chunk_id", "note_id").join(ids.select("chunk_id"), "chunk_id", "left_semi").select("note_id")
+
     def upsert(self, rows: DataFrame) -> None:
-        if not rows.isEmpty():
-            self.table.overwrite(upserted(self.read(), rows))
+        self.table.change(rows.select("note_id").unionByName(self._notes_of(rows)), lambda own: upserted(own, rows))
 
     def delete_ids(self, ids: DataFrame) -> None:
-        if not ids.isEmpty():
-            self.table.overwrite(without_ids(self.read(), ids))
+        self.table.change(self._notes_of(ids), lambda own: without_ids(own, ids))
 
     def delete_notes(self, note_ids: DataFrame) -> None:
-        if not note_ids.isEmpty():
-            self.table.overwrite(without_notes(self.read(), note_ids))
+        known = self.read().select("note_id").join(note_ids.select("note_id"), "note_id", "left_semi")
+        self.table.change(known, lambda own: without_notes(own, note_ids))
 
     def patch(self, updates: DataFrame, columns: list[str]) -> None:
-        if not updates.isEmpty():
-            self.table.overwrite(patched(self.read(), updates, columns))
+        self.table.change(self._notes_of(updates), lambda own: patched(own, updates, columns))
 
     def ids(self) -> DataFrame:
         return self.read().select("chunk_id").distinct()

@@ -27,17 +27,31 @@ def is_markdown(relative_path: Column) -> Column:
     return F.lower(relative_path).rlike(r"[^/]\.md$")
 
 
-def _listed(spark: SparkSession, root: str) -> list[str]:
-    """Relative paths below a folder, of any file system, sorted. Spark's own listing leaves out names that begin
-    with an underscore."""
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    top, out = fs.getFileStatus(base).getPath().toUri().getPath().rstrip("/"), []
-    it = fs.listFiles(base, True)
-    while it.hasNext():
-        out.append(os.path.relpath(it.next().getPath().toUri().getPath(), top))
-    return sorted(out)
+def _opened(root: str) -> tuple[pafs.FileSystem, str]:
+    base = root.rstrip("/")
+    return pafs.FileSystem.from_uri(base if "://" in base else os.path.abspath(base))
+
+
+def paths_below(spark: SparkSession, root: str) -> DataFrame:
+    """relative_path of every file below a folder. The driver lists the folder itself, tasks list what is below its
+    sub-folders. (Spark's own listing leaves out names that begin with an underscore.)"""
+    fs, top = _opened(root)
+    here = fs.get_file_info(pafs.FileSelector(top))
+    files = spark.createDataFrame([(i.base_name,) for i in here if i.type == pafs.FileType.File], "relative_path string")
+    folders = spark.createDataFrame([(i.base_name,) for i in here if i.type == pafs.FileType.Directory], "relative_path string")
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _opened(root)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                left = [f"{top}/{folder}"]
+                while left:
+                    found = fs.get_file_info(pafs.FileSelector(left.pop()))
+                    left += [i.path for i in found if i.type == pafs.FileType.Directory]
+                    names = [os.path.relpath(i.path, top) for i in found if i.type == pafs.FileType.File]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["relative_path"])
+
+    return files.unionByName(folders.repartition("relative_path").mapInArrow(below, "relative_path string"))
 
 
 def listing(paths: DataFrame) -> DataFrame:
@@ -53,16 +67,13 @@ def scan_stats(listed: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, content, file_size_bytes, modified_at of the notes below a folder; names are listed by the
-    driver, files read by tasks. (Spark's own file source never reads names that begin with an underscore.)
-    Unreadable files are left out."""
+    """relative_path, content, file_size_bytes, modified_at of the notes below a folder; files are read by tasks.
+    Of an unreadable file the content is null."""
     ship(spark)
-    base = root.rstrip("/")
-    names = spark.createDataFrame([(n,) for n in _listed(spark, base)], "relative_path string")
-    wanted = listing(names).filter("status = 'note'").select("relative_path")
+    wanted = listing(paths_below(spark, root)).filter("status = 'note'").select("relative_path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = pafs.FileSystem.from_uri(base if "://" in base else os.path.abspath(base))
+        fs, top = _opened(root)
         for b in batches:
             for name in b.column(0).to_pylist():
                 try:
@@ -71,9 +82,9 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
                         content = f.read()
                 except OSError as e:
                     log.warning("skipped %s: %s", name, e)
-                    continue
-                mtime = pa.array([info.mtime_ns // 1000], type=pa.timestamp("us", tz="UTC"))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], type=pa.binary()), pa.array([len(content)], type=pa.int64()), mtime], ["relative_path", "content", "file_size_bytes", "modified_at"])
+                    info, content = None, None
+                mtime = pa.array([info and info.mtime_ns // 1000], type=pa.timestamp("us", tz="UTC"))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], type=pa.binary()), pa.array([None if content is None else len(content)], type=pa.int64()), mtime], ["relative_path", "content", "file_size_bytes", "modified_at"])
 
     return wanted.mapInArrow(read, FILE_SCHEMA)
 
@@ -81,14 +92,15 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 def parsed(files: DataFrame) -> DataFrame:
     """Notes of files (relative_path, content binary, file_size_bytes, modified_at).
 
-    Bytes that are no UTF-8 become replacement characters. Notes whose frontmatter has tags that are neither text
-    nor a list are left out; ``parse_failures`` counts them.
+    Bytes that are no UTF-8 become replacement characters. Files that could not be read, and notes whose frontmatter
+    has tags that are neither text nor a list, are left out; ``parse_failures`` counts them.
     """
-    return _columns(files).filter(~F.col("broken")).drop("broken")
+    return _columns(files.filter("content is not null")).filter(~F.col("broken")).drop("broken")
 
 
 def parse_failures(files: DataFrame) -> DataFrame:
-    return _columns(files).agg(F.count_if("broken").alias("failures"))
+    """One row: files that a scan skips though they are notes by name."""
+    return _columns(files).agg(F.count_if(F.col("broken") | F.col("content_hash").isNull()).alias("failures"))
 
 
 def _columns(files: DataFrame) -> DataFrame:

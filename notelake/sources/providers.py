@@ -76,6 +76,27 @@ def embedded(text: Column, provider: EmbeddingProvider, batch: int = 32) -> Colu
     return embed(text)
 
 
+def embedded_or_failed(text: Column, provider: EmbeddingProvider, batch: int = 32) -> Column:
+    """(vector, error) of texts, ``batch`` a call: a call that fails for good leaves its own texts without a vector."""
+
+    @F.pandas_udf("vector array<float>, error string")
+    def embed(chunks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in chunks:
+            vectors: list = []
+            errors: list = []
+            for i in range(0, len(s), batch):
+                part = s.iloc[i : i + batch].fillna("").tolist()
+                try:
+                    vectors += with_retries(lambda part=part: provider.embed_batch(part))
+                    errors += [None] * len(part)
+                except Exception as e:  # noqa: BLE001 - a failed call is reported, the others go on
+                    vectors += [None] * len(part)
+                    errors += [f"{type(e).__name__}: {e}"] * len(part)
+            yield pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    return embed.asNondeterministic()(text)
+
+
 class ChatProvider(ABC):
     @abstractmethod
     def chat(self, messages: list[dict[str, str]]) -> str: ...

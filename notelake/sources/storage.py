@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import logging
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
@@ -30,6 +32,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def has_path(spark: SparkSession, path: str) -> bool:
+    _, p, fc = _context(spark, path)
+    return fc.util().exists(p)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes beside and renames over, so that readers find the old or the new text; makes parent folders."""
     jvm, p, fc = _context(spark, path)
@@ -110,3 +117,95 @@ class VersionedTable:
         out = f"{target.rstrip('/')}/{self.version or 'empty'}"
         self.read().write.mode("overwrite").parquet(out)
         return out
+
+
+class BucketedTable:
+    """A table in buckets by the hash of a key; a change reads and writes the buckets that it touches.
+
+    The pointer names, for each bucket that has rows, the version whose folder holds it; it moves when a version is whole.
+    Folders that neither the current state nor the ``keep`` before it name are removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, key: str, buckets: int = 256, keep: int = 2):
+        self.spark, self.path, self.key, self.buckets, self.keep = spark, path.rstrip("/"), key, buckets, keep
+        self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+    def _states(self) -> list[dict]:
+        """The current state, then those before it."""
+        text = read_text(self.spark, f"{self.path}/CURRENT.json")
+        try:
+            states = json.loads(text) if text is not None else []
+            return [{"version": s["version"], "buckets": {str(k): str(v) for k, v in s["buckets"].items()}} for s in states]
+        except (ValueError, KeyError, TypeError, AttributeError):
+            log.warning("unreadable pointer of %s: taken as empty", self.path)
+            return []
+
+    @property
+    def version(self) -> str | None:
+        states = self._states()
+        return states[0]["version"] if states else None
+
+    def exists(self) -> bool:
+        return read_text(self.spark, f"{self.path}/CURRENT.json") is not None
+
+    def ensure(self) -> None:
+        if not self.exists():
+            self._point(f"v-{uuid.uuid4().hex}", {}, [])
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        """The current rows, of some buckets or all."""
+        states = self._states()
+        own = states[0]["buckets"] if states else {}
+        paths = [f"{self.path}/{v}/bucket={k}" for k, v in sorted(own.items()) if only is None or int(k) in only]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def change(self, keys: DataFrame, new: Callable[[DataFrame], DataFrame]) -> str | None:
+        """Replaces the buckets that hold any of ``keys`` by what ``new`` makes of their rows; None if there are no keys."""
+        touched = sorted(r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect())  # ``buckets`` at most
+        if not touched:
+            return None
+        states, v = self._states(), f"v-{uuid.uuid4().hex}"
+        rows = new(self.read(touched)).select(*self.schema.names).withColumn("bucket", self.bucket())
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{v}")
+        own = dict(states[0]["buckets"]) if states else {}
+        for k in touched:
+            own.pop(str(k), None)
+            if has_path(self.spark, f"{self.path}/{v}/bucket={k}"):
+                own[str(k)] = v
+        self._point(v, own, states)
+        return v
+
+    def _point(self, version: str, buckets: dict[str, str], before: list[dict]) -> None:
+        states = [{"version": version, "buckets": buckets}, *before[: self.keep]]
+        write_text(self.spark, f"{self.path}/CURRENT.json", json.dumps(states, sort_keys=True))
+        named = {(v, k) for s in states for k, v in s["buckets"].items()}
+        for s in before[self.keep :]:
+            for k, v in s["buckets"].items():
+                if (v, k) not in named:
+                    remove(self.spark, f"{self.path}/{v}/bucket={k}")
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+    def backup(self, target: str) -> str:
+        """Copies the current rows to a folder of their own and returns it."""
+        out = f"{target.rstrip('/')}/{self.version or 'empty'}"
+        self.read().write.mode("overwrite").parquet(out)
+        return out
+
+
+def backed_up(target: str, tables: dict[str, VersionedTable | BucketedTable | DataFrame]) -> dict[str, str]:
+    """Copies tables, such as the index, the state and the notes, to folders by their names; where each went."""
+    out = {}
+    for name, t in tables.items():
+        if isinstance(t, DataFrame):
+            out[name] = f"{target.rstrip('/')}/{name}/rows"
+            t.write.mode("overwrite").parquet(out[name])
+        else:
+            out[name] = t.backup(f"{target.rstrip('/')}/{name}")
+    return out

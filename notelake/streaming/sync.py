@@ -3,31 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Settings
-from ..plans.ingest import _rows
+from ..plans.ingest import index_rows
+from ..session import ship
 from ..sources.index import IndexTable
-from ..sources.notes import parsed
+from ..sources.notes import listing, parsed
 from ..sources.providers import EmbeddingProvider
 
 
-def sync_stream(files: DataFrame, index: IndexTable, provider: EmbeddingProvider, checkpoint: str, settings: Settings | None = None, on_change: Callable[[], None] | None = None) -> StreamingQuery:
-    """Indexes files (as of a binaryFile stream: path, content, length, modificationTime) as they come.
+def sync_stream(files: DataFrame, root: str, index: IndexTable, provider: EmbeddingProvider, checkpoint: str, settings: Settings | None = None, on_change: Callable[[], None] | None = None) -> StreamingQuery:
+    """Indexes the notes among files below ``root`` (as of a binaryFile stream: path, content, length,
+    modificationTime) as they come: paths are relative to it and hidden files and other extensions left out, as in a scan.
 
-    A batch that is run again writes the same chunk ids, so the index is the same. Deleted files are left to
-    ``sync_incremental``, as file streams don't tell them.
+    A batch that is run again writes the same chunk ids, so the index is the same. Chunks that can't be embedded make
+    the batch fail, so that it is run again. Deleted files are left to ``sync_incremental``, as file streams don't tell
+    them.
     """
+    ship(files.sparkSession)
     index.ensure()
     s = settings or Settings()
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("relative_path"), "content", F.col("length").alias("file_size_bytes"), F.col("modificationTime").alias("modified_at"))
+    plain = lambda p: F.regexp_replace(p, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")  # noqa: E731 - without scheme and empty authority
+    relative = F.expr("substring(_path, length(_root) + 2)")
+    named = files.withColumn("_path", plain(F.col("path"))).withColumn("_root", plain(F.lit(root.rstrip("/"))))
+    named = named.select(relative.alias("relative_path"), "content", F.col("length").alias("file_size_bytes"), F.col("modificationTime").alias("modified_at"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = _rows(parsed(batch), provider, s, f"batch-{batch_id}").persist()
-        index.upsert(rows)
+        notes = parsed(listing(batch).filter("status = 'note'").drop("status"))
+        rows = index_rows(notes, provider, s, datetime.now(timezone.utc).isoformat()).persist()
+        failed = rows.filter("error is not null").select("error").first()
+        if failed:
+            raise RuntimeError(failed["error"])
+        index.upsert(rows.drop("error"))
         rows.unpersist()
         if on_change:
             on_change()
