@@ -49,6 +49,10 @@ class SearchFilter:
         return bool(self.tags or self.note_id or self.note_path or self.note_title)
 
 
+#: Results that a search, and the context of an answer, may ask for.
+MOST_RESULTS = {"search": 50, "answer": 20}
+
+
 @dataclass(frozen=True)
 class RetrievalQuery:
     """What a search asks for. ``symmetric_penalty`` and ``filter_keyword`` change two quirks kept by default: the
@@ -68,6 +72,8 @@ class RetrievalQuery:
     filter_keyword: bool = False
 
     def __post_init__(self) -> None:
+        if not 1 <= self.top_k <= MOST_RESULTS["search"]:
+            raise ValueError(f"top_k must be from 1 to {MOST_RESULTS['search']}, not {self.top_k}")
         if self.mode not in ("semantic", "keyword", "hybrid"):
             raise ValueError(f"unknown mode {self.mode!r}")
 

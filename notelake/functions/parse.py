@@ -90,6 +90,9 @@ def frontmatter(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["fields", "title", "created", "date", "tags", "broken"])
 
 
+frontmatter = frontmatter.asNondeterministic()  # else a filter on its result moves below it and runs it twice
+
+
 def headings(text: Column) -> Column:
     """Array of (level, text) of ATX headings in order; code fences don't matter."""
     both = F.arrays_zip(_found(text, HEADING, 1).alias("marks"), _found(text, HEADING, 2).alias("text"))

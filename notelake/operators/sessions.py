@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice, tee
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def sessionized(events: DataFrame, key: str, seconds: str, order: str, ttl: float = 3600.0) -> DataFrame:
@@ -42,39 +46,66 @@ def prompt_history(messages: DataFrame, session: str, seq: str, keep: int = 20)
     return kept.withColumn("_last", F.max(seq).over(last)).filter(F.col(seq) < F.col("_last")).drop("_last")
 
 
-class SessionStore:
-    """The exact store for one serving process, where the order of calls decides who is evicted."""
-
-    def __init__(self, capacity: int = 100, keep: int = 20, ttl: float = 3600.0):
-        self.capacity, self.keep, self.ttl = capacity, keep, ttl
-        self.sessions: OrderedDict[str, dict] = OrderedDict()
-
-    def _expire(self, now: float) -> None:
-        for sid in [s for s, v in self.sessions.items() if now - v["last_active"] > self.ttl]:
-            del self.sessions[sid]
-
-    def get_or_create(self, now: float, sid: str | None = None) -> str:
-        self._expire(now)
-        if sid and sid in self.sessions:
-            self.sessions[sid]["last_active"] = now
-            return sid
-        sid = sid or str(uuid4())
-        if len(self.sessions) >= self.capacity:
-            del self.sessions[min(self.sessions, key=lambda s: self.sessions[s]["last_active"])]
-        self.sessions[sid] = {"messages": [], "created_at": now, "last_active": now}
-        return sid
-
-    def get(self, now: float, sid: str) -> dict | None:
-        self._expire(now)
-        return self.sessions.get(sid)
-
-    def add(self, now: float, sid: str, role: str, content: str) -> None:
-        if s := self.sessions.get(sid):
-            s["messages"] = [*s["messages"], (role, content, now)][-self.keep :]
-            s["last_active"] = now
-
-    def delete(self, sid: str) -> bool:
-        return self.sessions.pop(sid, None) is not None
-
-    def count(self) -> int:
-        return len(self.sessions)
+#: Calls of a log, and columns that a replay adds.
+OPEN, SAY, READ, CLOSE = "open", "say", "read", "close"
+REPLAYED = "session string, outcome string, evicted string, live int, messages array<struct<role:string,content:string>>"
+
+
+def replay(calls: Iterable[tuple], capacity: int = 100, keep: int = 20, ttl: float = 3600.0) -> Iterator[tuple]:
+    """What each call (at, call, session, role, content) of one store's log does: (session, outcome, evicted, live,
+    messages).
+
+    ``open`` goes on with a live session or creates one, for which the least recently used goes if there are ``capacity``;
+    ``say`` adds a message, of which the last ``keep`` stay, and does nothing without the session; ``read`` gives the
+    messages and is no use of the session; ``close`` ends it. A session that was last used more than ``ttl`` seconds ago
+    is gone. Sessions lie in the order of their last use, so the ones to go are always first.
+    """
+    used: dict[str, float] = {}
+    said: dict[str, list[tuple[str, str]]] = {}
+
+    def end(session: str) -> None:
+        del used[session], said[session]
+
+    for at, call, session, role, content in calls:
+        while call != SAY and used and at - next(iter(used.values())) > ttl:
+            end(next(iter(used)))
+        live, evicted, shown = session in used, None, None
+        if call == OPEN:
+            if not live:
+                if len(used) >= capacity:
+                    end(evicted := next(iter(used)))
+                session = session or str(uuid4())
+                said[session] = []
+            used.pop(session, None)
+            used[session] = at
+        elif call == SAY and live:
+            said[session] = (said[session] + [(role, content)])[-keep:]
+            del used[session]
+            used[session] = at
+        elif call == READ and live:
+            shown = list(said[session])
+        elif call == CLOSE and live:
+            end(session)
+        outcome = {OPEN: ("created", "resumed"), SAY: ("absent", "added"), READ: ("absent", "found"), CLOSE: ("absent", "closed")}[call][live]
+        yield session, outcome, evicted, len(used), shown
+
+
+def replayed(calls: DataFrame, capacity: int = 100, keep: int = 20, ttl: float = 3600.0) -> DataFrame:
+    """Replays the call logs (store, seq, at in seconds, call, session, role, content) of many stores: store, seq and
+    ``REPLAYED``. The log of one store is one sequence, as who is evicted depends on all calls before, and meets in one
+    task, which holds ``capacity`` sessions of ``keep`` messages; stores are dealt to tasks."""
+    columns = ["store", "seq", "at", "call", "session", "role", "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for _, log in groupby(rows, key=lambda r: r[0]):
+            ahead, behind = tee(log)
+            out = zip(behind, replay((r[2:] for r in ahead), capacity, keep, ttl), strict=True)
+            while part := list(islice(out, 4096)):
+                yield pa.RecordBatch.from_pylist([{"store": r[0], "seq": r[1], "session": s, "outcome": o, "evicted": e, "live": n, "messages": None if m is None else [{"role": x, "content": y} for x, y in m]} for r, (s, o, e, n, m) in part], schema=schema)
+
+    kinds = dict(calls.dtypes)
+    ddl = f"store {kinds['store']}, seq {kinds['seq']}, {REPLAYED}"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    dealt = calls.select(*columns).repartition("store").sortWithinPartitions("store", "seq")
+    return dealt.mapInArrow(run, ddl)

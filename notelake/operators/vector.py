@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..config import SearchFilter
 
 #: Queries that one batch search holds in every task; more are searched in runs of this many.
 MAX_QUERIES = 4096
+_ROWS = 1024  # rows multiplied with them at a time: 32 MB of products at most
 
 
 def predicate(f: SearchFilter) -> Column | None:
@@ -48,7 +50,8 @@ def search(index: DataFrame, vector: list[float], limit: int = 10, threshold: fl
     A limited sort: every task keeps ``limit`` rows. The payload is not read.
     """
     q = F.array(*[F.lit(float(x)) for x in vector])
-    rows = filtered(index, filters).select(F.col(id_column), cosine(F.col(embedding), q).alias("score")).filter("score is not null")
+    rows = filtered(index, filters).filter(F.size(embedding) == len(vector))  # there is no product across lengths
+    rows = rows.select(F.col(id_column), cosine(F.col(embedding), q).alias("score")).filter("score is not null")
     if threshold > 0:
         rows = rows.filter(F.col("score") >= threshold)
     best = rows.orderBy(F.desc("score"), id_column).limit(limit)
@@ -59,7 +62,8 @@ def search_batch(index: DataFrame, queries: DataFrame, limit: int = 10, threshol
     """query_id, id, score, list_pos for many queries (query_id, vector).
 
     Queries go to the tasks in runs of at most ``MAX_QUERIES``, so what is sent is bounded; each task multiplies
-    its rows with them block by block and gives on ``limit`` rows a query.
+    its rows with them block by block and gives on ``limit`` rows a query and block, ties to the smaller id. A row takes
+    part in queries of its own vector's length. Queries are a page of questions: all pass through the driver.
     """
     kind = dict(index.dtypes)[id_column]
     asked = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
@@ -78,24 +82,39 @@ def search_batch(index: DataFrame, queries: DataFrame, limit: int = 10, threshol
 
 
 def _run(index: DataFrame, asked: list, limit: int, threshold: float, embedding: str, id_column: str, kind: str, queries: DataFrame) -> DataFrame:
-    names = np.array([r["query_id"] for r in asked], dtype=object)
-    q = np.array([r["vector"] for r in asked], dtype=float).reshape(len(asked), -1)
-    norms = np.linalg.norm(q, axis=1)
-    q = q / np.where(norms > 0, norms, np.nan)[:, None]
-
+    groups: dict[int, tuple[list, np.ndarray]] = {}  # by length of vector
+    for d in {len(r["vector"] or ()) for r in asked} - {0}:
+        own = [r for r in asked if len(r["vector"] or ()) == d]
+        q = np.array([r["vector"] for r in own], dtype=float)
+        norms = np.linalg.norm(q, axis=1)
+        groups[d] = [r["query_id"] for r in own], q / np.where(norms > 0, norms, np.nan)[:, None]
     query_type = to_arrow_type(queries.schema["query_id"].dataType)
 
+    def best(names: list, q: np.ndarray, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+        n = np.linalg.norm(x, axis=1)
+        s = q @ (x / np.where(n > 0, n, np.nan)[:, None]).T
+        s = np.where(np.isnan(s) | ((s < threshold) if threshold > 0 else False), -np.inf, s)
+        edge = np.partition(s, -limit, axis=1)[:, -limit] if len(x) > limit else np.full(len(s), -np.inf)
+        row, col = np.nonzero((s >= edge[:, None] - 1e-8) & np.isfinite(s))
+        place = np.empty(len(ids), dtype=np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((place[col], -np.round(s[row, col], 9), row))
+        row, col = row[order], col[order]
+        first = np.searchsorted(row, row)
+        kept = np.arange(len(row)) - first < limit
+        row, col = row[kept], col[kept]
+        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in row], type=query_type), ids.take(pa.array(col)), pa.array(s[row, col])], ["query_id", id_column, "score"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(names) or not b.num_rows:
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-            n = np.linalg.norm(x, axis=1)
-            s = q @ (x / np.where(n > 0, n, np.nan)[:, None]).T
-            s = np.where(np.isnan(s) | ((s < threshold) if threshold > 0 else False), -np.inf, s)
-            edge = np.partition(s, -limit, axis=1)[:, -limit] if b.num_rows > limit else np.full(len(s), -np.inf)
-            row, col = np.nonzero((s >= edge[:, None] - 1e-8) & np.isfinite(s))
-            yield pa.RecordBatch.from_arrays([pa.array(names[row].tolist(), type=query_type), b.column(0).take(pa.array(col)), pa.array(s[row, col])], ["query_id", id_column, "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(at, _ROWS)
+                sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+                for d, (names, q) in groups.items():
+                    same = pa.array(np.flatnonzero(sizes == d))
+                    if len(same):
+                        x = b.column(1).take(same).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(same), d)
+                        yield best(names, q, b.column(0).take(same), x)
 
     query_kind = dict(queries.dtypes)["query_id"]
     rows = index.filter(F.col(embedding).isNotNull()).select(id_column, embedding)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import RetrievalQuery
+from ..config import MOST_RESULTS, RetrievalQuery
 from ..functions import context, guard
 from ..operators import bm25
 from ..session import ship
@@ -21,6 +21,8 @@ def answer_context(index: DataFrame, questions: DataFrame, options: RetrievalQue
 
     Blocked questions get no context; those that find nothing have null context and messages.
     """
+    if options.top_k > MOST_RESULTS["answer"]:
+        raise ValueError(f"an answer takes at most {MOST_RESULTS['answer']} chunks")
     ship(index.sparkSession)
     checked = guard.validated_queries(questions, "text")
     asked = checked.filter("not blocked").select("query_id", F.col("clean").alias("text"), "vector")
