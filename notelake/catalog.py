@@ -15,7 +15,7 @@ from .config import RATE_POLICIES, RetrievalQuery, SearchFilter, Settings
 from .functions import context, display, guard, parse, text
 from .operators import bm25, chunk, fusion, limits, sessions, vector
 from .plans import answer, ingest, retrieve
-from .session import ship
+from .session import scratch_path, ship
 from .sources import index as indexes
 from .sources import notes as note_source
 
@@ -88,10 +88,11 @@ def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as one chunk of an index; its vector is that of vec_id = doc_id mod 500."""
+    """Each document as one chunk of an index; its vector is that of vec_id = doc_id mod the number of vectors."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    n = e.count()
     e = e.select("vec_id", "embedding")
-    c = d.join(e, F.col("vec_id") == F.col("doc_id") % 500, "left")
+    c = d.join(e, F.col("vec_id") == F.col("doc_id") % n, "left")
     return c.select(
         F.col("doc_id").alias("chunk_id"), F.concat(F.lit("n"), (F.col("doc_id") % 300).cast("string")).alias("note_id"), F.concat(F.lit("Note "), (F.col("doc_id") % 300).cast("string")).alias("note_title"), F.col("source").alias("note_path"),
         F.array("lang", "source").alias("tags"), F.array(F.lit("T"), F.concat(F.lit("S"), (F.col("doc_id") % 7).cast("string"))).alias("heading_path"), (F.col("doc_id") % 10).cast("int").alias("chunk_index"), F.lit(10).alias("total_chunks"),
@@ -99,11 +100,22 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def asked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Queries: the first words of benchmark items, as in the SQL, or the ``whole`` items; with vectors of the index."""
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the benchmark items, with vectors of the index."""
     b, e = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    q = b.select(F.col("item_id").alias("query_id"), (F.col("text") if whole else F.substring("text", 1, 60)).alias("text"))
-    return q.join(e.select("vec_id", F.col("embedding").alias("vector")), F.col("vec_id") == F.col("query_id") * 7 % 500).drop("vec_id")
+    q = b.select(F.col("item_id").alias("query_id"), "text")
+    return q.join(e.select("vec_id", F.col("embedding").alias("vector")), F.col("vec_id") == F.col("query_id") * 7 % e.count()).drop("vec_id")
+
+
+_KEYWORDS: dict[tuple[str, str], bm25.KeywordIndex] = {}
+
+
+def keywords(spark: SparkSession, sf_dir: str) -> bm25.KeywordIndex:
+    """The keyword index of the documents, written by the first query that asks for it and read by all."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _KEYWORDS:
+        _KEYWORDS[key] = bm25.written(table(spark, sf_dir, "documents"), scratch_path(spark, "keywords"), "doc_id", "text")
+    return _KEYWORDS[key]
 
 
 # scans and parsing
@@ -216,13 +228,14 @@ _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 
 
 @query(rf"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, len(w), 50)) AS a FROM w)
-SELECT doc_id, CAST(a // 50 AS INT) AS i, array_to_string(w[a + 1:a + 50], ' ') AS chunk FROM c""")
+SELECT doc_id, CAST(a // 50 AS INT) AS i, CASE WHEN len(w) <= 50 THEN array_to_string(w, chr(9)) ELSE array_to_string(w[a + 1:a + 50], ' ') END AS chunk FROM c""")
 def chunk_window_fallback(spark, sf_dir):
-    """Texts without any separator but spaces in runs: fixed windows of words."""
-    w = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w")).filter("size(w) > 0")
-    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(50))
-    c = w.select("doc_id", "w", F.posexplode(starts).alias("i", "a"))
-    return c.select("doc_id", "i", F.array_join(F.slice("w", F.col("a") + 1, 50), " ").alias("chunk"))
+    """Texts without any separator but spaces: the splitter falls back to fixed windows of words."""
+    d = table(spark, sf_dir, "documents")
+    spaced = F.array_join(text.words(F.col("text")), "\t")  # a tab is no separator
+    notes = d.select(F.col("doc_id").cast("string").alias("content_hash"), F.lit("T").alias("title"), F.col("doc_id").cast("string").alias("relative_path"), F.array().cast("array<string>").alias("tags"), F.concat(F.lit("#\tT\n"), spaced).alias("raw_content"))
+    c = chunk.chunked(notes, Settings(chunk_size=50, chunk_overlap=0))
+    return c.select(F.col("note_id").cast("long").alias("doc_id"), F.col("chunk_index").alias("i"), F.regexp_replace("chunk_text", r"^\[Note: T\]\n\n", "").alias("chunk"))
 
 
 @query(rf"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS c FROM l),
@@ -307,7 +320,29 @@ def index_info(spark, sf_dir):
 
 @query("SELECT count(DISTINCT doc_id) AS n_ids FROM documents")
 def id_scan(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_ids"))
+    index = _stored_index(spark, sf_dir)
+    return index.ids().agg(F.count(F.lit(1)).alias("n_ids"))
+
+
+_STORED: dict[tuple[str, str], indexes.ParquetIndex] = {}
+
+
+def _stored_index(spark, sf_dir):
+    """The documents as chunks in an index of buckets, written by the first query that asks for it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        index = indexes.ParquetIndex(spark, scratch_path(spark, "index"), buckets=16)
+        index.ensure()
+        index.upsert(doc_chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("chunk_id"), "note_id", "note_title", "note_path", "tags", "heading_path", "chunk_index", "total_chunks", "word_count", "chunk_text", F.lit("2025-01-01T00:00:00+00:00").alias("indexed_at"), F.lit("2025-01-01T00:00:00+00:00").alias("note_modified_at"), "embedding"))
+        _STORED[key] = index
+    return _STORED[key]
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 'n' || CAST(doc_id % 300 AS VARCHAR) AS note_id, 'Note ' || CAST(doc_id % 300 AS VARCHAR) AS note_title, source AS note_path, lang || ',' || source AS tags, CAST(doc_id % 10 AS INT) AS chunk_index, sha256(text) AS text_hash, (SELECT count(*) FROM documents) AS n FROM documents")
+def index_scroll(spark, sf_dir):
+    """All payloads of the stored index, and its exact count."""
+    index = _stored_index(spark, sf_dir)
+    return index.payloads().select("chunk_id", "note_id", "note_title", "note_path", F.array_join("tags", ",").alias("tags"), "chunk_index", F.sha2(F.col("chunk_text").cast("binary"), 256).alias("text_hash"), F.lit(index.count()).alias("n"))
 
 
 @query(rf"""WITH {VAULT_SQL}, {HEADS_SQL}, {_TITLE_SQL}, {_SECTIONS_SQL} SELECT s.relative_path AS note_path, content_hash AS note_id, '2025-01-01T00:00:00+00:00' AS indexed_at,
@@ -418,7 +453,7 @@ _BM25_SQL = f"""toks AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents
 post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(t) AS term, len(t) AS dl FROM toks) GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term), raw AS (SELECT term, df, ln(n - df + 0.5e0) - ln(df + 0.5e0) AS raw FROM df, st),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25e0 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT item_id AS query_id, unnest({tokens_sql('substr(text, 1, 60)')}) AS term FROM benchmark), qt AS (SELECT query_id, term, count(*) AS m FROM q GROUP BY ALL),
+q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark), qt AS (SELECT query_id, term, count(*) AS m FROM q GROUP BY ALL),
 sc AS (SELECT query_id, doc_id, sum(m * idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS score FROM qt JOIN idf USING (term) JOIN post USING (term), st GROUP BY ALL),
 kw AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM sc WHERE score > 0)"""
 
@@ -430,24 +465,30 @@ def tokenize_tf(spark, sf_dir):
 
 @query(f"WITH {_BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf_dir):
-    k = bm25.built(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return k.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return keywords(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("SELECT false AS stale, true AS stale_later, true AS stale_after_invalidation, true AS still_answers")
+def bm25_staleness(spark, sf_dir):
+    """An index is fresh for the version that it was built from, stale for others, and searchable all the same."""
+    k = bm25.KeywordIndex(*(getattr(keywords(spark, sf_dir), f) for f in ("postings", "terms", "stats")), version="v1")
+    stale = [k.is_stale("v1"), k.is_stale("v2")]
+    k.version = None
+    found = bm25.search(k, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 1)
+    return found.agg((F.count(F.lit(1)) > 0).alias("still_answers")).select(F.lit(stale[0]).alias("stale"), F.lit(stale[1]).alias("stale_later"), F.lit(k.is_stale("v1")).alias("stale_after_invalidation"), "still_answers")
 
 
 @query(f"WITH {_BM25_SQL} SELECT doc_id AS chunk_id, round(score, 6) AS score, CAST(pos AS INT) AS rank FROM kw WHERE query_id = (SELECT min(item_id) FROM benchmark) AND pos <= 10")
 def bm25_topk(spark, sf_dir):
     """The flagship: keyword search of one query over all documents."""
-    k = bm25.built(table(spark, sf_dir, "documents"), "doc_id", "text")
-    first = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)
-    q = first.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
-    return bm25.search(k, q, 10).select("chunk_id", F.round("score", 6).alias("score"), F.col("list_pos").alias("rank"))
+    first = table(spark, sf_dir, "benchmark").orderBy("item_id").first()
+    return bm25.search_text(keywords(spark, sf_dir), first["text"] if first else "", 10).select("chunk_id", F.round("score", 6).alias("score"), F.col("list_pos").alias("rank"))
 
 
 @query(f"WITH {_BM25_SQL} SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, CAST(pos AS INT) AS rank FROM kw WHERE pos <= 10")
 def bm25_batch(spark, sf_dir):
-    k = bm25.built(table(spark, sf_dir, "documents"), "doc_id", "text")
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
-    return bm25.search(k, q, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("list_pos").alias("rank"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return bm25.search(keywords(spark, sf_dir), q, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("list_pos").alias("rank"))
 
 
 # fusion
@@ -532,8 +573,8 @@ def dedup_counts(spark, sf_dir):
     return fusion.dedup_counts(c, fusion.deduplicated(c, 2))
 
 
-_HYBRID = f"""WITH {_BM25_SQL}, sem0 AS (SELECT b.item_id AS query_id, d.doc_id, {_cos('e.embedding', 'v.embedding')} AS score FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id * 7 % 500, documents d JOIN embeddings e ON e.vec_id = d.doc_id % 500),
-sem AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM sem0 QUALIFY pos <= 30), ks AS (SELECT query_id, doc_id, pos FROM kw WHERE pos <= 30 AND query_id * 7 % 500 IN (SELECT vec_id FROM embeddings)),
+_HYBRID = f"""WITH {_BM25_SQL}, sem0 AS (SELECT b.item_id AS query_id, d.doc_id, {_cos('e.embedding', 'v.embedding')} AS score FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id * 7 % (SELECT count(*) FROM embeddings), documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)),
+sem AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM sem0 QUALIFY pos <= 30), ks AS (SELECT query_id, doc_id, pos FROM kw WHERE pos <= 30 AND query_id * 7 % (SELECT count(*) FROM embeddings) IN (SELECT vec_id FROM embeddings)),
 n2 AS (SELECT query_id, count(*) AS n FROM ks GROUP BY 1), j AS (SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.doc_id, k.doc_id) AS doc_id, s.pos AS p1, k.pos AS p2 FROM sem s FULL JOIN ks k ON s.query_id = k.query_id AND s.doc_id = k.doc_id),
 f AS (SELECT query_id, doc_id, p1, p2, CASE WHEN p1 IS NULL THEN 0 ELSE 0.7e0 / (60 + p1) END + CASE WHEN p2 IS NULL THEN 0.3e0 / (61 + coalesce(n, 0)) ELSE 0.3e0 / (60 + p2) END AS score FROM j LEFT JOIN n2 USING (query_id)),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p1 IS NULL, coalesce(p1, p2)) AS pos FROM f),
@@ -543,12 +584,30 @@ r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id O
 
 @query(_HYBRID + " SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank, 'Note ' || CAST(doc_id % 300 AS VARCHAR) AS note_title FROM r WHERE rank <= 10")
 def hybrid_search(spark, sf_dir):
-    index = doc_chunks(spark, sf_dir)
-    r = retrieve.search_batch(index, asked(spark, sf_dir))
+    r = retrieve.search_batch(doc_chunks(spark, sf_dir), asked(spark, sf_dir), keywords=keywords(spark, sf_dir))
     return r.chunks.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "note_title")
 
 
-@query(_HYBRID + " SELECT o.query_id, count(*) AS total_candidates, count(*) - (SELECT count(*) FROM c WHERE c.query_id = o.query_id) AS deduplicated_count, coalesce((SELECT any_value(n) FROM n2 WHERE n2.query_id = o.query_id), 0) AS keyword_candidates FROM o GROUP BY o.query_id")
+@query(_HYBRID + " SELECT o.query_id, count(*) AS total_candidates, count(*) - (SELECT count(*) FROM c WHERE c.query_id = o.query_id) AS deduplicated_count, coalesce((SELECT any_value(n) FROM n2 WHERE n2.query_id = o.query_id), 0) AS keyword_candidates, false AS filters_applied, 'hybrid' AS retrieval_mode FROM o GROUP BY o.query_id")
 def search_metrics(spark, sf_dir):
-    r = retrieve.search_batch(doc_chunks(spark, sf_dir), asked(spark, sf_dir))
-    return r.metrics.select("query_id", "total_candidates", "deduplicated_count", "keyword_candidates")
+    r = retrieve.search_batch(doc_chunks(spark, sf_dir), asked(spark, sf_dir), keywords=keywords(spark, sf_dir))
+    return r.metrics.select("query_id", "total_candidates", "deduplicated_count", "keyword_candidates", "filters_applied", "retrieval_mode")
+
+
+_MODE = """{0}, h AS (SELECT * FROM {1} WHERE pos <= 30 QUALIFY row_number() OVER (PARTITION BY query_id, doc_id % 300, doc_id % 7 ORDER BY pos) = 1), c AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, doc_id % 300 ORDER BY pos) <= 2),
+r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM c) SELECT query_id, doc_id AS chunk_id, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"""
+
+
+def _mode(spark, sf_dir, mode):
+    r = retrieve.search_batch(doc_chunks(spark, sf_dir), asked(spark, sf_dir), RetrievalQuery(mode=mode), keywords(spark, sf_dir))
+    return r.chunks.select("query_id", "chunk_id", "rank")
+
+
+@query(_MODE.format(_HYBRID[: _HYBRID.index(", ks AS")], "sem"))
+def semantic_search(spark, sf_dir):
+    return _mode(spark, sf_dir, "semantic")
+
+
+@query(_MODE.format(_HYBRID[: _HYBRID.index(", sem0 AS")], "(SELECT * FROM kw WHERE query_id * 7 % (SELECT count(*) FROM embeddings) IN (SELECT vec_id FROM embeddings))"))
+def keyword_search(spark, sf_dir):
+    return _mode(spark, sf_dir, "keyword")
