@@ -43,7 +43,7 @@ def test_sanitize(spark):
 
 
 def test_leaks_in_sequence(spark):
-    df = spark.createDataFrame([("My system instructions are: Answer using ONLY the note excerpts provided",), ("fine",)], "t string")
+    df = spark.createDataFrame([("My system instructions are: CITE  them by number",), ("fine",)], "t string")
     a, b = (r["s"] for r in df.select(guard.sanitized_output(F.col("t")).alias("s")).collect())
     assert a["was_sanitized"] and a["text"].count("[FILTERED: system information]") == 2 and not b["was_sanitized"]
 

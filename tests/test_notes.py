@@ -87,27 +87,39 @@ def test_scan(spark, tmp_path):
     got = {r["relative_path"]: r for r in notes.scan_notes(spark, str(tmp_path)).collect()}
     assert sorted(got) == ["a.md", "sub/_b c.MD"] and got["a.md"]["title"] == "A"
     assert got["a.md"]["content_hash"] == hashlib.sha256(b"# A").hexdigest()
-    paths = spark.createDataFrame([(n,) for n in notes._listed(spark, str(tmp_path))], "relative_path string")
-    assert tuple(notes.scan_stats(notes.listing(paths)).first()) == (4, 2, 2)
+    assert tuple(notes.scan_stats(notes.listing(notes.paths_below(spark, str(tmp_path)))).first()) == (4, 2, 2)
+
+
+def test_unreadable_files_are_skipped(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.md").write_text("x")
+    (tmp_path / "b.md").write_text("---\ntags: 5\n---\ny")
+    (tmp_path / "gone.md").symlink_to(tmp_path / "nothing")
+    monkeypatch.setattr(notes, "paths_below", lambda s, r: s.createDataFrame([("a.md",), ("b.md",), ("gone.md",)], "relative_path string"))
+    files = notes.read_files(spark, str(tmp_path))
+    assert [r["relative_path"] for r in notes.parsed(files).collect()] == ["a.md"] and notes.parse_failures(files).first()["failures"] == 2
+
+
+def cut(source, size):
+    return list(chunk.packed_chunks(source, size))
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["w", "two words", "a. ", "b! ", "\n", "\n\n", " ", "long one here? ", "x y"]), max_size=60), st.integers(1, 9))
 def test_split_bounds(parts, size):
     source = "".join(parts)
-    chunks = chunk.split_words(source, size)
+    chunks = cut(source, size)
     assert all(0 < len(c.split()) <= size for c in chunks)
     letters = lambda s: re.sub(r"[^a-z]", "", s)
     assert letters("".join(chunks)) == letters(source)
 
 
 def test_split_cases():
-    assert chunk.split_words("", 5) == [] and chunk.split_words("  a b  ", 5) == ["a b"]
-    assert chunk.split_words("a b c\n\nd e\n\nf g", 4) == ["a b c", "d e\n\nf g"]
-    assert chunk.split_words("w " * 7, 3) == ["w w w", "w w w", "w"]
-    assert chunk.split_words("one two. three four. five", 2) == ["one two", "three four", "five"]
+    assert cut("", 5) == [] and cut("  a b  ", 5) == ["a b"]
+    assert cut("a b c\n\nd e\n\nf g", 4) == ["a b c", "d e\n\nf g"]
+    assert cut("w " * 7, 3) == ["w w w", "w w w", "w"]
+    assert cut("one two. three four. five", 2) == ["one two", "three four", "five"]
     # the last part of what was cut goes on
-    assert chunk.split_words("a\n\nb c d e f. g\n\nh", 4) == ["a", "b c d e", "f. g\n\nh"] or chunk.split_words("a\n\nb c d e f. g\n\nh", 4)[-1].endswith("h")
+    assert cut("a\n\nb c d e f. g\n\nh", 4) == ["a", "b c d e", "f. g\n\nh"]
 
 
 def note_rows(spark, raws, **fields):
@@ -134,7 +146,7 @@ def test_overlap_against_python(spark):
     for r in chunk.chunked(note_rows(spark, raws), Settings(chunk_size=20, chunk_overlap=6)).orderBy("note_path", "chunk_index").collect():
         got.setdefault(r["note_path"], []).append(r["chunk_text"].split("]\n\n", 1)[1])
     for i, raw in enumerate(raws):
-        plain = chunk.split_words(raw.removeprefix("# H\n"), 20)
+        plain = cut(raw.removeprefix("# H\n"), 20)
         want = [c if j == 0 else " ".join(plain[j - 1].split()[-6:]) + "\n\n" + c for j, c in enumerate(plain)]
         assert got[f"p{i}.md"] == want
 

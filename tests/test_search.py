@@ -108,16 +108,43 @@ def test_bucket(spark):
     assert {r["i"]: r["allowed"] for r in got} == want
 
 
-def test_session_store():
-    s = sessions.SessionStore(capacity=2, keep=2, ttl=10)
-    s.get_or_create(0, "a")
-    s.get_or_create(1, "b")
-    for i in range(3):
-        s.add(2, "a", "user", str(i))
-    assert [m[1] for m in s.get(2, "a")["messages"]] == ["1", "2"]
-    s.get_or_create(3, "c")
-    assert s.get(3, "b") is None and s.count() == 2
-    assert s.get(12, "a") is not None and s.get(12.1, "a") is None and s.delete("c") and not s.delete("c")
+def test_sessions_replayed(spark):
+    """Who is created, resumed, evicted, expired; what is kept of a history."""
+    log = [(0, "open", "a"), (1, "open", "b"), (2, "say", "a", "0"), (2, "say", "a", "1"), (2, "say", "a", "2"), (2, "read", "a"), (3, "open", "c"), (3, "read", "b"), (3, "say", "b", "x")]
+    log += [(12, "read", "a"), (12.1, "read", "a"), (12.2, "open", "c"), (12.3, "close", "c"), (12.4, "close", "c"), (13, "open", None)]
+    rows = [(store, i, float(at), call, session, "user", text[0] if text else None) for store in ("s", "t") for i, (at, call, session, *text) in enumerate(log)]
+    calls = spark.createDataFrame(rows, "store string, seq int, at double, call string, session string, role string, content string")
+    got = sessions.replayed(calls, capacity=2, keep=2, ttl=10).orderBy("store", "seq").collect()
+    assert [r["outcome"] for r in got[:15]] == ["created", "created", "added", "added", "added", "found", "created", "absent", "absent", "found", "absent", "resumed", "closed", "absent", "created"]
+    assert [m["content"] for m in got[5]["messages"]] == ["1", "2"] and got[6]["evicted"] == "b" and [r["live"] for r in got[:3]] == [1, 2, 2] and got[14]["session"]
+    assert [tuple(r)[3:] for r in got[:14]] == [tuple(r)[3:] for r in got[15:29]]
+
+
+def test_sessions_against_a_scan():
+    """The replay does what looking through all sessions at every call does."""
+    import random
+
+    r = random.Random(3)
+    log, at = [], 0.0
+    for i in range(3000):
+        at += r.random() * 4 + 1e-6
+        log.append((at, r.choice(["open", "open", "say", "read", "close"]), r.choice("abcdefg"), "user", str(i)))
+    held = {}
+    for (t, call, sid, role, text), got in zip(log, sessions.replay(log, capacity=3, keep=4, ttl=9), strict=True):
+        if call != "say":
+            held = {k: v for k, v in held.items() if t - v[0] <= 9}
+        gone, had = None, sid in held
+        if call == "open":
+            if not had and len(held) >= 3:
+                gone = min(held, key=lambda k: held[k][0])
+                del held[gone]
+            held[sid] = (t, held[sid][1] if had else [])
+        elif call == "say" and had:
+            held[sid] = (t, [*held[sid][1], (role, text)][-4:])
+        shown = held[sid][1] if call == "read" and had else None
+        if call == "close":
+            held.pop(sid, None)
+        assert got[2:] == (gone, len(held), shown) and (got[1] in ("resumed", "added", "found", "closed")) == had
 
 
 def test_storage(spark, tmp_path):
@@ -174,7 +201,9 @@ def test_ingest_sync_and_answer(spark, tmp_path):
         assert "walrus" in retriever.search("walrus", RetrievalQuery(top_k=1, mode=mode)).chunks.first()["chunk_text"]
     old = retriever.keywords
     assert retriever.ensure_keywords() is old
+    assert "parquet" in old.postings._jdf.queryExecution().optimizedPlan().toString() and "regexp" not in old.postings._jdf.queryExecution().optimizedPlan().toString()
     retriever.invalidate()
+    assert old.is_stale(index.version) and bm25.search_text(old, "walrus", 1).count() == 1  # stale, and answers all the same
     assert retriever.ensure_keywords() is not old
 
     q = spark.createDataFrame([(1, "what of the walrus", provider.embed("walrus")), (2, "please jailbreak", provider.embed("x"))], "query_id int, text string, vector array<double>")
@@ -199,6 +228,132 @@ def test_failed_sync_is_repeated(spark, tmp_path):
     assert s.new_notes == 1 and s.status == "completed" and index.count() == 1
 
 
+def picky(size):
+    """An embedder that refuses batches with a certain word."""
+
+    class Picky(providers.HashingEmbedder):
+        def embed_batch(self, texts):
+            if any("poison" in t for t in texts):
+                raise ValueError("bad batch")
+            return super().embed_batch(texts)
+
+    return Picky(size)
+
+
+def test_bad_batches_are_apart(spark, tmp_path):
+    """A call that fails costs its own chunks; the run tells it, and the next one takes the notes up again."""
+    items = {f"n{i}.md": f"note {i}" for i in range(6)} | {"p.md": "poison here"}
+    one = Settings(embed_batch_size=1)
+    index = indexes.ParquetIndex(spark, f"{tmp_path}/i")
+    full = ingest.ingest_full(notes_table(spark, items), index, picky(8), one)
+    assert (full.status, full.total_chunks, full.indexed_chunks, index.count()) == ("failed", 7, 6, 6) and full.errors == ["ValueError: bad batch (1 chunks)"]
+    state = VersionedTable(spark, f"{tmp_path}/s", ingest.STATE_SCHEMA)
+    s = ingest.sync_incremental(notes_table(spark, items), state, index, picky(8), one)
+    assert (s.status, s.new_notes, s.new_chunks, state.read().count()) == ("failed", 7, 6, 6)
+    s = ingest.sync_incremental(notes_table(spark, items), state, index, providers.HashingEmbedder(8), one)
+    assert (s.status, s.new_notes, s.unchanged_notes, index.count(), state.read().count()) == ("completed", 1, 6, 7, 7)
+    ingest.record_run(spark, f"{tmp_path}/runs/last.json", s)
+    last = ingest.last_run(spark, f"{tmp_path}/runs/last.json")
+    assert last["status"] == "completed" and last["new_notes"] == 1 and ingest.last_run(spark, f"{tmp_path}/none") is None
+
+
+def test_bad_notes_are_left_out(monkeypatch):
+    import pyarrow as pa
+    from notelake.operators import chunk
+
+    def cut(source, size):
+        if "poison" in source:
+            raise RuntimeError("no")
+        return iter([source])
+
+    monkeypatch.setattr(chunk, "packed_chunks", cut)
+    rows = pa.RecordBatch.from_pylist([{"id": i, "s": [{"heading_path": ["T"], "text": t}]} for i, t in enumerate(["fine", "poison", "good"])])
+    out = list(chunk._split_sections(5)([rows]))[0]
+    assert out["_split"].to_pylist() == [[{"path": ["T"], "chunks": ["fine"]}], None, [{"path": ["T"], "chunks": ["good"]}]]
+
+
+def test_last_row_of_a_key_wins(spark):
+    old = spark.createDataFrame([("c1", "x"), ("c2", "y")], "chunk_id string, note_id string")
+    new = spark.createDataFrame([("c1", "old"), ("c3", "z"), ("c1", "new")], "chunk_id string, note_id string")
+    assert sorted(map(tuple, indexes.upserted(old, new).collect())) == [("c1", "new"), ("c2", "y"), ("c3", "z")]
+
+
+def test_index_writes_touched_buckets(spark, tmp_path):
+    index = indexes.ParquetIndex(spark, f"{tmp_path}/i", buckets=16)
+    index.ensure()
+    rows = lambda ids, title: spark.createDataFrame([(f"c{i}", f"n{i}", title, "p", ["t"], ["T"], 0, 1, 1, "text", "x", "y", [1.0]) for i in ids], indexes.SCHEMA)
+    index.upsert(rows(range(100), "first"))
+    before = index.table._states()[0]["buckets"]
+    index.upsert(rows([7], "second"))
+    after = index.table._states()[0]["buckets"]
+    assert len(before) > 8 and sum(before[k] != after[k] for k in before) == 1 and index.count() == 100
+    index.patch(spark.createDataFrame([("c8", "third")], "chunk_id string, note_title string"), ["note_title"])
+    index.delete_notes(spark.createDataFrame([("n9",)], "note_id string"))
+    index.delete_ids(spark.createDataFrame([("c10",), ("none",)], "chunk_id string"))
+    version = index.version
+    index.delete_ids(spark.createDataFrame([("none",)], "chunk_id string"))
+    titles = {r["chunk_id"]: r["note_title"] for r in index.read().collect()}
+    assert index.version == version and len(titles) == 98 and {titles["c7"], titles["c8"], titles["c1"]} == {"first", "second", "third"}
+    # a chunk that moves to another note is replaced where it was
+    index.upsert(rows([1], "moved").withColumn("note_id", F.lit("other")))
+    assert index.count() == 98 and index.ids().count() == 98
+    from notelake.sources.storage import backed_up
+
+    kept = backed_up(f"{tmp_path}/backup", {"index": index.table, "notes": rows([1, 2], "n")})
+    assert spark.read.parquet(kept["index"]).count() == 98 and spark.read.parquet(kept["notes"]).count() == 2
+
+
+def test_sync_stream(spark, tmp_path):
+    """Files of one name in two folders are two notes; hidden ones and other kinds of file are none."""
+    from notelake.sources.notes import scan_notes
+    from notelake.streaming.sync import sync_stream
+
+    for name, body in (("a/x.md", "# A\none"), ("b/x.md", "# B\ntwo"), (".h/x.md", "no"), ("a/y.txt", "no")):
+        (tmp_path / "v" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "v" / name).write_text(body)
+    index = indexes.ParquetIndex(spark, f"{tmp_path}/i", buckets=4)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(f"{tmp_path}/v")
+    for _ in range(2):
+        sync_stream(files, f"{tmp_path}/v", index, providers.HashingEmbedder(4), f"{tmp_path}/check").awaitTermination(120)
+    got = index.payloads().collect()
+    assert sorted(r["note_path"] for r in got) == ["a/x.md", "b/x.md"] == sorted(r["relative_path"] for r in scan_notes(spark, f"{tmp_path}/v").collect())
+    assert all(datetime.fromisoformat(r["indexed_at"]) for r in got)
+
+
+def test_scheduler():
+    waits, runs = [], []
+
+    def run():
+        runs.append(1)
+        if len(runs) == 1:
+            raise RuntimeError("once")
+
+    ingest.run_periodically(run, 2, lambda: len(runs) == 3, waits.append)
+    assert waits == [120, 120, 120]
+    ingest.run_periodically(run, 0, lambda: False, waits.append)
+    assert len(runs) == 3
+
+
+def test_vectors_of_other_lengths_and_ties(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(3000)] + [(5000, [1.0, 0.0, 0.0]), (5001, [0.0, 1.0])]
+    ix = spark.createDataFrame(rows, "chunk_id int, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 1.0, 0.0]), (3, None)], "query_id int, vector array<double>")
+    got = {}
+    for r in vector.search_batch(ix, q, 4).collect():
+        got.setdefault(r["query_id"], []).append((r["list_pos"], r["chunk_id"]))
+    assert {k: [c for _, c in sorted(v)] for k, v in got.items()} == {1: [0, 1, 2, 3], 2: [5000]}
+    assert vector._run(ix, q.collect()[:1], 4, 0.0, "embedding", "chunk_id", "int", q).count() <= 4 * 12  # a block gives no more
+    assert [r["chunk_id"] for r in vector.search(ix, [1.0, 0.0, 0.0], 3).collect()] == [5000]
+
+
+def test_bounds_of_results(spark):
+    for k in (0, 51):
+        with pytest.raises(ValueError):
+            RetrievalQuery(top_k=k)
+    with pytest.raises(ValueError):
+        answer.answer_context(None, None, RetrievalQuery(top_k=21))
+
+
 def test_retries():
     waits, calls = [], []
 
