@@ -468,6 +468,14 @@ def bm25_idf(spark, sf_dir):
     return keywords(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(f"WITH {_BM25_SQL} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM post) AS n_postings FROM st")
+def bm25_build(spark, sf_dir):
+    """Builds the index anew, whether or not there is one, and tells its size."""
+    k = bm25.written(table(spark, sf_dir, "documents"), scratch_path(spark, "keywords"), "doc_id", "text")
+    sizes = [df.agg(F.count(F.lit(1)).alias(name)) for df, name in ((k.terms, "n_terms"), (k.postings, "n_postings"))]
+    return k.stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(F.broadcast(sizes[0])).crossJoin(F.broadcast(sizes[1]))  # one row each
+
+
 @query("SELECT false AS stale, true AS stale_later, true AS stale_after_invalidation, true AS still_answers")
 def bm25_staleness(spark, sf_dir):
     """An index is fresh for the version that it was built from, stale for others, and searchable all the same."""
