@@ -2,61 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete_path, scratch_path
+
 #: Java / Python regular expressions for the white space that separates words, and for a word.
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can read and write.
-
-    The session's ``spark.checkpoint.dir`` where it is set. Else, on one machine only, a temporary
-    folder of the driver, deleted at exit; on a cluster, a folder beside the tables of the warehouse.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        if sc.applicationId not in _LOCAL_DIRS:
-            path = tempfile.mkdtemp(prefix="notelake-")
-            atexit.register(shutil.rmtree, path, ignore_errors=True)
-            _LOCAL_DIRS[sc.applicationId] = f"file://{path}"
-        return _LOCAL_DIRS[sc.applicationId]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the session or the folder may be gone at exit
-        pass
-
 
 def drop_scratch(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of an iteration that nothing reads any more."""
     for path in paths:
-        _delete(spark, path)
+        delete_path(spark, path)
 
 
 def materialise(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:

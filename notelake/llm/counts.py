@@ -21,7 +21,8 @@ UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character scores this much les
 
 def zipf_vocabulary(model_file: str) -> list[tuple[str, float]]:
     """Pieces of a sentencepiece file with the log-probabilities of Zipf's law over their ranks; the files at hand
-    have ranks only. Byte pieces and control pieces come first, with score 0, as no text matches them."""
+    have ranks only. Byte pieces and control pieces come first, with score 0; a text that spells one out
+    (``<0x41>``) matches it, here as in the tokenizer."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)

@@ -199,10 +199,17 @@ def test_chain_of_components(spark):
 
 
 def test_counts_edges(odd, none):
+    """Counts are those of the tokenizers library, also of texts that spell out byte and control pieces."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
     model = q.tokenizer_path("piece_bpe_32k.model")
     assert counts.token_counts(none, model).count() == 0
-    rows = counts.token_counts(odd, model).collect()
-    assert len(rows) == odd.count() and [r["n_tokens"] for r in rows if r["n_chars"] == 0] == [0, 0, 0]
+    unigram = Tokenizer(models.Unigram(counts.zipf_vocabulary(model), unk_id=0, byte_fallback=True))
+    unigram.pre_tokenizer = pre_tokenizers.Metaspace()
+    spelt = odd.sparkSession.createDataFrame([(100, "<0x41> a<0x0A>b </s> <unk>"), (101, "<s>")], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(spelt)
+    want = sorted((r["doc_id"] is None, r["doc_id"] or 0, len(r["text"] or ""), len(unigram.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect())
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"], r["n_tokens"]) for r in counts.token_counts(docs, model).collect()) == want
 
 
 @settings(max_examples=200, deadline=None)
@@ -337,11 +344,53 @@ def test_urls_long(spark):
 
 
 def test_packing_edges(odd, none, encoder):
+    """Every id of every row lies in one piece, pieces lie gapless in sequences of at most the capacity."""
     path = q.tokenizer_path()
     assert packing.packed_documents(none, path).count() == 0
-    rows = packing.packed_documents(odd, path).collect()
-    assert len({r["row_id"] for r in rows}) == odd.count()
-    assert sum(r["length"] for r in rows) == sum(1 + len(encoder.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in odd.collect())
+    rows = packing.packed_documents(odd, path, end_id=3).collect()
+    by_row, by_sequence = {}, {}
+    for r in rows:
+        by_row.setdefault(r["row_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    got = []
+    for pieces in by_row.values():
+        pieces.sort(key=lambda r: r["start"])
+        assert [r["start"] for r in pieces] == [sum(p["length"] for p in pieces[:i]) for i in range(len(pieces))]
+        ids = np.frombuffer(b"".join(bytes(r["ids"]) for r in pieces), dtype="<u4").tolist()
+        assert {r["doc_tokens"] for r in pieces} == {len(ids)}
+        got.append((pieces[0]["doc_id"] is None, pieces[0]["doc_id"] or 0, ids))
+    assert sorted(got) == sorted((r["doc_id"] is None, r["doc_id"] or 0, [*encoder.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 3]) for r in odd.collect())
+    for pieces in by_sequence.values():
+        pieces.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in pieces] == [sum(p["length"] for p in pieces[:i]) for i in range(len(pieces))] and sum(r["length"] for r in pieces) <= 1024
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, blanks, repeated ids and rows, very long texts, clashing columns and an empty table go through all stages."""
+    import corpus_pipeline
+
+    r = random.Random(2)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(n)) + "."
+    texts = [prose(80) for _ in range(12)] + [None, "", " \n", "short", prose(20_000)]
+    rows = [(i, t, "s" if i % 2 else None, i, "c", 1) for i, t in enumerate(texts)]
+    rows += [rows[0], (0, prose(90), "s", 0, "d", 2), (None, prose(90), "t", 0, None, None), (77, texts[1] + " more", "s", 0, "e", 3)]
+    for name, table in (("full", rows), ("empty", rows[:0])):
+        docs = spark.createDataFrame(table, "doc_id long, text string, source string, fp long, kept string, slot int")
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        after = []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, f"{tmp_path}/{name}")
+            assert out.columns == docs.columns
+            docs = out
+            after.append([tuple(x) for x in docs.collect()])
+        left = after[-1]
+        assert set(left) <= set(rows)
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        ends = sorted((p["doc_id"] is None, p["doc_id"] or 0) for p in packed if p["start"] == 0)
+        assert ends == sorted((x[0] is None, x[0] or 0) for x in left)
+        if name == "full":  # of the copies one stays; what has no words goes; both rows of an id that differ stay
+            assert sorted(str(x[0]) for x in after[1]) == sorted(map(str, [*range(12), 16, None, 0]))
 
 
 @settings(max_examples=100, deadline=None)
