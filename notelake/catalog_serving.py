@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import RATE_POLICIES, asked, doc_chunks, keywords, query, table
+from .catalog import _HYBRID, RATE_POLICIES, asked, doc_chunks, keywords, query, table
 from .config import RetrievalQuery, SearchFilter
 from .functions import context, display, guard, text
 from .operators import limits, sessions
@@ -124,11 +124,12 @@ def _ranked(spark, sf_dir):
 
 
 _RULE = "chr(10) || repeat('─', 68) || chr(10)"
-_CTX = rf"""c AS (SELECT doc_id // 10 AS q, CAST(doc_id % 10 + 1 AS INT) AS r, '[' || CAST(row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS VARCHAR) || '] N' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' — Part > ' || lang END
- || '  (score: ' || s.score || ')' || {_RULE} AS head, text AS body FROM documents JOIN s USING (doc_id)),
-t AS (SELECT *, greatest(1, length(head || body) // 4) AS t, greatest(1, length(head) // 4) AS o FROM c), u AS (SELECT *, sum(t) OVER (PARTITION BY q ORDER BY r) AS s FROM t), v AS (SELECT *, sum(CASE WHEN s > 800 THEN 1 ELSE 0 END) OVER (PARTITION BY q ORDER BY r) AS k, 800 - (s - t) - o AS room FROM u),
+_BLOCKS = rf"""t AS (SELECT *, greatest(1, length(head || body) // 4) AS t, greatest(1, length(head) // 4) AS o FROM c), u AS (SELECT *, sum(t) OVER (PARTITION BY q ORDER BY r) AS s FROM t), v AS (SELECT *, sum(CASE WHEN s > 800 THEN 1 ELSE 0 END) OVER (PARTITION BY q ORDER BY r) AS k, 800 - (s - t) - o AS room FROM u),
 w AS (SELECT q, r, k, head, body, CAST(room AS BIGINT) * 4 AS l, substr(body, 1, CAST(room AS BIGINT) * 4) AS h, room FROM v WHERE k = 0 OR (k = 1 AND s > 800 AND room >= 50)),
 blocks AS (SELECT q AS query_id, r AS rank, head || CASE WHEN k = 0 OR greatest(1, length(body) // 4) <= room THEN body ELSE {_CUT} END AS block, k > 0 AS was_cut FROM w)"""
+_CTX = rf"""c AS (SELECT doc_id // 10 AS q, CAST(doc_id % 10 + 1 AS INT) AS r, '[' || CAST(row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS VARCHAR) || '] N' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' — Part > ' || lang END
+ || '  (score: ' || s.score || ')' || {_RULE} AS head, text AS body FROM documents JOIN s USING (doc_id)),
+{_BLOCKS}"""
 #: Scores as Python writes them, from a table of 1000 values.
 _SCORES = "s AS (SELECT doc_id, ['" + "','".join(f"{i / 1000:.2f}" for i in range(1000)) + "'][CAST(doc_id * 37 % 1000 AS INT) + 1] AS score FROM documents)"
 
@@ -197,9 +198,15 @@ def chat_messages(spark, sf_dir):
     return m.select("session_id", F.size("messages").alias("n_messages"), F.array_join(F.transform(rest, lambda x: F.concat(x["role"], F.lit(":"), F.sha2(x["content"].cast("binary"), 256))), ",").alias("digest"))
 
 
-@query()
+_ANSWERED = _HYBRID.replace("QUALIFY pos <= 30", "QUALIFY pos <= 15").replace("WHERE pos <= 30 AND", "WHERE pos <= 15 AND")
+_PACKED = rf"""{_ANSWERED}, hits AS (SELECT r.query_id AS q, r.rank AS r, '[' || CAST(r.rank AS VARCHAR) || '] Note ' || CAST(doc_id % 300 AS VARCHAR) || ' — S' || CAST(doc_id % 7 AS VARCHAR) || '  (score: ' || printf('%.2f', r.score) || ')' || {_RULE} AS head,
+ {_redact_sql('text', [p for _, p in (*guard.HIGH, *guard.MEDIUM, *guard.CHUNK_ONLY)], guard.FILTERED)} AS body FROM r JOIN documents USING (doc_id) WHERE r.rank <= 5),
+{_BLOCKS.replace("800", "2000").replace("FROM c)", "FROM hits)")}"""
+
+
+@query(_PACKED + " SELECT query_id, false AS blocked, count(*) AS included, CAST(sum(greatest(1, length(block) // 4)) AS BIGINT) AS total_tokens, bool_or(was_cut) AS was_truncated, 2 AS n_messages FROM blocks GROUP BY query_id")
 def answer_contexts(spark, sf_dir):
-    """From questions to messages, end to end; held against its parts in the tests."""
+    """From questions to messages, end to end."""
     out = answer.answer_context(doc_chunks(spark, sf_dir), asked(spark, sf_dir), RetrievalQuery(top_k=5), 2000, keywords(spark, sf_dir))
     return out.select("query_id", "blocked", "included", "total_tokens", "was_truncated", F.size("messages").alias("n_messages"))
 
@@ -386,3 +393,14 @@ def blocked_audit(spark, sf_dir):
 @query(f"WITH x AS (SELECT doc_id, {_INJECTED} AS t FROM documents), y AS (SELECT t, list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '{_sql_pattern(p)}') THEN {i} END" for i, p in enumerate(guard.LEAKS))}], lambda v: v IS NOT NULL) AS m FROM x) SELECT 'output_sanitized' AS event, CAST(len(m) AS INT) AS n_patterns, substr(t, 1, 50) AS preview FROM y WHERE len(m) > 0")
 def output_audit(spark, sf_dir):
     return guard.output_events(_injected(spark, sf_dir), "text")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 5 = 0 THEN '  ' WHEN event_id % 7 = 0 THEN 'x' ELSE event_type END AS t, event_id % 3 = 0 AS f FROM events),
+n AS (SELECT *, lead(ms) OVER w AS nx, lag(f) OVER w AS pf, row_number() OVER w AS i FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms))
+SELECT event_id, CASE WHEN trim(t) = '' THEN 'clear' WHEN length(trim(t)) >= 2 AND ((i > 1 AND f <> pf) OR nx IS NULL OR nx - ms >= 60000) THEN 'search' END AS action FROM n""")
+def search_inputs(spark, sf_dir):
+    """What follows each input: blank ones clear, a change of filters searches at once."""
+    e = table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    typed = F.when(F.col("event_id") % 5 == 0, "  ").when(F.col("event_id") % 7 == 0, "x").otherwise(F.col("event_type"))
+    e = e.withColumn("typed", typed).withColumn("filters", F.col("event_id") % 3 == 0)
+    return display.search_actions(e, "user_id", "ms", "typed", "filters", 60_000).select("event_id", "action")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import SLOW_REQUEST_MS, SearchFilter
@@ -66,8 +67,16 @@ def milliseconds(nanoseconds: Column) -> Column:
 
 def debounced(keys: DataFrame, session: str, ms: str, text: str, wait: int = 350, least: int = 2) -> DataFrame:
     """Inputs that a search follows: no later one within ``wait`` ms, and ``least`` characters or more."""
-    from pyspark.sql import Window as W
-
-    following = F.lead(ms).over(W.partitionBy(session).orderBy(ms))
-    out = keys.withColumn("_gap", following - F.col(ms))
-    return out.filter((F.col("_gap").isNull() | (F.col("_gap") >= wait)) & (F.length(F.trim(text)) >= least)).drop("_gap")
+    return search_actions(keys, session, ms, text, None, wait, least).filter("action = 'search'").drop("action")
+
+
+def search_actions(keys: DataFrame, session: str, ms: str, text: str, filters: str | None = None, wait: int = 350, least: int = 2) -> DataFrame:
+    """Adds ``action``, what follows an input: ``clear`` at once for a blank one, ``search`` once no other input has come
+    for ``wait`` ms, or at once where the column ``filters`` is another than before; null for inputs that are too short
+    or overtaken."""
+    order = W.partitionBy(session).orderBy(ms)
+    gap = F.lead(ms).over(order) - F.col(ms)
+    long = F.length(F.trim(text)) >= least
+    moved = F.lit(False) if filters is None else F.coalesce(~F.col(filters).eqNullSafe(F.lag(filters).over(order)) & (F.row_number().over(order) > 1), F.lit(False))
+    action = F.when(F.trim(text) == "", "clear").when(long & (moved | gap.isNull() | (gap >= wait)), "search")
+    return keys.withColumn("action", action)

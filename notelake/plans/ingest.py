@@ -25,6 +25,9 @@ log = logging.getLogger(__name__)
 STATE_SCHEMA = "relative_path string, content_hash string"
 
 
+# The names of the figures that a full run and a synchronisation report.
+
+
 @dataclass
 class IndexingStats:
     total_notes: int = 0

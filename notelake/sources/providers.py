@@ -61,21 +61,6 @@ class HashingEmbedder(EmbeddingProvider):
         return out
 
 
-def embedded(text: Column, provider: EmbeddingProvider, batch: int = 32) -> Column:
-    """Vectors of texts; the provider gets ``batch`` texts a call, with retries."""
-
-    @F.pandas_udf("array<float>")
-    def embed(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in chunks:
-            rows: list = []
-            for i in range(0, len(s), batch):
-                part = s.iloc[i : i + batch].fillna("").tolist()
-                rows += with_retries(lambda part=part: provider.embed_batch(part))
-            yield pd.Series(rows, index=s.index, dtype=object)
-
-    return embed(text)
-
-
 def embedded_or_failed(text: Column, provider: EmbeddingProvider, batch: int = 32) -> Column:
     """(vector, error) of texts, ``batch`` a call: a call that fails for good leaves its own texts without a vector."""
 

@@ -106,3 +106,12 @@ def test_display(spark):
     assert rows == ["a &lt;b&gt; <mark>The</mark> &amp; <mark>the</mark> <mark>(x)</mark>", "plain"]
     ips = spark.createDataFrame([("1.1.1.1, 2.2.2.2", "p"), (None, "p"), ("", None)], "f string, p string")
     assert [r[0] for r in ips.select(text.client_ip(F.col("f"), F.col("p"))).collect()] == ["1.1.1.1", "p", "unknown"]
+
+
+def test_prompts_and_logs(spark):
+    import json
+
+    df = spark.createDataFrame([("q", "a", "c"), ("q", None, "c")], "q string, a string, c string")
+    text = df.select(context.refine_prompt(F.col("q"), F.col("a"), F.col("c")).alias("p")).first()["p"]
+    assert text.index("q") < text.index("a\n") < text.index("c\n")
+    assert [json.loads(r["value"]) for r in guard.as_json_log(df).collect()] == [{"q": "q", "a": "a", "c": "c"}, {"q": "q", "c": "c"}]
