@@ -80,4 +80,26 @@ m0 AS (SELECT {start}), {", ".join(rounds)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_posterior()} >= 0.5 AS kept FROM g, m{quality.ROUNDS}"""
 
 
-ORACLE = {"op2_mixing": MIXING, "op6_chat": CHAT, "op7_quality": quality_sql(), "op10_warc": WARC}
+
+
+def crc32(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes."""
+    byte = "list_reduce([xor(c, b)]::BIGINT[] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    values = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: CAST('0x' || p AS BIGINT))"
+    return f"xor(list_reduce([4294967295]::BIGINT[] || {values}, lambda c, b: {byte}), 4294967295)"
+
+
+#: Every snapshot that gets an event, with all events so far; its sessions; those with an event of its batch.
+SESSIONS = f"""WITH c AS (SELECT conv_id, turn, {crc32("CAST(conv_id AS VARCHAR)")} AS c, {crc32("conv_id || ':' || turn")} AS h FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
+t AS (SELECT CAST(2 * floor(conv_id / 8) + c % 2 AS BIGINT) AS u, (c // 2) % 7200 + 300 * turn + h % 600 AS s, h, h // 600 AS g FROM c),
+e AS (SELECT u, s, h, CAST(floor(s / 900) AS BIGINT) + CASE WHEN g % 5 = 0 THEN g % 4 ELSE 0 END AS b FROM t),
+x AS (SELECT k.b AS batch, e.* FROM (SELECT DISTINCT u, b FROM e) k JOIN e ON e.u = k.u AND e.b <= k.b),
+y AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY u, batch ORDER BY s) <= 600 THEN 0 ELSE 1 END AS cut FROM x),
+z AS (SELECT *, sum(cut) OVER (PARTITION BY u, batch ORDER BY s) AS part FROM y),
+v AS (SELECT u, batch, min(s) AS s0, max(s) AS s1, count(*) AS n, count(*) FILTER (b = batch) AS n_new, sum(h) AS h_sum FROM z GROUP BY u, batch, part HAVING n_new > 0),
+r AS (SELECT o.u, o.batch, o.s0, min_by(struct_pack(b := w.batch, s := w.s0), w.batch) AS heir FROM v o JOIN v w ON w.u = o.u AND w.batch > o.batch AND o.s0 BETWEEN w.s0 AND w.s1 GROUP BY ALL),
+k AS (SELECT u, heir, count(*) AS n FROM r GROUP BY ALL)
+SELECT v.u AS "user", v.batch, v.s0 AS start_s, v.s1 AS end_s, v.n AS n_events, v.n_new, coalesce(k.n, 0) AS n_retracted, CAST(v.h_sum AS BIGINT) AS h_sum, r.heir.b AS retracted_batch, r.heir.s AS retracted_start_s
+FROM v LEFT JOIN r ON r.u = v.u AND r.batch = v.batch AND r.s0 = v.s0 LEFT JOIN k ON k.u = v.u AND k.heir.b = v.batch AND k.heir.s = v.s0"""
+
+ORACLE = {"op13_late_sessions": SESSIONS, "op2_mixing": MIXING, "op6_chat": CHAT, "op7_quality": quality_sql(), "op10_warc": WARC}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ann, chat, counts, mixing, packing, quality, simhash, simple8b, urls, warc
+from . import ann, chat, counts, late_sessions, mixing, packing, quality, simhash, simple8b, urls, warc
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -84,4 +84,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cross_polytope, op2_mixing, op3_simple8b, op4_simhash, op5_token_counts, op6_chat, op7_quality, op8_urls, op9_packing, op10_warc)}
+def op13_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").filter("turn is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"))
+    crc = lambda text: F.crc32(text.cast("binary"))
+    df = turns.withColumn("c", crc(F.col("conv_id").cast("string"))).withColumn("h", crc(F.concat_ws(":", "conv_id", "turn")))
+    div = late_sessions.floor_div
+    df = df.withColumn("g", div(F.col("h"), 600)).withColumn("time", div(F.col("c"), 2) % 7200 + 300 * F.col("turn") + F.col("h") % 600)
+    late = F.when(F.col("g") % 5 == 0, F.col("g") % 4).otherwise(0)
+    user = 2 * div(F.col("conv_id"), 8) + F.col("c") % 2
+    events = df.select(user.alias("user"), "time", (div(F.col("time"), 900) + late).alias("batch"), F.col("h").alias("value"))
+    out = late_sessions.session_versions(events)
+    return out.withColumnsRenamed({"start": "start_s", "end": "end_s", "total": "h_sum", "retracted_start": "retracted_start_s"})
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cross_polytope, op2_mixing, op3_simple8b, op4_simhash, op5_token_counts, op6_chat, op7_quality, op8_urls, op9_packing, op10_warc, op13_late_sessions)}
