@@ -102,4 +102,16 @@ k AS (SELECT u, heir, count(*) AS n FROM r GROUP BY ALL)
 SELECT v.u AS "user", v.batch, v.s0 AS start_s, v.s1 AS end_s, v.n AS n_events, v.n_new, coalesce(k.n, 0) AS n_retracted, CAST(v.h_sum AS BIGINT) AS h_sum, r.heir.b AS retracted_batch, r.heir.s AS retracted_start_s
 FROM v LEFT JOIN r ON r.u = v.u AND r.batch = v.batch AND r.s0 = v.s0 LEFT JOIN k ON k.u = v.u AND k.heir.b = v.batch AND k.heir.s = v.s0"""
 
-ORACLE = {"op13_late_sessions": SESSIONS, "op2_mixing": MIXING, "op6_chat": CHAT, "op7_quality": quality_sql(), "op10_warc": WARC}
+#: Words that leave the same when a code point at the same place is cut out, or of which one is what the other leaves.
+SPELLING = f"""WITH RECURSIVE t AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+k AS MATERIALIZED (SELECT doc_id, run, CAST(length(run) AS BIGINT) AS l, count(*) AS m FROM t WHERE length(run) >= 5 GROUP BY ALL),
+h AS (SELECT *, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM k),
+w AS MATERIALIZED (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % l) || substr(run, h % l + 2) ELSE run END AS word, CAST(sum(m) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(m) >= 3),
+d AS MATERIALIZED (SELECT word, length(word) AS l, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.l = y.l AND x.i = y.i AND x.rest = y.rest AND x.word <> y.word UNION SELECT x.word, y.word FROM d x JOIN w y ON x.rest = y.word UNION SELECT y.word, x.word FROM d x JOIN w y ON x.rest = y.word),
+b AS (SELECT a, b, w.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS r FROM p JOIN w ON w.word = b),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 2 * w.n THEN b END AS form, CASE WHEN b.n >= 2 * w.n THEN b.n END AS form_n FROM w LEFT JOIN b ON b.a = w.word AND r = 1),
+g AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, g.root FROM g JOIN f ON f.form = g.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN g USING (word)"""
+
+ORACLE = {"op11_spelling": SPELLING, "op13_late_sessions": SESSIONS, "op2_mixing": MIXING, "op6_chat": CHAT, "op7_quality": quality_sql(), "op10_warc": WARC}
