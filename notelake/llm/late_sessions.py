@@ -138,7 +138,7 @@ def _carried(islands: DataFrame, gap: int) -> DataFrame:
     joined = F.col("_whole") & (F.col("_first") - F.col("_c.last") <= gap)  # null without a session before the era
     both = F.struct(F.col("_c.start").alias("start"), F.col("_s.last").alias("last"), (F.col("_c.n") + F.col("_s.n")).alias("n"), (F.col("_c.total") + F.col("_s.total")).alias("total"), F.greatest("_c.top", "_s.top").alias("top"))
     held = F.when(F.col("_s").isNull(), F.col("_c")).when(joined, both).otherwise(F.col("_s"))
-    return parts.join(before, ["user", "era"]).select("user", "segment", held.alias("_t")).filter("_t is not null").select("user", "segment", "_t.*")
+    return parts.join(before.hint("merge"), ["user", "era"]).select("user", "segment", held.alias("_t")).filter("_t is not null").select("user", "segment", "_t.*")
 
 
 def session_versions(events: DataFrame, gap: int = 600, interval: int = 900, lateness: int = 3) -> DataFrame:

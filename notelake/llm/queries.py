@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ann, chat, counts, late_sessions, mixing, packing, quality, simhash, simple8b, spelling, urls, warc
+from . import ann, chat, counts, late_sessions, mixing, packing, quality, simhash, simple8b, spelling, templates, urls, warc
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -88,6 +88,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.main_texts(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op13_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").filter("turn is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"))
     crc = lambda text: F.crc32(text.cast("binary"))
@@ -101,4 +106,4 @@ def op13_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"start": "start_s", "end": "end_s", "total": "h_sum", "retracted_start": "retracted_start_s"})
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cross_polytope, op2_mixing, op3_simple8b, op4_simhash, op5_token_counts, op6_chat, op7_quality, op8_urls, op9_packing, op10_warc, op11_spelling, op13_late_sessions)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cross_polytope, op2_mixing, op3_simple8b, op4_simhash, op5_token_counts, op6_chat, op7_quality, op8_urls, op9_packing, op10_warc, op11_spelling, op12_html, op13_late_sessions)}
