@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import SearchFilter
+from ..operators.vector import filtered
 from .storage import BucketedTable
 
 PAYLOAD = "chunk_id string, note_id string, note_title string, note_path string, tags array<string>, heading_path array<string>, chunk_index int, total_chunks int, word_count int, chunk_text string, indexed_at string, note_modified_at string"
@@ -16,11 +18,12 @@ PAYLOAD_COLUMNS = tuple(c.split()[0] for c in PAYLOAD.split(", "))
 
 
 def upserted(index: DataFrame, new: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
-    """Rows of the index that ``new`` doesn't replace, and ``new``; of its rows with one key the last by ``order``, which
-    is their place in the table where none is given."""
-    place = F.col(order) if order else F.monotonically_increasing_id()
-    new = new.withColumn("_place", place).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_place"))))
-    new = new.filter("_n = 1").drop("_n", "_place")
+    """Rows of the index that ``new`` doesn't replace, and ``new``; of its rows with one key the last by the column
+    ``order``. Without one, the order is that of all their values: a table has none of its own once it is shuffled, but
+    every run keeps the same row."""
+    last = [F.desc(order)] if order else []
+    last += [F.desc(F.xxhash64(*new.columns))]
+    new = new.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*last))).filter("_n = 1").drop("_n")
     return index.join(new.select(key), key, "left_anti").unionByName(new.select(*index.columns))
 
 
@@ -62,7 +65,10 @@ class IndexTable(ABC):
     def read(self) -> DataFrame: ...
 
     @abstractmethod
-    def upsert(self, rows: DataFrame) -> None: ...
+    def upsert(self, rows: DataFrame, order: str | None = None) -> None: ...
+
+    @abstractmethod
+    def matching(self, filters: SearchFilter) -> DataFrame: ...
 
     @abstractmethod
     def delete_ids(self, ids: DataFrame) -> None: ...
@@ -90,11 +96,11 @@ class IndexTable(ABC):
 
 
 class ParquetIndex(IndexTable):
-    """An index in buckets of Parquet by the hash of note_id: a change of some notes writes their buckets only. Empty
-    changes write nothing."""
+    """An index in buckets of Parquet by the hash of note_id: a change of some notes writes their buckets only, a search
+    with filters reads the buckets that hold their values. Empty changes write nothing."""
 
-    def __init__(self, spark: SparkSession, path: str, name: str = "chunks", buckets: int = 256):
-        self.table, self.name = BucketedTable(spark, path, SCHEMA, "note_id", buckets), name
+    def __init__(self, spark: SparkSession, path: str, name: str = "chunks", buckets: int = 256, most: int = 100_000):
+        self.table, self.name = BucketedTable(spark, path, SCHEMA, "note_id", buckets, most=most, indexed=("tags", "note_path", "note_title")), name
 
     def ensure(self) -> None:
         self.table.ensure()
@@ -113,8 +119,16 @@ class ParquetIndex(IndexTable):
         """note_ids of the chunks with some ids; two columns are read."""
         return self.read().select("chunk_id", "note_id").join(ids.select("chunk_id"), "chunk_id", "left_semi").select("note_id")
 
-    def upsert(self, rows: DataFrame) -> None:
-        self.table.change(rows.select("note_id").unionByName(self._notes_of(rows)), lambda own: upserted(own, rows))
+    def matching(self, filters: SearchFilter) -> DataFrame:
+        """The rows that a filter lets through; buckets without its values aren't opened."""
+        asked = {"tags": list(filters.tags), **{c: [v] for c, v in (("note_id", filters.note_id), ("note_path", filters.note_path), ("note_title", filters.note_title)) if v}}
+        sets = [self.table.holding(c, vs) for c, vs in asked.items() if vs]
+        return filtered(self.table.read(set.intersection(*sets)) if sets else self.read(), filters)
+
+    def upsert(self, rows: DataFrame, order: str | None = None) -> None:
+        """Of rows with one chunk_id the last by ``order`` (a column beside the index's own) is kept."""
+        known = rows.select("note_id").unionByName(self._notes_of(rows))
+        self.table.change(known, lambda own: upserted(own, rows, order=order))
 
     def delete_ids(self, ids: DataFrame) -> None:
         self.table.change(self._notes_of(ids), lambda own: without_ids(own, ids))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import logging
 import uuid
@@ -122,72 +123,139 @@ class VersionedTable:
 class BucketedTable:
     """A table in buckets by the hash of a key; a change reads and writes the buckets that it touches.
 
-    The pointer names, for each bucket that has rows, the version whose folder holds it; it moves when a version is whole.
-    Folders that neither the current state nor the ``keep`` before it name are removed.
+    A log of states names, for each bucket that has rows, the version whose folder holds it. A change that began from an
+    old state joins the newer one if that left its buckets alone, else it is made again: writers never lose each other's
+    rows. Buckets grow in number (linear hashing: one after the other is split in two), so that they hold ``most`` rows
+    on average at most. Beside each bucket's rows lie the values of ``indexed`` columns (text or arrays of it), which tell
+    what buckets a search has to read. Folders that neither the current state nor the ``keep`` before it name are removed.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, key: str, buckets: int = 256, keep: int = 2):
-        self.spark, self.path, self.key, self.buckets, self.keep = spark, path.rstrip("/"), key, buckets, keep
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, key: str, buckets: int = 256, keep: int = 2, most: int = 100_000, indexed: tuple[str, ...] = ()):
+        from .commits import CommitLog
+
+        self.spark, self.path, self.key, self.buckets, self.keep, self.most, self.indexed = spark, path.rstrip("/"), key, buckets, keep, most, indexed
         self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        self.log = CommitLog(spark, f"{self.path}/_log")
 
     def _states(self) -> list[dict]:
         """The current state, then those before it."""
-        text = read_text(self.spark, f"{self.path}/CURRENT.json")
-        try:
-            states = json.loads(text) if text is not None else []
-            return [{"version": s["version"], "buckets": {str(k): str(v) for k, v in s["buckets"].items()}} for s in states]
-        except (ValueError, KeyError, TypeError, AttributeError):
-            log.warning("unreadable pointer of %s: taken as empty", self.path)
-            return []
+        numbers = self.log.numbers()[-self.keep - 1 :]
+        return [self.log.read(n)[1] for n in reversed(numbers)]
 
     @property
     def version(self) -> str | None:
-        states = self._states()
-        return states[0]["version"] if states else None
+        state = self.log.read()[1]
+        return state and state["version"]
 
     def exists(self) -> bool:
-        return read_text(self.spark, f"{self.path}/CURRENT.json") is not None
+        return self.log.read()[1] is not None
 
     def ensure(self) -> None:
+        from .commits import Conflict
+
         if not self.exists():
-            self._point(f"v-{uuid.uuid4().hex}", {}, [])
+            with contextlib.suppress(Conflict):  # another writer made it
+                self.log.commit(-1, {"version": f"v-{uuid.uuid4().hex}", "count": self.buckets, "buckets": {}, "rows": {}})
 
-    def read(self, only: list[int] | None = None) -> DataFrame:
-        """The current rows, of some buckets or all."""
-        states = self._states()
-        own = states[0]["buckets"] if states else {}
-        paths = [f"{self.path}/{v}/bucket={k}" for k, v in sorted(own.items()) if only is None or int(k) in only]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+    def _read(self, state: dict | None, only: set[int] | None = None, what: str = "rows/bucket", schema: T.StructType | str | None = None) -> DataFrame:
+        own, schema = state["buckets"] if state else {}, schema or self.schema
+        paths = [f"{self.path}/{v}/{what}={k}" for k, v in sorted(own.items()) if only is None or int(k) in only]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+    def read(self, only: list[int] | set[int] | None = None) -> DataFrame:
+        """The current rows, of some buckets or all."""
+        return self._read(self.log.read()[1], None if only is None else set(only))
+
+    def bucket(self, count: int | None = None) -> Column:
+        """A row's bucket among ``count``: the first of them are split once more than the rest."""
+        count = count or (self.log.read()[1] or {"count": self.buckets})["count"]
+        half = 1 << (count.bit_length() - 1)
+        h = F.xxhash64(self.key)
+        low = F.pmod(h, F.lit(half))
+        return F.when(low < count - half, F.pmod(h, F.lit(2 * half))).otherwise(low).cast("int")
+
+    def holding(self, column: str, values: list[str]) -> set[int]:
+        """The buckets whose rows have any of the values in an indexed column, or in the key."""
+        state = self.log.read()[1]
+        if state is None:
+            return set()
+        if column == self.key:
+            rows = self.spark.createDataFrame([(v,) for v in values], f"`{column}` string").select(self.bucket(state["count"]))
+        else:
+            wanted = (F.col("column") == column) & F.col("value").isin(*values)
+            rows = self._read(state, None, "values/part", _VALUES).filter(wanted).select("bucket").distinct()
+        return {r[0] for r in rows.collect()}  # numbers of buckets, at most as many as there are
 
     def change(self, keys: DataFrame, new: Callable[[DataFrame], DataFrame]) -> str | None:
         """Replaces the buckets that hold any of ``keys`` by what ``new`` makes of their rows; None if there are no keys."""
-        touched = sorted(r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect())  # ``buckets`` at most
-        if not touched:
-            return None
-        states, v = self._states(), f"v-{uuid.uuid4().hex}"
-        rows = new(self.read(touched)).select(*self.schema.names).withColumn("bucket", self.bucket())
-        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{v}")
-        own = dict(states[0]["buckets"]) if states else {}
-        for k in touched:
-            own.pop(str(k), None)
-            if has_path(self.spark, f"{self.path}/{v}/bucket={k}"):
-                own[str(k)] = v
-        self._point(v, own, states)
-        return v
-
-    def _point(self, version: str, buckets: dict[str, str], before: list[dict]) -> None:
-        states = [{"version": version, "buckets": buckets}, *before[: self.keep]]
-        write_text(self.spark, f"{self.path}/CURRENT.json", json.dumps(states, sort_keys=True))
-        named = {(v, k) for s in states for k, v in s["buckets"].items()}
+        from .commits import Conflict
+
+        written = None
+        while True:
+            number, state = self.log.read()
+            state = state or {"version": None, "count": self.buckets, "buckets": {}, "rows": {}}
+            if written is None or state["count"] != written[0] or any(state["buckets"].get(k) != written[1].get(k) for k in written[2]):
+                touched = {str(r[0]) for r in keys.select(self.bucket(state["count"])).distinct().collect()}  # at most ``count``
+                if not touched:
+                    return None
+                rows = new(self._read(state, set(map(int, touched))))
+                written = (state["count"], dict(state["buckets"]), touched, *self._write(rows, state["count"]))
+            _, _, touched, version, sizes = written
+            try:
+                self._commit(number, state, version, touched, sizes, state["count"])
+                break
+            except Conflict:
+                log.info("%s changed meanwhile", self.path)
+        self._grow()
+        return version
+
+    def _write(self, rows: DataFrame, count: int) -> tuple[str, dict[str, int]]:
+        """Writes rows and their indexed values by bucket; the version, and rows by bucket."""
+        v = f"v-{uuid.uuid4().hex}"
+        rows = rows.select(*self.schema.names).withColumn("bucket", self.bucket(count))
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{v}/rows")
+        back = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/{v}/rows")
+        sizes = {str(r["bucket"]): r["n"] for r in back.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # reads no column
+        if self.indexed and sizes:
+            pairs = lambda c, xs: F.transform(xs, lambda x: F.struct(F.lit(c).alias("column"), x.alias("value")))
+            kinds, each = dict(back.dtypes), [pairs("", F.array(F.lit("")))]  # a bucket without values has a row, too
+            each += [pairs(c, F.coalesce(F.col(c), F.array()) if kinds[c].startswith("array") else F.array(c)) for c in self.indexed]
+            values = back.select("bucket", F.explode(F.concat(*each)).alias("_v")).filter("_v.value is not null").select("bucket", "_v.*").distinct()
+            values = values.withColumn("part", F.col("bucket")).repartition(max(1, len(sizes) // 16), "part").sortWithinPartitions("part", "column", "value")
+            values.write.partitionBy("part").parquet(f"{self.path}/{v}/values")
+        return v, sizes
+
+    def _commit(self, number: int, state: dict, version: str, touched: set[str], sizes: dict[str, int], count: int) -> None:
+        own = {k: v for k, v in state["buckets"].items() if k not in touched} | dict.fromkeys(sizes, version)
+        rows = {k: n for k, n in state["rows"].items() if k not in touched} | sizes
+        before = self._states()
+        self.log.commit(number, {"version": version, "count": count, "buckets": own, "rows": rows})
+        named = {(v, k) for s in [{"buckets": own}, *before[: self.keep]] for k, v in s["buckets"].items()}
         for s in before[self.keep :]:
             for k, v in s["buckets"].items():
                 if (v, k) not in named:
-                    remove(self.spark, f"{self.path}/{v}/bucket={k}")
+                    for what in ("rows/bucket", "values/part"):
+                        remove(self.spark, f"{self.path}/{v}/{what}={k}")
+
+    def _grow(self) -> None:
+        """Splits as many buckets as the number of rows asks for; another writer's change comes first."""
+        from .commits import Conflict
+
+        number, state = self.log.read()
+        old = state["count"]
+        count = max(old, -(-sum(state["rows"].values()) // self.most))
+        if count == old:
+            return
+
+        def parent(j: int) -> int:  # where rows of a new bucket lay before
+            half = 1 << (old.bit_length() - 1)
+            low = j % half
+            return j % (2 * half) if low < old - half else low
+
+        touched = {str(parent(j)) for j in range(old, count)} & state["buckets"].keys()
+        version, sizes = self._write(self._read(state, set(map(int, touched))), count) if touched else (state["version"], {})
+        with contextlib.suppress(Conflict):  # then the next change splits
+            self._commit(number, state, version, touched, sizes, count)
 
     def drop(self) -> None:
         remove(self.spark, self.path)
@@ -199,6 +267,10 @@ class BucketedTable:
         return out
 
 
+#: What lies beside the rows of a bucket: its number, and the values of its indexed columns.
+_VALUES = "bucket int, column string, value string"
+
+
 def backed_up(target: str, tables: dict[str, VersionedTable | BucketedTable | DataFrame]) -> dict[str, str]:
     """Copies tables, such as the index, the state and the notes, to folders by their names; where each went."""
     out = {}

@@ -274,8 +274,14 @@ def test_bad_notes_are_left_out(monkeypatch):
 
 def test_last_row_of_a_key_wins(spark):
     old = spark.createDataFrame([("c1", "x"), ("c2", "y")], "chunk_id string, note_id string")
-    new = spark.createDataFrame([("c1", "old"), ("c3", "z"), ("c1", "new")], "chunk_id string, note_id string")
-    assert sorted(map(tuple, indexes.upserted(old, new).collect())) == [("c1", "new"), ("c2", "y"), ("c3", "z")]
+    new = spark.createDataFrame([("c1", "old", 1), ("c3", "z", 2), ("c1", "new", 3)], "chunk_id string, note_id string, seq int")
+    assert sorted(map(tuple, indexes.upserted(old, new, order="seq").collect())) == [("c1", "new"), ("c2", "y"), ("c3", "z")]
+    many = spark.createDataFrame([(f"c{i % 100}", f"x{i}", i) for i in range(1000)], "chunk_id string, note_id string, seq int")
+    for parts in (3, 7):  # wherever the rows lie
+        last = indexes.upserted(old, many.repartition(parts, "note_id"), order="seq")
+        assert {r["chunk_id"]: r["note_id"] for r in last.collect()} == {f"c{i % 100}": f"x{i}" for i in range(900, 1000)}
+    some = [sorted(map(tuple, indexes.upserted(old, many.repartition(parts, "seq")).collect())) for parts in (2, 5)]
+    assert some[0] == some[1]  # without an order: every run keeps the same rows
 
 
 def test_index_writes_touched_buckets(spark, tmp_path):
