@@ -11,14 +11,15 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, named, text_or_empty
+from .common import Scratch, bounded_broadcast, lean, named, text_or_empty
 
 #: Elements of HTML by what they mean for text.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -56,7 +57,14 @@ class _Element(NamedTuple):
     path: str  # hash of the parent's and its own name, so that deep nesting stays small
     drop: int  # 0: nothing, 1: all but headings, 2: all
     mute: bool  # inside a dropped inline element
-    flags: int
+    closing: int  # its token where it closes
+
+
+@lru_cache(maxsize=1 << 16)
+def _named(parent: str, label: str, flags: int) -> tuple[str, int, int]:
+    """An element's path, and its tokens where it opens and closes."""
+    path = f"{_signed(f'{parent}/{label}', 0):x}"
+    return path, _signed(path, flags | OPEN), _signed(path, flags | CLOSE)
 
 
 def _signed(path: str, flags: int) -> int:
@@ -90,7 +98,7 @@ def tokens_of(source: str) -> Iterator[tuple[int, str]]:
         while len(stack) > depth:
             e = stack.pop()
             if e.block:
-                yield _signed(e.path, e.flags | CLOSE), ""
+                yield e.closing, ""
 
     at = 0
     while at < len(source):
@@ -138,27 +146,29 @@ def tokens_of(source: str) -> Iterator[tuple[int, str]]:
             continue
         if tag in _VOID:
             continue
-        names = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTRIBUTE.findall(m[3])}
-        said = " ".join(names.values()).replace("_", "-")
+        names = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTRIBUTE.findall(m[3])} if len(m[3]) > 3 else {}
         parent, sectioning = stack[-1], tag in ("article", "main", "body", "html")
-        drop = 2 if tag in _DROPPED or (not sectioning and _NAMES.search(said)) else 0
-        if not drop and (tag == "header" or (not sectioning and _HEADS.search(said))):
-            drop = 1 if any(e.tag in ("article", "main") for e in stack) else 2
+        drop = 2 if tag in _DROPPED else 1 if tag == "header" else 0
+        if names and not drop and not sectioning:
+            said = " ".join(names.values()).replace("_", "-")
+            drop = 2 if _NAMES.search(said) else 1 if _HEADS.search(said) else 0
+        if drop == 1 and not any(e.tag in ("article", "main") for e in stack):
+            drop = 2
         drop = max(drop, parent.drop)
         if not block:
             stack.append(_Element(tag, False, parent.path, drop, parent.mute or (drop == 2 and parent.drop < 2), 0))
             continue
-        label = re.sub(r"\d+", "", f"{tag}.{names.get('class', '')}#{names.get('id', '')}")
+        label = re.sub(r"\d+", "", f"{tag}.{names.get('class', '')}#{names.get('id', '')}") if names else tag
         main = _MAIN if tag == "main" or names.get("role") == "main" else 0
         flags = (_CONTAINER if tag in _CONTAINERS else 0) | (_OUT if drop else 0) | (_ARTICLE if tag == "article" else 0) | main
-        path = f"{_signed(f'{parent.path}/{label}', 0):x}"
-        stack.append(_Element(tag, True, path, drop, parent.mute, flags))
-        yield _signed(path, flags | OPEN), ""
+        path, opening, closing = _named(parent.path, label, flags)
+        stack.append(_Element(tag, True, path, drop, parent.mute, closing))
+        yield opening, ""
     yield from close(1)
     yield from flush()
 
 
-def _places(tokens: list[int], sizes: list[int], template: set[int] | None = None) -> Counter:
+def _places(tokens: list[int], sizes: list[int], template: Container[int] | None = None) -> Counter:
     """How many characters of text, other than the template's own, lie in each element where an article may lie: one
     that the template has (where given), that is once on the page and isn't dropped. Text counts for the outermost
     article around it, else the outermost main element, else the innermost container."""
@@ -178,6 +188,12 @@ def _places(tokens: list[int], sizes: list[int], template: set[int] | None = Non
     return found
 
 
+def _own_place(tokens: list[int], sizes: list[int]) -> int | None:
+    """The element with most text on one page."""
+    found = _places(tokens, sizes)
+    return max(found, key=lambda t: (found[t], t), default=None)
+
+
 def _checked(tokens: list[int], classes: dict[int, int]) -> Iterator[tuple[int, int, bool]]:
     """(class, hash of its tokens' order, whether it keeps that order all along and nests with the others) of a page's
     classes."""
@@ -215,16 +231,17 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
     for b in _small(batches):
-        skeletons, tokens, sizes, kinds, times = [], [], [], [], []
+        skeletons, tokens, sizes, kinds, times, own = [], [], [], [], [], []
         for source in b.column(2).to_pylist():
             pairs = list(tokens_of(source))
             tokens.append([t for t, _ in pairs])
             sizes.append([len(x) for _, x in pairs])
+            own.append(_own_place(tokens[-1], sizes[-1]))
             n = Counter(tokens[-1])
             kinds.append(list(n))
             times.append(list(n.values()))
             skeletons.append(_signed(",".join(map(str, sorted(t for t in n if t & 3 == OPEN and t & _CONTAINER))), 0))
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(skeletons, pa.int64()), pa.array(tokens, longs), pa.array(sizes, ints), pa.array(kinds, longs), pa.array(times, ints)], ["host", "doc", "skeleton", "tokens", "sizes", "kinds", "times"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(skeletons, pa.int64()), pa.array(tokens, longs), pa.array(sizes, ints), pa.array(kinds, longs), pa.array(times, ints), pa.array(own, pa.int64())], ["host", "doc", "skeleton", "tokens", "sizes", "kinds", "times", "own"])
 
 
 def _with_template(pages: DataFrame, template: DataFrame) -> DataFrame:
@@ -234,32 +251,42 @@ def _with_template(pages: DataFrame, template: DataFrame) -> DataFrame:
     return pages.withColumn("copy", F.pmod("doc", F.floor(F.col("pages") / _PER_TASK) + 1)).join(dealt, ["group", "copy"])
 
 
+def _each_page(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(group, tokens, sizes, template: class by token) of rows; rows of one group lie together and share a template."""
+    last, template = None, {}
+    for i, group in enumerate(b.column(0).to_pylist()):
+        if group != last or i == 0:
+            last, template = group, dict(zip(b.column(3)[i].as_py(), b.column(4)[i].as_py(), strict=True))
+        yield group, b.column(1)[i].as_py(), b.column(2)[i].as_py(), template
+
+
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for group, tokens, t, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            rows += [(group, *x) for x in _checked(tokens, dict(zip(t, c, strict=True)))]
+        rows = [(group, *x) for group, tokens, _, template in _each_page(b) for x in _checked(tokens, template)]
         columns = list(zip(*rows, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(columns[i], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["group", "class", "order", "ok"])
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for group, tokens, sizes, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            rows += [(group, *x) for x in _places(tokens, sizes, set(t)).items()]
+        found: Counter = Counter()
+        for group, tokens, sizes, template in _each_page(b):
+            for place, chars in _places(tokens, sizes, template).items():
+                found[group, place] += chars
+        rows = [(*k, n) for k, n in found.items()]
         columns = list(zip(*rows, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(columns[i], pa.int64()) for i in range(3)], ["group", "place", "chars"])
 
 
 def deduced_templates(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of pages (host, doc: hash of the source, source): (group, pages, marks) templates, and (host, doc, place): the
-    element in which the articles of each distinct page's group lie, null where the group has none.
+    element in which the articles of a distinct page's group lie, for the pages that have it once and, looked at alone,
+    would have chosen another.
 
     Hosts with ``_LEAST_PAGES`` distinct pages are groups; pages of smaller ones are grouped by the elements that they
     are made of. Only tokens and counts move, added up per group and token first.
     """
-    kinds = "host string, doc long, skeleton long, tokens array<long>, sizes array<int>, kinds array<long>, times array<int>"
+    kinds = "host string, doc long, skeleton long, tokens array<long>, sizes array<int>, kinds array<long>, times array<int>, own long"
     each = pages.mapInArrow(lean(_tokenised), kinds).dropDuplicates(["host", "doc"])
     each = scratch.keep(each, "page-tokens")
     hosts = each.groupBy("host").agg(F.count(F.lit(1)).alias("of_host")).filter(F.col("of_host") >= _LEAST_PAGES)
@@ -277,16 +304,18 @@ def deduced_templates(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, Da
     def gathered(df: DataFrame) -> DataFrame:  # at most _SUPPORT times a page's tokens
         return df.groupBy("group").agg(F.max("pages").alias("pages"), F.collect_list(F.struct("token", "class")).alias("marks"))
 
-    seen = _with_template(each, gathered(marks)).select("group", "tokens", "t", "c")
+    seen = _with_template(each, gathered(marks)).select("group", "tokens", "sizes", "t", "c")
     checks = seen.mapInArrow(lean(_check), "group long, class long, order long, ok boolean").groupBy("group", "class").agg((F.min("ok") & (F.min("order") == F.max("order"))).alias("ok"))
     single = F.when(F.col("token").bitwiseAND(3) == TEXT, F.col("token")).otherwise(F.col("token") - F.col("token").bitwiseAND(3))
     valid = marks.join(checks, ["group", "class"]).withColumn("class", F.when(F.col("ok"), F.col("class")).otherwise(single))  # what isn't valid as a whole falls into its elements
     template = scratch.keep(gathered(valid), "page-templates")
 
-    placed = _with_template(each, template).select("group", "tokens", "sizes", "t")
+    placed = _with_template(each, template).select("group", "tokens", "sizes", "t", "c")
     places = placed.mapInArrow(lean(_place), "group long, place long, chars long").groupBy("group", "place").agg(F.sum("chars").alias("chars"))
     places = places.filter("chars > 0").groupBy("group").agg(F.max_by("place", F.struct("chars", "place")).alias("place"))
-    return template, each.select("group", "host", "doc").join(places, "group", "left").select("host", "doc", "place")
+    once = F.size(F.filter("tokens", lambda t: t == F.col("place"))) == 1
+    others = each.select("group", "host", "doc", "tokens", "own").join(places, "group").filter(~F.col("place").eqNullSafe(F.col("own")) & once)
+    return template, others.select("host", "doc", "place")
 
 
 def main_text(source: str, place: int | None) -> str:
@@ -295,8 +324,7 @@ def main_text(source: str, place: int | None) -> str:
     pairs = list(tokens_of(source))
     tokens = [t for t, _ in pairs]
     if tokens.count(place) != 1:
-        own = _places(tokens, [len(x) for _, x in pairs])
-        place = max(own, key=lambda t: (own[t], t), default=None)
+        place = _own_place(tokens, [len(x) for _, x in pairs])
     if place is None:
         return "\n\n".join(x for t, x in pairs if x and not t & _OUT)
     begin, end = tokens.index(place), tokens.index(place | CLOSE)
@@ -319,8 +347,8 @@ def main_texts(pages: DataFrame, url: Column | None = None, source: Column | Non
     own = F.struct(*map(named, kept)).alias("_page")
     rows = pages.select(own, host_of(url).alias("host"), source.alias("_source")).withColumn("doc", F.xxhash64("_source"))
     _, places = deduced_templates(rows.select("host", "doc", "_source"), scratch)
-    places = scratch.keep(places, "page-places")
-    joined = rows.join(places, ["host", "doc"], "left").select("_page", "_source", "place")
+    places = scratch.keep(places, "page-places")  # few: the sources themselves needn't be shuffled then
+    joined = rows.join(bounded_broadcast(places, places.count(), 64), ["host", "doc"], "left").select("_page", "_source", "place")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches):
