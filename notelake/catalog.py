@@ -18,6 +18,7 @@ from .plans import answer, ingest, retrieve
 from .session import scratch_path, ship
 from .sources import index as indexes
 from .sources import notes as note_source
+from .sources.storage import listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,12 +108,17 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(e.select("vec_id", F.col("embedding").alias("vector")), F.col("vec_id") == F.col("query_id") * 7 % e.count()).drop("vec_id")
 
 
-_KEYWORDS: dict[tuple[str, str], bm25.KeywordIndex] = {}
+_KEYWORDS: dict[tuple[str, str, str], bm25.KeywordIndex] = {}
+
+
+def _made_of(spark: SparkSession, sf_dir: str, *tables: str) -> tuple[str, str, str]:
+    """What an index that is written once was made of: other files under the same path are another table."""
+    return spark.sparkContext.applicationId, sf_dir, "".join(listing(spark, f"{sf_dir}/{t}.parquet") for t in tables)
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> bm25.KeywordIndex:
     """The keyword index of the documents, written by the first query that asks for it and read by all."""
-    key = spark.sparkContext.applicationId, sf_dir
+    key = _made_of(spark, sf_dir, "documents")
     if key not in _KEYWORDS:
         _KEYWORDS[key] = bm25.written(table(spark, sf_dir, "documents"), scratch_path(spark, "keywords"), "doc_id", "text")
     return _KEYWORDS[key]
@@ -324,12 +330,12 @@ def id_scan(spark, sf_dir):
     return index.ids().agg(F.count(F.lit(1)).alias("n_ids"))
 
 
-_STORED: dict[tuple[str, str], indexes.ParquetIndex] = {}
+_STORED: dict[tuple[str, str, str], indexes.ParquetIndex] = {}
 
 
 def _stored_index(spark, sf_dir):
     """The documents as chunks in an index of buckets, written by the first query that asks for it."""
-    key = spark.sparkContext.applicationId, sf_dir
+    key = _made_of(spark, sf_dir, "documents", "embeddings")
     if key not in _STORED:
         index = indexes.ParquetIndex(spark, scratch_path(spark, "index"), buckets=16)
         index.ensure()

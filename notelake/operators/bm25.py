@@ -30,11 +30,37 @@ class KeywordIndex:
         return self.version is None or self.version != version
 
 
+def counted(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "chunk_text") -> DataFrame:
+    """chunk_id, note_id (null without such a column), mark, dl, terms of chunks: a hash of the text, its length in terms
+    and how often each occurs, counted inside the row. Chunks without terms stay: they count in n and the mean length."""
+    note = F.col("note_id") if "note_id" in chunks.columns else F.lit(None).cast("string")
+    text = F.coalesce(text_column, F.lit(""))
+    rows = chunks.select(F.col(id_column).alias("chunk_id"), note.alias("note_id"), F.xxhash64(text).alias("mark"), F.array_sort(keyword_tokens(text)).alias("_t"))
+    # places in the sorted terms at which another one begins; a term's count is the distance to the next place
+    starts = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: (i == 1) | (F.get("_t", i - 1) != F.get("_t", i - 2)))
+    rows = rows.withColumn("_s", F.when(F.size("_t") > 0, starts).otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), F.array(F.size("_t") + 1))
+    terms = F.zip_with("_s", ends, lambda a, b: F.struct(F.get("_t", a - 1).alias("term"), (b - a).cast("long").alias("tf")))
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return rows.select("chunk_id", "note_id", "mark", F.size("_t").alias("dl"), F.when(F.size("_t") > 0, terms).otherwise(none).alias("terms"))
+
+
+def exploded(counts: DataFrame, *more: str) -> DataFrame:
+    """chunk_id, term, tf, dl (and ``more`` columns): a row per chunk and term of ``counted``."""
+    return counts.select(*more, "chunk_id", "dl", F.explode("terms").alias("_t")).select(*more, "chunk_id", "_t.term", "dl", "_t.tf")
+
+
+def by_term(postings: DataFrame) -> DataFrame:
+    """Rows of a term lie together, sorted, so a reader that looks for a few terms skips the row groups without them; a
+    frequent term is dealt to ``_SALT`` files."""
+    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(_SALT))
+    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.repartition(n, "term", spread).sortWithinPartitions("term")
+
+
 def postings_of(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "chunk_text") -> DataFrame:
     """chunk_id, term, tf and the length dl of the chunk in terms; chunks without terms give no rows."""
-    tokens = chunks.select(F.col(id_column).alias("chunk_id"), keyword_tokens(F.coalesce(text_column, F.lit(""))).alias("_t"))
-    terms = tokens.select("chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return terms.groupBy("chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return exploded(counted(chunks, id_column, text_column))
 
 
 def built(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "chunk_text", version: str | None = None) -> KeywordIndex:
@@ -65,12 +91,9 @@ def _frequencies(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 def written(chunks: DataFrame, path: str, id_column: str = "chunk_id", text_column: str = "chunk_text", version: str | None = None) -> KeywordIndex:
     """Builds the index at ``path`` and returns the written one. Texts are taken apart once: postings are written first,
-    and everything else is counted from them. Rows of a term lie together, sorted, so a reader that looks for a few terms
-    skips the row groups without them; a frequent term is dealt to ``_SALT`` files."""
+    and everything else is counted from them."""
     spark = chunks.sparkSession
-    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(_SALT))
-    postings = postings_of(chunks, id_column, text_column).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", spread)
-    postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    by_term(postings_of(chunks, id_column, text_column)).write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     _statistics(postings, chunks.agg(F.count(F.lit(1)).alias("n"))).write.mode("overwrite").parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -15,9 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import SearchFilter
 
-#: Queries that one batch search holds in every task; more are searched in runs of this many.
-MAX_QUERIES = 4096
-_ROWS = 1024  # rows multiplied with them at a time: 32 MB of products at most
+_QUERIES = 1 << 17  # of a cell, on average
+_ROWS = 1 << 17  # rows of a cell, on average
+_STEP = 512  # queries that are multiplied at a time
+_MERGED = 256  # cells whose best rows meet at once
 
 
 def predicate(f: SearchFilter) -> Column | None:
@@ -59,63 +60,82 @@ def search(index: DataFrame, vector: list[float], limit: int = 10, threshold: fl
 
 
 def search_batch(index: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = 0.0, embedding: str = "embedding", id_column: str = "chunk_id") -> DataFrame:
-    """query_id, id, score, list_pos for many queries (query_id, vector).
+    """query_id, id, score, list_pos for many queries (query_id, vector), ties to the smaller id.
 
-    Queries go to the tasks in runs of at most ``MAX_QUERIES``, so what is sent is bounded; each task multiplies
-    its rows with them block by block and gives on ``limit`` rows a query and block, ties to the smaller id. A row takes
-    part in queries of its own vector's length. Queries are a page of questions: all pass through the driver.
+    Rows and queries are dealt to the cells of a grid, each of bounded size: the index is read once, and moves once for
+    every ``_QUERIES`` queries. A cell gives on the ``limit`` best rows of each of its queries; those of many cells are
+    merged in two steps. A row takes part in queries of its own vector's length.
     """
-    kind = dict(index.dtypes)[id_column]
-    asked = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
-    run: list = []
-    parts: list[DataFrame] = []
-    for r in asked:
-        run.append(r)
-        if len(run) == MAX_QUERIES:
-            parts.append(_run(index, run, limit, threshold, embedding, id_column, kind, queries))
-            run = []
-    if run or not parts:
-        parts.append(_run(index, run, limit, threshold, embedding, id_column, kind, queries))
-    found = reduce(DataFrame.unionByName, parts)
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_column)  # products may differ beyond
-    return found.withColumn("list_pos", F.row_number().over(order)).filter(F.col("list_pos") <= limit)
-
-
-def _run(index: DataFrame, asked: list, limit: int, threshold: float, embedding: str, id_column: str, kind: str, queries: DataFrame) -> DataFrame:
-    groups: dict[int, tuple[list, np.ndarray]] = {}  # by length of vector
-    for d in {len(r["vector"] or ()) for r in asked} - {0}:
-        own = [r for r in asked if len(r["vector"] or ()) == d]
-        q = np.array([r["vector"] for r in own], dtype=float)
-        norms = np.linalg.norm(q, axis=1)
-        groups[d] = [r["query_id"] for r in own], q / np.where(norms > 0, norms, np.nan)[:, None]
-    query_type = to_arrow_type(queries.schema["query_id"].dataType)
-
-    def best(names: list, q: np.ndarray, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+    spark = index.sparkSession
+    rows = index.filter(F.size(embedding) > 0).select(F.col(id_column).alias("_id"), F.col(embedding).alias("_v"))
+    asked = queries.filter(F.size("vector") > 0).select("query_id", "vector")
+    n, wide = index.count(), -(-max(1, queries.count()) // _QUERIES)
+    high = max(1, -(-n // _ROWS), min(-(-n // 2048), spark.sparkContext.defaultParallelism))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    rows = rows.select("*", F.pmod(F.xxhash64("_id"), F.lit(high)).cast("int").alias("_r"), every(wide).alias("_q"))
+    asked = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(wide)).cast("int").alias("_q"), every(high).alias("_r"))
+    ids, names = rows.schema["_id"].dataType, asked.schema["query_id"].dataType
+    schema = f"query_id {names.simpleString()}, {id_column} {ids.simpleString()}, score double, _r int"
+    cell = _cell(limit, threshold, id_column, to_arrow_type(ids), to_arrow_type(names))
+    found = asked.groupBy("_r", "_q").cogroup(rows.groupBy("_r", "_q")).applyInArrow(cell, schema)
+    ranked = [F.desc(F.round("score", 9)), F.col(id_column)]  # products may differ beyond
+    if high > _MERGED:
+        near = W.partitionBy("query_id", F.pmod("_r", F.lit(-(-high // _MERGED)))).orderBy(*ranked)
+        found = found.withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= limit)
+    order = W.partitionBy("query_id").orderBy(*ranked)
+    return found.select("query_id", id_column, "score", F.row_number().over(order).alias("list_pos")).filter(F.col("list_pos") <= limit)
+
+
+def _matrices(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the places of vectors, and them as unit vectors; those without a direction are NaN."""
+    whole = vectors.combine_chunks()
+    sizes, out = pc.list_value_length(whole).to_numpy(zero_copy_only=False), {}
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        x = whole.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), d)
         n = np.linalg.norm(x, axis=1)
-        s = q @ (x / np.where(n > 0, n, np.nan)[:, None]).T
-        s = np.where(np.isnan(s) | ((s < threshold) if threshold > 0 else False), -np.inf, s)
-        edge = np.partition(s, -limit, axis=1)[:, -limit] if len(x) > limit else np.full(len(s), -np.inf)
-        row, col = np.nonzero((s >= edge[:, None] - 1e-8) & np.isfinite(s))
-        place = np.empty(len(ids), dtype=np.int64)
-        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-        order = np.lexsort((place[col], -np.round(s[row, col], 9), row))
-        row, col = row[order], col[order]
-        first = np.searchsorted(row, row)
-        kept = np.arange(len(row)) - first < limit
-        row, col = row[kept], col[kept]
-        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in row], type=query_type), ids.take(pa.array(col)), pa.array(s[row, col])], ["query_id", id_column, "score"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, _ROWS):
-                b = whole.slice(at, _ROWS)
-                sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
-                for d, (names, q) in groups.items():
-                    same = pa.array(np.flatnonzero(sizes == d))
-                    if len(same):
-                        x = b.column(1).take(same).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(same), d)
-                        yield best(names, q, b.column(0).take(same), x)
-
-    query_kind = dict(queries.dtypes)["query_id"]
-    rows = index.filter(F.col(embedding).isNotNull()).select(id_column, embedding)
-    return rows.mapInArrow(work, f"query_id {query_kind}, {id_column} {kind}, score double")
+        out[int(d)] = at, x / np.where(n > 0, n, np.nan)[:, None]
+    return out
+
+
+def _best(scores: np.ndarray, places: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the best ``limit`` finite scores of each row, ties to the lesser place."""
+    edge = np.partition(scores, -limit, axis=1)[:, -limit] if scores.shape[1] > limit else np.full(len(scores), -np.inf)
+    row, col = np.nonzero((scores >= edge[:, None] - 1e-8) & np.isfinite(scores))
+    order = np.lexsort((places[col], -np.round(scores[row, col], 9), row))
+    row, col = row[order], col[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < limit
+    return row[kept], col[kept]
+
+
+def _cell(limit: int, threshold: float, id_column: str, id_type: pa.DataType, query_type: pa.DataType) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    names = ["query_id", id_column, "score", "_r"]
+
+    def work(key: tuple, asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows and rows.num_rows:
+            ids = rows.column("_id").combine_chunks()
+            place = np.empty(len(ids), dtype=np.int64)
+            place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            known = _matrices(rows.column("_v"))
+            for d, (at, q) in _matrices(asked.column("vector")).items():
+                own, x = known.get(d, (None, None))
+                for begin in range(0, len(at) if own is not None else 0, _STEP):
+                    # 64 MB of products at a time; of each block of rows the best stay
+                    parts = []
+                    for low in range(0, len(own), 32 * _STEP):
+                        s = q[begin : begin + _STEP] @ x[low : low + 32 * _STEP].T
+                        s = np.where(np.isnan(s) | ((s < threshold) if threshold > 0 else False), -np.inf, s)
+                        row, col = _best(s, place[own[low : low + 32 * _STEP]], limit)
+                        parts.append((row, own[low + col], s[row, col]))
+                    row, col, s = (np.concatenate(p) for p in zip(*parts, strict=True))
+                    order = np.lexsort((place[col], -np.round(s, 9), row))
+                    row, col, s = row[order], col[order], s[order]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row) < limit
+                    out.append((at[begin + row[kept]], col[kept], s[kept]))
+        row, col, s = (np.concatenate([o[i] for o in out]) if out else np.array([], dtype=int) for i in range(3))
+        r = pa.array(np.full(len(row), key[0].as_py()), type=pa.int32())
+        columns = [asked.column("query_id").take(pa.array(row, pa.int64())), rows.column("_id").take(pa.array(col, pa.int64())), pa.chunked_array([pa.array(s, pa.float64())]), pa.chunked_array([r])]
+        return pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, (query_type, id_type, pa.float64(), pa.int32()), strict=True)], names)
+
+    return work

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RetrievalQuery
 from ..operators import bm25, fusion, vector
+from ..operators.segments import SegmentIndex, followed
 from ..session import scratch_path
+from ..sources.index import IndexTable
+from ..sources.providers import EmbeddingProvider
 
 
 @dataclass
@@ -67,12 +69,13 @@ def search(index: DataFrame, text: str, embedding: list[float] | None, options:
 
 
 class Retriever:
-    """Searches an index table and keeps its keyword index: written once below ``folder`` (the shared folder where none
-    is given), read by every search, and written again by the first search after the table's version is another."""
+    """Searches an index table and keeps its keyword index below ``folder`` (the shared folder where none is given): in
+    segments, to which the first search after a change of the table adds what changed."""
 
-    def __init__(self, index, provider, folder: str | None = None):
+    def __init__(self, index: IndexTable, provider: EmbeddingProvider, folder: str | None = None):
         self.index, self.provider, self.keywords = index, provider, None
-        self.folder = folder or scratch_path(index.read().sparkSession, "keywords")
+        spark = index.read().sparkSession
+        self.segments = SegmentIndex(spark, folder or scratch_path(spark, "keywords"))
 
     def invalidate(self) -> None:
         if self.keywords:
@@ -81,10 +84,11 @@ class Retriever:
     def ensure_keywords(self) -> bm25.KeywordIndex:
         version = self.index.version
         if self.keywords is None or self.keywords.is_stale(version):
-            self.keywords = bm25.written(self.index.payloads(), f"{self.folder}/{uuid4().hex}", version=version)
+            self.keywords = followed(self.segments, self.index).keywords(version)
         return self.keywords
 
     def search(self, text: str, options: RetrievalQuery = RetrievalQuery()) -> Retrieval:  # noqa: B008
         v = None if options.mode == "keyword" else self.provider.embed(text)
         k = None if options.mode == "semantic" else self.ensure_keywords()
-        return search(self.index.read(), text, v, options, k)
+        found = search(self.index.matching(options.filters) if options.mode == "semantic" else self.index.read(), text, v, options, k)
+        return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,6 +79,12 @@ class IndexTable(ABC):
     @abstractmethod
     def patch(self, updates: DataFrame, columns: list[str]) -> None: ...
 
+    @abstractmethod
+    def snapshot(self) -> dict: ...
+
+    @abstractmethod
+    def since(self, old: dict | None, new: dict) -> tuple[DataFrame, Column]: ...
+
     @abstractmethod
     def ids(self) -> DataFrame: ...
 
@@ -115,6 +121,19 @@ class ParquetIndex(IndexTable):
     def version(self) -> str | None:
         return self.table.version
 
+    def snapshot(self) -> dict:
+        """What the index is made of just now."""
+        state = self.table.log.read()[1] or {}
+        return {k: state.get(k) for k in ("version", "count", "buckets")}
+
+    def since(self, old: dict | None, new: dict) -> tuple[DataFrame, Column]:
+        """The rows that snapshot ``new`` has in buckets that it doesn't share with ``old``, and the condition on note_id
+        that a row is of one of them."""
+        if not old or not new["buckets"] or old["count"] != new["count"]:
+            return self.table.at(new), F.lit(True)
+        changed = [int(k) for k in {*old["buckets"], *new["buckets"]} if old["buckets"].get(k) != new["buckets"].get(k)]
+        return self.table.at(new, set(changed)), self.table.bucket(new["count"]).isin(*changed)
+
     def _notes_of(self, ids: DataFrame) -> DataFrame:
         """note_ids of the chunks with some ids; two columns are read."""
         return self.read().select("chunk_id", "note_id").join(ids.select("chunk_id"), "chunk_id", "left_semi").select("note_id")

@@ -33,6 +33,19 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def listing(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files of a table: another table under the same path has another listing."""
+    _, p, fc = _context(spark, path)
+    found, left = [], [p]
+    while left:
+        for s in fc.util().listStatus(left.pop()):
+            if s.isDirectory():
+                left.append(s.getPath())
+            else:
+                found.append(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}")
+    return str(sorted(found))
+
+
 def has_path(spark: SparkSession, path: str) -> bool:
     _, p, fc = _context(spark, path)
     return fc.util().exists(p)
@@ -166,6 +179,10 @@ class BucketedTable:
         """The current rows, of some buckets or all."""
         return self._read(self.log.read()[1], None if only is None else set(only))
 
+    def at(self, state: dict, only: set[int] | None = None) -> DataFrame:
+        """The rows of a state that was read before, of some buckets or all."""
+        return self._read(state if state.get("buckets") else None, only)
+
     def bucket(self, count: int | None = None) -> Column:
         """A row's bucket among ``count``: the first of them are split once more than the rest."""
         count = count or (self.log.read()[1] or {"count": self.buckets})["count"]
