@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,14 @@ CHUNK_ONLY = (
 )
 
 
+#: Of each pattern, texts of which it can't match without one, in lower case.
+_NEEDS = {
+    "jailbreak": ("jailbreak",), "DAN_mode": ("dan", "anything"), "memory_dump": ("dump",), "prompt_reveal": ("reveal",), "prompt_expose": ("prompt",), "ignore_instructions": ("ignore",), "override_instructions": ("instructions",),
+    "from_now_on": ("now",), "developer_mode": ("developer",), "evil_persona": ("evil", "unrestricted", "uncensored", "unfiltered"), "no_restrictions": ("pretend",), "new_instructions": ("instructions",), "system_prompt_ref": ("prompt",),
+    "ignore_above": ("ignore",), "hidden_content": ("hidden",), "your_instructions": ("instructions",), "embedded_header": ("instruction",), "llama_inst_tag": ("[inst]",), "system_tag": ("<|system|>", "<|im_start|>"), "xml_inst_tag": ("<instruction",),
+}
+
+
 def _clauses(prompt: str) -> list[str]:
     """Patterns of a prompt's clauses of three words or more, whatever the white space between the words."""
     clauses = [c.split() for c in re.split(r"[,.;:!?]", prompt)]
@@ -55,15 +66,59 @@ def _clauses(prompt: str) -> list[str]:
 #: What an answer must not give away: clauses of this library's system text, and talk of one's own instructions.
 LEAKS = (
     *_clauses(SYSTEM_TEXT),
+    # The two that follow.
     r"\bmy\s+(system\s+)?instructions?\s+(are|say|include|were?|is)\b",
     r"\bI\s+(was|am|have\s+been)\s+instructed\s+to\b",
 )
 
 
+_LEAK_NEEDS = (*((max(re.findall(r"[a-z]+", c), key=len),) for c in map(str.lower, (x.replace(r"\s+", " ") for x in LEAKS[:-2]))), ("instruction",), ("instructed",))
+
+
 def _any_case(pattern: str) -> str:
     return "(?iU)" + pattern
 
 
+def _hits(needs: list[tuple[str, ...]]) -> Callable[[Column], Column]:
+    """Places in ``needs`` of those of whose texts one is in a text, without case. One automaton finds the texts that
+    have any; only these are looked at for each."""
+    # beside what case folding makes equal, i matches two letters more
+    each = ["|".join(re.escape(w).replace("i", "[i\u0131\u0130]") for w in ws) for ws in needs]
+
+    @F.arrow_udf("array<int>")
+    def found(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), len(each)), dtype=bool)
+        some = pc.match_substring_regex(texts, "|".join(each), ignore_case=True).fill_null(False)
+        at = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+        left = texts.take(pa.array(at))
+        for i, p in enumerate(each):
+            out[at, i] = pc.match_substring_regex(left, p, ignore_case=True).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(out.sum(axis=1))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(out)[1], pa.int32()))
+
+    return found
+
+
+def _possible(text: Column, rows: list[tuple[str, str, tuple[str, ...]]]) -> Column:
+    """Array of (name, pattern) of the rows (name, pattern, needed texts) that a text has one of the needed texts for."""
+    every = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(_any_case(p)).alias("pattern")) for n, p, _ in rows])
+    return F.transform(_hits([w for _, _, w in rows])(text), lambda i: F.get(every, i))
+
+
+def _replaced(text: Column, possible: Column, mark: str) -> Column:
+    """One possible pattern after the other is replaced, on what is left."""
+    return F.aggregate(possible, text, lambda t, r: F.regexp_replace(t, r["pattern"], F.lit(mark)))
+
+
+def _matched(text: Column, possible: Column) -> Column:
+    return F.transform(F.filter(possible, lambda r: F.rlike(text, r["pattern"])), lambda r: r["name"])
+
+
+def _tiers(context: str) -> list[tuple[str, str, tuple[str, ...]]]:
+    tiers = [("high", HIGH), ("medium", MEDIUM), ("low", LOW)] + ([("high", CHUNK_ONLY)] if context == "chunk" else [])
+    return [(f"{tier}:{label}", p, _NEEDS[label]) for tier, rows in tiers for label, p in rows]
+
+
 def sanitized(text: Column, max_length: int = 4000, normalise: bool = True) -> Column:
     """(text, was_truncated, had_control_chars): normalised, without control characters and white space at the
     ends, and cut."""
@@ -78,9 +133,7 @@ def sanitized(text: Column, max_length: int = 4000, normalise: bool = True) -> C
 
 def matched_patterns(text: Column, context: str = "query") -> Column:
     """Labels ``tier:name`` of the patterns found, tier by tier."""
-    tiers = [("high", HIGH), ("medium", MEDIUM), ("low", LOW)] + ([("high", CHUNK_ONLY)] if context == "chunk" else [])
-    found = [F.when(text.rlike(_any_case(p)), F.lit(f"{tier}:{label}")) for tier, rows in tiers for label, p in rows]
-    return F.array_compact(F.array(*found))
+    return _matched(text, _possible(text, _tiers(context)))
 
 
 def risk_level(matched: Column) -> Column:
@@ -90,21 +143,26 @@ def risk_level(matched: Column) -> Column:
     return F.when(F.size(matched) == 0, "none").when(has("high:"), "high").when(has("medium:") | (lows >= 2), "medium").otherwise("low")
 
 
+def _not_low(possible: Column) -> Column:
+    return F.filter(possible, lambda r: ~r["name"].startswith("low:"))
+
+
 def redacted(text: Column, context: str = "query") -> Column:
     """Spans of high, then medium, then chunk-only patterns are replaced; low ones stay."""
-    rows = [*HIGH, *MEDIUM, *(CHUNK_ONLY if context == "chunk" else ())]
-    return reduce(lambda t, row: F.regexp_replace(t, _any_case(row[1]), FILTERED), rows, text)
+    return _replaced(text, _not_low(_possible(text, _tiers(context))), FILTERED)
 
 
 def screened(df: DataFrame, column: str, context: str = "query") -> DataFrame:
     """Adds matched_patterns, risk_level, is_suspicious and sanitized_text."""
-    df = df.withColumn("matched_patterns", matched_patterns(F.col(column), context))
+    text = F.col(column)
+    df = df.withColumn("_possible", _possible(text, _tiers(context)))
+    df = df.withColumn("matched_patterns", F.when(F.size("_possible") > 0, _matched(text, F.col("_possible"))).otherwise(F.array().cast("array<string>")))
     suspicious = F.size("matched_patterns") > 0
     return df.withColumns({
         "risk_level": risk_level(F.col("matched_patterns")),
         "is_suspicious": suspicious,
-        "sanitized_text": F.when(suspicious, redacted(F.col(column), context)).otherwise(F.col(column)),
-    })
+        "sanitized_text": F.when(suspicious, _replaced(text, _not_low(F.col("_possible")), FILTERED)).otherwise(text),
+    }).drop("_possible")
 
 
 def validated_queries(df: DataFrame, column: str, max_length: int = 4000, normalise: bool = True) -> DataFrame:
@@ -123,7 +181,7 @@ def sanitized_chunks(df: DataFrame, column: str = "chunk_text") -> DataFrame:
 
 def sanitized_output(text: Column) -> Column:
     """(text, was_sanitized): leaked spans are replaced one pattern after the other, on what is left."""
-    out = reduce(lambda t, p: F.regexp_replace(t, _any_case(p), FILTERED_ANSWER), LEAKS, text)
+    out = _replaced(text, _possible(text, [("", p, w) for p, w in zip(LEAKS, _LEAK_NEEDS, strict=True)]), FILTERED_ANSWER)
     return F.struct(out.alias("text"), (out != text).alias("was_sanitized"))
 
 
@@ -141,7 +199,8 @@ def blocked_events(df: DataFrame, text: str) -> DataFrame:
 
 def output_events(df: DataFrame, text: str) -> DataFrame:
     """Events of answers from which leaked spans were taken."""
-    found = F.array_compact(F.array(*[F.when(F.col(text).rlike(_any_case(p)), F.lit(i)) for i, p in enumerate(LEAKS)]))
+    possible = _possible(F.col(text), [(str(i), p, w) for i, (p, w) in enumerate(zip(LEAKS, _LEAK_NEEDS, strict=True))])
+    found = F.filter(possible, lambda r: F.rlike(F.col(text), r["pattern"]))
     return df.withColumn("_p", found).filter(F.size("_p") > 0).select(F.lit("output_sanitized").alias("event"), F.size("_p").alias("n_patterns"), F.substring(text, 1, 50).alias("preview"))
 
 
