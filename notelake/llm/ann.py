@@ -3,8 +3,7 @@
 Vectors are scaled to a common length, with one more coordinate where lengths differ, so that the largest inner
 product is the nearest unit vector. In each table, fast Hadamard pseudo-rotations assign a vector to the nearest
 signed axis, for one hash or several; the tuple is its bucket. A query visits, in each table, the buckets whose
-axes are nearest to it. Inside buckets, vectors are compared by codes of a byte a component; the best by code are
-ranked by their inner products on the original vectors.
+axes are nearest to it. Inside buckets, candidates are ranked by their inner products on the original vectors.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from .common import materialise, partitions
 log = logging.getLogger(__name__)
 _BLOCK = 2048  # rows of a bucket held at once
 _ASKED = 1024  # queries of a bucket held at once; more are dealt to further tasks
-_SPARE = 3  # times the wanted neighbours are kept by code
 _MOST = 512  # probes per table; queries are held against all rows where these would not do
 
 
@@ -146,20 +144,6 @@ def _best(row: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.n
     return row[place < k], ids[place < k], s[place < k]
 
 
-def packed(x: np.ndarray) -> list[bytes]:
-    """Codes of vectors: the greatest size of a component as float, and each component as a 127th of it."""
-    top = np.abs(x).max(axis=1)
-    out = np.empty((len(x), 4 + x.shape[1]), dtype=np.uint8)
-    out[:, :4] = top.astype("<f4")[:, None].view(np.uint8)
-    out[:, 4:] = np.rint(x * (127 / top)[:, None]).astype(np.int8).view(np.uint8)
-    return [r.tobytes() for r in out]
-
-
-def unpacked(codes: pa.Array) -> np.ndarray:
-    raw = np.frombuffer(b"".join(codes.to_pylist()), dtype=np.uint8).reshape(len(codes), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * (np.ascontiguousarray(raw[:, :4]).view("<f4") / 127)
-
-
 def valid_vectors(table: DataFrame, vector: Column) -> DataFrame:
     """(vec_id long, v: array of float or double) of the rows whose vector is not null, zero, or with a null, NaN or
     infinite component; of the rows of the commonest length of vector (ties to the shorter), as there is no inner product
@@ -212,8 +196,7 @@ def search(table: DataFrame, vector: Column, is_query: Column, k: int = 20, reca
     no part, nor do vectors of another length than most (a warning counts them), nor rows without vec_id; of rows that
     repeat a vec_id the least vector counts. A query that meets fewer than k candidates in its buckets, and every query
     where ``_MOST`` probes would not reach ``recall``, is held against all rows, in blocks, so each query gets min(k,
-    other rows) neighbours. An empty table gives no rows. Buckets get ids and codes only; a vector is fetched for the
-    queries that have it among the best by code.
+    other rows) neighbours. An empty table gives no rows. Buckets get whole vectors, so what a query meets is ranked exactly.
     """
     vectors = materialise(valid_vectors(table, vector).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-vectors")
     hasher, probes, rows = fitted(vectors, k, recall, tables, seed=seed)
@@ -235,12 +218,10 @@ def search(table: DataFrame, vector: Column, is_query: Column, k: int = 20, reca
     least = min(k, max(0, rows - 1))
     found, short = None, queries
     if probes:
-        kind = "t int, b long, id long, v binary"
+        kind = f"t int, b long, id long, v {dict(vectors.dtypes)['v']}"
         entries = index.mapInArrow(_bucketed(hasher), kind).withColumn("q", F.lit(0))
         asks = queries.mapInArrow(_probing(hasher, probes), kind).withColumn("q", F.lit(1))
-        near = _ranked(_pieces(entries, asks, rows * tables), _SPARE * k, codes=True).select("query_id", "vec_id")
-        near = near.join(index, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        found = materialise(_best_of(near.select("query_id", "vec_id", "q", "v").mapInArrow(_paired, "query_id long, vec_id long, score double"), k), "ann-found")
+        found = materialise(_ranked(_pieces(entries, asks, rows * tables), k), "ann-found")
         got = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         short = queries.join(got.filter(F.col("n") >= least).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
     short = materialise(short, "ann-short")
@@ -248,19 +229,13 @@ def search(table: DataFrame, vector: Column, is_query: Column, k: int = 20, reca
         blocks, whole = max(1, rows // 65_536), F.col("v").cast("array<double>").alias("v")
         every = index.select(F.lit(0).alias("t"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"), F.col("vec_id").alias("id"), whole, F.lit(0).alias("q"))
         to_all = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.col("vec_id").alias("id"), whole, F.lit(1).alias("q"))
-        rest = _ranked(_pieces(every, to_all, rows), k, codes=False)
+        rest = _ranked(_pieces(every, to_all, rows), k)
         found = rest if found is None else found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
     elif found is None:
         found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     return found.select("query_id", "rank", "vec_id", "score")
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        s = scores(_matrix(b.column(2)).astype(float), _matrix(b.column(3)).astype(float)) if b.num_rows else np.empty(0)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], ["query_id", "vec_id", "score"])
-
-
 def _best_of(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -275,10 +250,9 @@ def _bucketed(hasher: Hasher):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
-                ids, x = b.column(0), _matrix(b.column(1)).astype(float)
-                buckets, codes = hasher.buckets(x), pa.array(packed(x), pa.binary())
+                ids, buckets = b.column(0), hasher.buckets(_matrix(b.column(1)).astype(float))
                 for t in range(hasher.tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, dtype=np.int32)), pa.array(buckets[:, t]), ids, codes], ["t", "b", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, dtype=np.int32)), pa.array(buckets[:, t]), ids, b.column(1)], ["t", "b", "id", "v"])
 
     return run
 
@@ -288,12 +262,10 @@ def _probing(hasher: Hasher, count: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                x = _matrix(b.column(1)).astype(float)
-                probes, codes = hasher.probes(x, count), pa.array(packed(x), pa.binary())
-                n = probes.shape[2]
-                rows = pa.array(np.repeat(np.arange(len(x)), n))
+                probes = hasher.probes(_matrix(b.column(1)).astype(float), count)
+                rows = pa.array(np.repeat(np.arange(len(probes)), probes.shape[2]))
                 for t in range(hasher.tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, dtype=np.int32)), pa.array(probes[:, t].ravel()), b.column(0).take(rows), codes.take(rows)], ["t", "b", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, dtype=np.int32)), pa.array(probes[:, t].ravel()), b.column(0).take(rows), b.column(1).take(rows)], ["t", "b", "id", "v"])
 
     return run
 
@@ -319,18 +291,8 @@ def _pieces(entries: DataFrame, asks: DataFrame, total: int) -> DataFrame:
     return both.withColumn("i", i).withColumn("j", j).select("t", "b", "id", "v", "q", "i", "j")
 
 
-def _near_by_code(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``nearest``, by the codes alone."""
-    s = q @ x.T
-    s[q_ids[:, None] == ids[None, :]] = -np.inf
-    col = np.argpartition(-s, k - 1, axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), s.shape)
-    row, col = np.repeat(np.arange(len(q)), col.shape[1]), col.ravel()
-    good = np.isfinite(s[row, col])
-    return _best(row[good], ids[col[good]], s[row[good], col[good]].astype(float), k)
-
-
-def _ranked(pieces: DataFrame, k: int, codes: bool) -> DataFrame:
-    """Ranks candidates inside pieces, then over the pieces of each query; by ``codes`` or by whole vectors."""
+def _ranked(pieces: DataFrame, k: int) -> DataFrame:
+    """Ranks candidates inside pieces, by their whole vectors, then over the pieces of each query."""
     keys = ["t", "b", "i", "j"]
     dealt = pieces.repartition(partitions(pieces.sparkSession), *keys).sortWithinPartitions(*keys, F.desc("q"))
 
@@ -351,7 +313,7 @@ def _ranked(pieces: DataFrame, k: int, codes: bool) -> DataFrame:
                 continue
             m = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1, 5, 6)], axis=1)
             side, row_ids = batch.column(4).to_numpy(), batch.column(2).to_numpy()
-            x = unpacked(batch.column(3)) if codes else _matrix(batch.column(3))
+            x = _matrix(batch.column(3)).astype(float)
             cuts = np.flatnonzero((m[1:] != m[:-1]).any(axis=1) | (side[1:] != side[:-1])) + 1
             for a, b in zip([0, *cuts], [*cuts, len(m)], strict=True):
                 if mark is None or (m[a] != mark).any():
@@ -366,7 +328,7 @@ def _ranked(pieces: DataFrame, k: int, codes: bool) -> DataFrame:
                     continue
                 for at in range(a, b, _BLOCK):
                     end = min(b, at + _BLOCK)
-                    row, near, s = (_near_by_code if codes else nearest)(q_ids, q, row_ids[at:end], x[at:end], k)
+                    row, near, s = nearest(q_ids, q, row_ids[at:end], x[at:end], k)
                     best.append((q_ids[row], near, s))
                     held += len(row)
                 if held > 400_000:
