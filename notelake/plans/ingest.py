@@ -20,6 +20,7 @@ from ..session import ship
 from ..sources.index import PAYLOAD_COLUMNS, IndexTable, stale_ids
 from ..sources.providers import EmbeddingProvider, embedded_or_failed
 from ..sources.storage import VersionedTable, read_text, write_text
+from ..sources.vectors import VectorStore
 
 log = logging.getLogger(__name__)
 STATE_SCHEMA = "relative_path string, content_hash string"
@@ -33,6 +34,7 @@ class IndexingStats:
     total_notes: int = 0
     total_chunks: int = 0
     indexed_chunks: int = 0
+    embedded_texts: int = 0
     deleted_stale_chunks: int = 0
     duration_ms: float = 0.0
     errors: list[str] = field(default_factory=list)
@@ -49,6 +51,7 @@ class SyncStats:
     deleted_notes: int = 0
     unchanged_notes: int = 0
     new_chunks: int = 0
+    embedded_texts: int = 0
     duration_ms: float = 0.0
     errors: list[str] = field(default_factory=list)
 
@@ -98,14 +101,28 @@ def dead_notes(d: DataFrame, current: DataFrame) -> DataFrame:
     return gone.join(current.select(F.col("content_hash").alias("note_id")), "note_id", "left_anti")
 
 
-def index_rows(notes: DataFrame, provider: EmbeddingProvider, settings: Settings, indexed_at: str) -> DataFrame:
-    """Rows of the index for notes, and ``error`` where a chunk's vector could not be had. Of notes with the same bytes
-    the last by path gives the chunks."""
-    own = F.row_number().over(W.partitionBy("content_hash").orderBy(F.desc("relative_path")))
-    once = notes.withColumn("_n", own).filter("_n = 1").drop("_n")
-    p = payloads(chunked(once, settings), notes, indexed_at)
-    p = p.withColumn("_e", embedded_or_failed(F.col("chunk_text"), provider, settings.embed_batch_size))
-    return p.select(*PAYLOAD_COLUMNS, F.col("_e.vector").alias("embedding"), F.col("_e.error").alias("error"))
+_SMALL = 100_000  # notes that go to all tasks by their path; they are counted first
+
+
+def single_notes(notes: DataFrame) -> DataFrame:
+    """Of notes with the same bytes the last by path. Only paths and hashes move, and those left out go to all tasks
+    where they are few; notes stay where they are."""
+    last = W.partitionBy("content_hash").orderBy(F.desc("relative_path"))
+    again = notes.groupBy("content_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("content_hash")
+    left_out = notes.select("content_hash", "relative_path").join(again, "content_hash", "left_semi").withColumn("_n", F.row_number().over(last)).filter("_n > 1").select("relative_path")
+    few = left_out.limit(_SMALL + 1).count() <= _SMALL
+    return notes.join(F.broadcast(left_out) if few else left_out, "relative_path", "left_anti")
+
+
+def index_rows(notes: DataFrame, provider: EmbeddingProvider, settings: Settings, indexed_at: str, vectors: VectorStore | None = None) -> tuple[DataFrame, int | None]:
+    """Rows of the index for notes, with ``error`` where a chunk's vector could not be had, and, with a store of
+    vectors, how many texts were embedded: those that it lacks."""
+    p = payloads(chunked(single_notes(notes), settings), notes, indexed_at)
+    if vectors is None:
+        p, made = p.withColumn("_e", embedded_or_failed(F.col("chunk_text"), provider, settings.embed_batch_size)).select(*PAYLOAD_COLUMNS, "_e.*"), None
+    else:
+        p, made = vectors.embedded(p, "chunk_text", provider, settings.embed_batch_size)
+    return p.select(*PAYLOAD_COLUMNS, F.col("vector").alias("embedding"), "error"), made
 
 
 def _good(rows: DataFrame) -> DataFrame:
@@ -118,7 +135,7 @@ def _errors(rows: DataFrame, most: int = 20) -> list[str]:
     return [f"{r['error']} ({r['n']} chunks)" for r in found.collect()]
 
 
-def ingest_full(notes: DataFrame, index: IndexTable, provider: EmbeddingProvider, settings: Settings | None = None, on_change: Callable[[], None] | None = None) -> IndexingStats:
+def ingest_full(notes: DataFrame, index: IndexTable, provider: EmbeddingProvider, settings: Settings | None = None, on_change: Callable[[], None] | None = None, vectors: VectorStore | None = None) -> IndexingStats:
     """Indexes all notes and deletes chunks that no note has any more. Without notes nothing is deleted. Batches that
     can't be embedded are told as errors; the rest is indexed."""
     s, stats, begun = settings or Settings(), IndexingStats(), time.monotonic()
@@ -127,13 +144,15 @@ def ingest_full(notes: DataFrame, index: IndexTable, provider: EmbeddingProvider
     stats.total_notes = notes.count()
     if stats.total_notes:
         try:
-            rows = index_rows(notes, provider, s, datetime.now(timezone.utc).isoformat()).persist()
+            rows, made = index_rows(notes, provider, s, datetime.now(timezone.utc).isoformat(), vectors)
+            rows = rows.persist()
             stats.total_chunks = rows.count()
             stats.errors += _errors(rows)
             old = stale_ids(index.read(), rows).persist()
             stats.deleted_stale_chunks = old.count()
             index.upsert(_good(rows))
             stats.indexed_chunks = _good(rows).count()
+            stats.embedded_texts = stats.indexed_chunks if made is None else made
             index.delete_ids(old)
             rows.unpersist()
             old.unpersist()
@@ -146,10 +165,11 @@ def ingest_full(notes: DataFrame, index: IndexTable, provider: EmbeddingProvider
     return stats
 
 
-def sync_incremental(notes: DataFrame, state: VersionedTable, index: IndexTable, provider: EmbeddingProvider, settings: Settings | None = None, on_change: Callable[[], None] | None = None) -> SyncStats:
+def sync_incremental(notes: DataFrame, state: VersionedTable, index: IndexTable, provider: EmbeddingProvider, settings: Settings | None = None, on_change: Callable[[], None] | None = None, vectors: VectorStore | None = None) -> SyncStats:
     """Brings the index up to date with changed notes only. Without changes nothing is written; deletions come
     before new chunks; notes with a chunk that could not be embedded stay out of the state, so the next run takes
-    them up again, and a run that fails as a whole is repeated."""
+    them up again, and a run that fails as a whole is repeated. With a store of vectors only texts that it lacks are
+    embedded: a copied or restored note costs none, an edited section its own."""
     s, stats, begun = settings or Settings(), SyncStats(), time.monotonic()
     ship(notes.sparkSession)
     index.ensure()
@@ -160,8 +180,10 @@ def sync_incremental(notes: DataFrame, state: VersionedTable, index: IndexTable,
         try:
             index.delete_notes(dead_notes(d, notes))
             wanted = notes.join(d.filter("status in ('new', 'modified')").select("relative_path"), "relative_path", "left_semi")
-            rows = index_rows(wanted, provider, s, datetime.now(timezone.utc).isoformat()).persist()
+            rows, made = index_rows(wanted, provider, s, datetime.now(timezone.utc).isoformat(), vectors)
+            rows = rows.persist()
             stats.new_chunks = _good(rows).count()
+            stats.embedded_texts = stats.new_chunks if made is None else made
             stats.errors += _errors(rows)
             index.upsert(_good(rows))
             failed = rows.filter("error is not null").select(F.col("note_id").alias("content_hash")).distinct()
