@@ -224,9 +224,35 @@ def sections(spark, sf_dir):
     return v.select("relative_path", F.array_join("s.heading_path", " > ").alias("path"), F.sha2(F.col("s.text").cast("binary"), 256).alias("text_hash"))
 
 
-@query()
+def _pack_sql(source: str, size: int, depth: int = 0) -> str:
+    """Chunks of a text with more than ``size`` words, folded as a list of states (o: chunks, t: the open one, n: words)."""
+    words = lambda x: rf"list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> '')"
+    let = lambda v, x, y: f"list_transform([{v}], lambda {x}: {y})[1]"
+    if depth == len(chunk.SEPARATORS):
+        runs = f"list_transform(range(0, len(ws), {size}), lambda i: array_to_string(ws[i + 1:i + {size}], ' '))"
+        return let(words(source), "ws", let(runs, "rs", "{'o': rs[:-2], 't': rs[-1], 'n': 0}"))
+    a, p, q, r = (f"{x}{depth}" for x in "apqr")
+    sep = "||".join(f"chr({ord(c)})" for c in chunk.SEPARATORS[depth])
+    states = f"list_filter(list_transform(string_split({source}, {sep}), lambda {q}: {{'o': []::VARCHAR[], 't': {q}, 'n': len({words(q)})}}), lambda {q}: {q}.n > 0)"
+    pieces = let(states, q, f"CASE WHEN len({q}) > 1 THEN {q} ELSE [{{'o': []::VARCHAR[], 't': {source}, 'n': {size + 1}}}] END")
+    done = f"CASE WHEN {a}.t IS NULL THEN {a}.o ELSE list_append({a}.o, {a}.t) END"
+    below = let(_pack_sql(f"{p}.t", size, depth + 1), r, f"{{'o': list_concat({done}, {r}.o), 't': {r}.t, 'n': len({words(f'{r}.t')})}}")
+    add = f"CASE WHEN {a}.n + {p}.n <= {size} THEN {{'o': {a}.o, 't': CASE WHEN {a}.t IS NULL THEN {p}.t ELSE {a}.t || {sep} || {p}.t END, 'n': {a}.n + {p}.n}} WHEN {p}.n <= {size} THEN {{'o': {done}, 't': {p}.t, 'n': {p}.n}} ELSE {below} END"
+    return f"list_reduce({pieces}, lambda {a}, {p}: {add}, {{'o': []::VARCHAR[], 't': CAST(NULL AS VARCHAR), 'n': 0}})"
+
+
+_ALL_WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
+
+
+@query(rf"""WITH {VAULT_SQL}, {HEADS_SQL}, {_TITLE_SQL}, {_SECTIONS_SQL}, kept AS (SELECT relative_path, k, path, text FROM sections WHERE text <> ''),
+packed AS (SELECT relative_path, k, path, CASE WHEN len({_ALL_WORDS.format("text")}) <= 120 THEN [text] ELSE list_append(s.o, s.t) END AS c FROM (SELECT *, CASE WHEN len({_ALL_WORDS.format("text")}) > 120 THEN {_pack_sql("text", 120)} END AS s FROM kept)),
+each AS (SELECT relative_path, k, path, unnest(c) AS c, generate_subscripts(c, 1) AS j, unnest(list_prepend(CAST(NULL AS VARCHAR), c[:-2])) AS past FROM packed),
+lapped AS (SELECT *, {_ALL_WORDS.format("past")} AS w FROM each),
+full_ AS (SELECT relative_path, row_number() OVER (PARTITION BY relative_path ORDER BY k, j) - 1 AS i, count(*) OVER (PARTITION BY relative_path) AS n,
+ '[Note: ' || regexp_replace(path, '^(.*?) > ', '\1 | Section: ') || ']' || chr(10) || chr(10) || CASE WHEN len(w) > 0 THEN array_to_string(w[greatest(len(w) - 15, 1):], ' ') || chr(10) || chr(10) ELSE '' END || c AS t FROM lapped)
+SELECT sha256(content_hash || ':' || CAST(i AS VARCHAR)) AS chunk_id, content_hash AS note_id, title AS note_title, relative_path AS note_path, CAST(i AS INT) AS chunk_index, CAST(n AS INT) AS total_chunks, CAST(len({_ALL_WORDS.format("t")}) AS INT) AS word_count, t AS chunk_text FROM full_ JOIN titled USING (relative_path)""")
 def chunk_recursive(spark, sf_dir):
-    """Chunks of the virtual notes, cut small; held against a plain Python reading in the tests."""
+    """Chunks of the virtual notes, cut small."""
     return chunk.chunked(vault(spark, sf_dir), Settings(chunk_size=120, chunk_overlap=16)).drop("tags", "heading_path")
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: White space of Python's str.split and strip: Unicode white space and the four ASCII separators.
-SPACE = r"(?U)[\s\x1c-\x1f]"
+#: Spelled out, as Java matches its Unicode-aware ``\\s`` several times slower.
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{_SPACES}]"
 
 #: Words that keyword search leaves out.
 STOP_WORDS = (
@@ -31,7 +33,7 @@ STOP_WORDS = (
 
 def stripped(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$".replace(r"|(?U)", "|"), "")
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def right_stripped(text: Column) -> Column:
@@ -44,7 +46,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.regexp_count(text, F.lit(f"[^{_SPACES}]+"))
 
 
 def keyword_tokens(text: Column) -> Column:

@@ -11,6 +11,7 @@ from notelake.config import Settings
 from notelake.functions import parse, text
 from notelake.operators import chunk
 from notelake.sources import notes
+from plain_chunks import packed_chunks
 from pyspark.sql import functions as F
 
 
@@ -100,7 +101,7 @@ def test_unreadable_files_are_skipped(spark, tmp_path, monkeypatch):
 
 
 def cut(source, size):
-    return list(chunk.packed_chunks(source, size))
+    return [c for c in packed_chunks(source, size) if c.strip()]
 
 
 @settings(max_examples=150, deadline=None)
@@ -122,6 +123,16 @@ def test_split_cases():
     assert cut("a\n\nb c d e f. g\n\nh", 4) == ["a", "b c d e", "f. g\n\nh"]
 
 
+def test_packed_is_what_loops_give(spark):
+    r = random.Random(8)
+    parts = ["w", "two words", "a. ", "b! ", "\n", "\n\n", " ", "long one here? ", "x y", "\u00a0", ". ", "\t", "é. "]
+    texts = [None, "", " \n ", "w " * 50, "a.b " * 9, *("".join(r.choice(parts) for _ in range(r.randrange(1, 80))) for _ in range(400))]
+    for size in (1, 3, 8):
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+        for row in df.select("t", chunk.packed(F.col("t"), size).alias("c")).collect():
+            assert (row["c"] or []) == cut(row["t"] or "", size), (row["t"], size)
+
+
 def note_rows(spark, raws, **fields):
     rows = [(f"p{i}.md", fields.get("title", "T"), r, ["t"], hashlib.sha256(r.encode()).hexdigest()) for i, r in enumerate(raws)]
     return spark.createDataFrame(rows, "relative_path string, title string, raw_content string, tags array<string>, content_hash string")

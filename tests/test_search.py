@@ -279,21 +279,6 @@ def test_bad_batches_are_apart(spark, tmp_path):
     assert last["status"] == "completed" and last["new_notes"] == 1 and ingest.last_run(spark, f"{tmp_path}/none") is None
 
 
-def test_bad_notes_are_left_out(monkeypatch):
-    import pyarrow as pa
-    from notelake.operators import chunk
-
-    def cut(source, size):
-        if "poison" in source:
-            raise RuntimeError("no")
-        return iter([source])
-
-    monkeypatch.setattr(chunk, "packed_chunks", cut)
-    rows = pa.RecordBatch.from_pylist([{"id": i, "s": [{"heading_path": ["T"], "text": t}]} for i, t in enumerate(["fine", "poison", "good"])])
-    out = list(chunk._split_sections(5)([rows]))[0]
-    assert out["_split"].to_pylist() == [[{"path": ["T"], "chunks": ["fine"]}], None, [{"path": ["T"], "chunks": ["good"]}]]
-
-
 def test_last_row_of_a_key_wins(spark):
     old = spark.createDataFrame([("c1", "x"), ("c2", "y")], "chunk_id string, note_id string")
     new = spark.createDataFrame([("c1", "old", 1), ("c3", "z", 2), ("c1", "new", 3)], "chunk_id string, note_id string, seq int")
