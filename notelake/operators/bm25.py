@@ -46,8 +46,10 @@ def counted(chunks: DataFrame, id_column: str = "chunk_id", text_column: str = "
 
 
 def exploded(counts: DataFrame, *more: str) -> DataFrame:
-    """chunk_id, term, tf, dl (and ``more`` columns): a row per chunk and term of ``counted``."""
-    return counts.select(*more, "chunk_id", "dl", F.explode("terms").alias("_t")).select(*more, "chunk_id", "_t.term", "dl", "_t.tf")
+    """chunk_id, term, tf, dl (and ``more`` columns): a row per chunk and term of ``counted``. The outer form: of the
+    other Spark would infer a filter, and count all terms once more for it."""
+    rows = counts.select(*more, "chunk_id", "dl", F.explode_outer("terms").alias("_t")).filter("_t is not null")
+    return rows.select(*more, "chunk_id", "_t.term", "dl", "_t.tf")
 
 
 def by_term(postings: DataFrame) -> DataFrame:
