@@ -24,14 +24,15 @@ class Retrieval:
     metrics: DataFrame
 
 
-def search_batch(index: DataFrame, queries: DataFrame, options: RetrievalQuery = RetrievalQuery(), keywords: bm25.KeywordIndex | None = None) -> Retrieval:  # noqa: B008
-    """Answers queries (query_id, text, vector) from an index of chunks.
+def search_batch(index: DataFrame, queries: DataFrame, options: RetrievalQuery = RetrievalQuery(), keywords: bm25.KeywordIndex | None = None, matching: DataFrame | None = None) -> Retrieval:  # noqa: B008
+    """Answers queries (query_id, text, vector) from an index of chunks; ``matching``: its rows that the filters let
+    through, where they have been looked up.
 
     Both sources give top_k * over_fetch_factor candidates. Filters and the threshold hold for the vectors only,
     unless ``filter_keyword``. Only ids and scores move until the ranks are known; payloads join after trimming.
     """
     o, n = options, options.top_k * options.over_fetch_factor
-    kept = vector.filtered(index, o.filters)
+    kept = vector.filtered(index, o.filters) if matching is None else matching
     semantic = keyword = None
     if o.mode != "keyword":
         semantic = vector.search_batch(kept, queries, n, o.score_threshold)
@@ -58,14 +59,14 @@ def search_batch(index: DataFrame, queries: DataFrame, options: RetrievalQuery =
     return Retrieval(chunks, metrics.withColumns({"filters_applied": F.lit(o.filters.active), "retrieval_mode": F.lit(o.mode)}))
 
 
-def search(index: DataFrame, text: str, embedding: list[float] | None, options: RetrievalQuery = RetrievalQuery(), keywords: bm25.KeywordIndex | None = None) -> Retrieval:  # noqa: B008
+def search(index: DataFrame, text: str, embedding: list[float] | None, options: RetrievalQuery = RetrievalQuery(), keywords: bm25.KeywordIndex | None = None, matching: DataFrame | None = None) -> Retrieval:  # noqa: B008
     """Answers one query; of a keyword index only the postings of its terms are read."""
     spark = index.sparkSession
     if keywords is not None:
         asked = spark.createDataFrame([(0, text)], "query_id int, text string")
         keywords = bm25.for_terms(keywords, [r["term"] for r in bm25.query_terms(asked).select("term").collect()])
     one = spark.createDataFrame([(0, text, embedding or [])], "query_id int, text string, vector array<double>")
-    return search_batch(index, one, options, keywords)
+    return search_batch(index, one, options, keywords, matching)
 
 
 class Retriever:
@@ -90,5 +91,5 @@ class Retriever:
     def search(self, text: str, options: RetrievalQuery = RetrievalQuery()) -> Retrieval:  # noqa: B008
         v = None if options.mode == "keyword" else self.provider.embed(text)
         k = None if options.mode == "semantic" else self.ensure_keywords()
-        found = search(self.index.matching(options.filters) if options.mode == "semantic" else self.index.read(), text, v, options, k)
-        return found
+        matching = self.index.matching(options.filters) if options.filters.active else None
+        return search(self.index.read(), text, v, options, k, matching)

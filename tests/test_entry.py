@@ -23,6 +23,11 @@ def test_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "repo", env=env, check=True, timeout=120)
 
 
+def test_without_what_the_subpackage_needs():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and 'pipeline' not in q and 'op1_cross_polytope' not in q; e.oracle_sql()"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
 def test_nothing_else_imports_the_subpackage():
     for folder, _, files in os.walk(os.path.join(ROOT, "notelake")):
         if os.path.basename(folder) != "llm":

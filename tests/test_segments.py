@@ -4,6 +4,7 @@ import random
 import shutil
 
 import pytest
+from notelake.config import SearchFilter
 from notelake.operators import bm25, segments
 from notelake.plans import retrieve
 from notelake.sources import index as indexes
@@ -75,7 +76,7 @@ def test_follows_an_index(spark, tmp_path):
     index = indexes.ParquetIndex(spark, f"{tmp_path}/i", buckets=64)
     index.ensure()
     index.upsert(rows(range(60), "common"))
-    retriever = retrieve.Retriever(index, providers.HashingEmbedder(4), f"{tmp_path}/k")
+    retriever = retrieve.Retriever(index, providers.HashingEmbedder(1), f"{tmp_path}/k")
     assert bm25.search_text(retriever.ensure_keywords(), "w17", 9).count() == 2
     before = retriever.segments.state()["segments"]
     index.upsert(rows([3, 4], "walrus"))
@@ -88,6 +89,8 @@ def test_follows_an_index(spark, tmp_path):
     q = spark.createDataFrame([(0, "walrus common"), (1, "w5"), (2, "w3 w17")], "query_id int, text string")
     assert answers(own, q) == answers(bm25.built(index.payloads()), q)
     assert retriever.ensure_keywords() is own
+    only = retrieve.RetrievalQuery(top_k=3, filters=SearchFilter(note_id="n17"), mode="semantic")
+    assert {r["note_id"] for r in retriever.search("walrus", only).chunks.collect()} == {"n17"}
     index.patch(spark.createDataFrame([("c17-0", "other title")], "chunk_id string, note_title string"), ["note_title"])
     retriever.ensure_keywords()
     assert sum(s["n"] for s in retriever.segments.state()["segments"]) == 124  # no text changed
