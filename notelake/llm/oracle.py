@@ -54,13 +54,14 @@ def _posterior(prefix: str = "") -> str:
 def quality_sql() -> str:
     m = range(len(quality.RULES))
 
-    def clip(x: str, b: tuple[float, float]) -> str:
-        return f"greatest({b[0]!r}, least({b[1]!r}, {x}))"
+    def mean(right: str, voted: str, start: float) -> str:
+        more = f"(2 + {quality.WEIGHT!r}::DOUBLE * coalesce(sum(n), 0))"
+        return f"(coalesce(sum({right}), 0) + {more} * {start!r}::DOUBLE) / (coalesce(sum({voted}), 0) + {more})"
 
     start = ", ".join([f"CAST({quality.PRIOR!r} AS DOUBLE) AS prior", *[f"CAST({quality.ON_GOOD!r} AS DOUBLE) AS g{i}" for i in m], *[f"CAST({quality.ON_BAD!r} AS DOUBLE) AS b{i}" for i in m]])
-    good = [clip(f"(coalesce(sum(CASE WHEN v{i} > 0 THEN n * p ELSE 0 END), 0) + {2 * quality.ON_GOOD!r}) / (coalesce(sum(CASE WHEN v{i} <> 0 THEN n * p ELSE 0 END), 0) + 2)", quality.ON_GOOD_RANGE) + f" AS g{i}" for i in m]
-    bad = [clip(f"(coalesce(sum(CASE WHEN v{i} < 0 THEN n * (1 - p) ELSE 0 END), 0) + {2 * quality.ON_BAD!r}) / (coalesce(sum(CASE WHEN v{i} <> 0 THEN n * (1 - p) ELSE 0 END), 0) + 2)", quality.ON_BAD_RANGE) + f" AS b{i}" for i in m]
-    prior = clip(f"(coalesce(sum(n * p), 0) + {2 * quality.PRIOR!r}) / (coalesce(sum(n), 0) + 2)", quality.PRIOR_RANGE) + " AS prior"
+    good = [mean(f"CASE WHEN v{i} > 0 THEN n * p ELSE 0 END", f"CASE WHEN v{i} <> 0 THEN n * p ELSE 0 END", quality.ON_GOOD) + f" AS g{i}" for i in m]
+    bad = [mean(f"CASE WHEN v{i} < 0 THEN n * (1 - p) ELSE 0 END", f"CASE WHEN v{i} <> 0 THEN n * (1 - p) ELSE 0 END", quality.ON_BAD) + f" AS b{i}" for i in m]
+    prior = mean("n * p", "n", quality.PRIOR) + " AS prior"
     rounds = []
     for k in range(quality.ROUNDS):
         rounds.append(f"e{k} AS MATERIALIZED (SELECT pat.*, {_posterior()} AS p FROM pat, m{k})")

@@ -19,11 +19,11 @@ _HIGH_IS_BAD = {"symbols": (0.05, 0.25), "repeats": (0.05, 0.2), "dup_lines": (0
 _HIGH_IS_GOOD = {"letters": (0.9, 0.83), "length": (50.0, 20.0)}
 RULES = (*_HIGH_IS_BAD, *_HIGH_IS_GOOD)
 ROUNDS = 25
-#: Where expectation-maximisation begins, and what estimates stay inside: share of good documents, accuracy of a
-#: vote on good documents, accuracy on bad ones (a rule knows one kind of fault, so it misses most others).
-PRIOR, PRIOR_RANGE = 0.85, (0.5, 0.99)
-ON_GOOD, ON_GOOD_RANGE = 0.98, (0.95, 0.999)
-ON_BAD, ON_BAD_RANGE = 0.4, (0.1, 0.99)
+#: Where expectation-maximisation begins: share of good documents, accuracy of a vote on good documents, accuracy on
+#: bad ones (a rule knows one kind of fault, so it misses most others). These are means of Beta priors, too.
+PRIOR, ON_GOOD, ON_BAD = 0.85, 0.98, 0.4
+#: Weight of the Beta priors: this share of the documents, and 2 more, so that it is alike at every size.
+WEIGHT = 0.01
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
@@ -99,16 +99,13 @@ def _sum(items: Column, f) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda s, x: s + f(x))
 
 
-def _clip(x: Column, bounds: tuple[float, float]) -> Column:
-    return F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), x))
-
-
 def estimated(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row (prior, on_good, on_bad) by expectation-maximisation over patterns (v: votes, n: documents).
 
     There are at most 3 ** rules patterns, whatever the input, so they fit one row; the rounds are one
-    expression over it. Without documents the start values come back. Every estimate counts two more votes that
-    are as accurate as at the start.
+    expression over it. Without documents the start values come back. Estimates are means under Beta priors: each
+    counts ``WEIGHT`` of the documents, and 2, more votes that are as accurate as at the start, so none reaches 0 or 1,
+    and a rule that never votes on one kind of document stays near where it began.
     """
     rules = range(len(RULES))
     one = patterns.agg(F.array_sort(F.collect_list(F.struct(F.col("v").alias("v"), F.col("n").cast("double").alias("n")))).alias("all"))
@@ -118,19 +115,24 @@ def estimated(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def maximised(t: Column) -> Column:
         """New parameters from patterns with their posterior p."""
 
+        more = 2 + WEIGHT * _sum(t, lambda x: x["n"])
+
+        def mean(right: Column, voted: Column, start: float) -> Column:
+            return (right + more * start) / (voted + more)
+
         def on_good(j: int) -> Column:
             vote = lambda x: F.get(x["v"], F.lit(j))
             right = _sum(t, lambda x: F.when(vote(x) > 0, x["n"] * x["p"]).otherwise(0.0))
             voted = _sum(t, lambda x: F.when(vote(x) != 0, x["n"] * x["p"]).otherwise(0.0))
-            return _clip((right + 2 * ON_GOOD) / (voted + 2), ON_GOOD_RANGE)
+            return mean(right, voted, ON_GOOD)
 
         def on_bad(j: int) -> Column:
             vote = lambda x: F.get(x["v"], F.lit(j))
             right = _sum(t, lambda x: F.when(vote(x) < 0, x["n"] * (1 - x["p"])).otherwise(0.0))
             voted = _sum(t, lambda x: F.when(vote(x) != 0, x["n"] * (1 - x["p"])).otherwise(0.0))
-            return _clip((right + 2 * ON_BAD) / (voted + 2), ON_BAD_RANGE)
+            return mean(right, voted, ON_BAD)
 
-        share = _clip((_sum(t, lambda x: x["n"] * x["p"]) + 2 * PRIOR) / (_sum(t, lambda x: x["n"]) + 2), PRIOR_RANGE)
+        share = mean(_sum(t, lambda x: x["n"] * x["p"]), _sum(t, lambda x: x["n"]), PRIOR)
         return F.struct(share.alias("prior"), F.array(*map(on_good, rules)).alias("on_good"), F.array(*map(on_bad, rules)).alias("on_bad"))
 
     def round_(s: Column, _: Column) -> Column:

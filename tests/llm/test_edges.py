@@ -298,16 +298,16 @@ def test_quality_posterior(spark):
     data = [([1.0] * m, 900), ([-1.0, 1.0, 1.0, -1.0, *[1.0] * (m - 4)], 40), ([0.0, -1.0, *[1.0] * (m - 2)], 7), ([1.0] * (m - 1) + [0.0], 30)]
     r = quality.estimated(spark.createDataFrame(data, "v array<double>, n long")).first()
     prior, good, bad = quality.PRIOR, [quality.ON_GOOD] * m, [quality.ON_BAD] * m
-    clip = lambda x, b: max(b[0], min(b[1], x))
+    more = 2 + quality.WEIGHT * sum(n for _, n in data)
     for _ in range(quality.ROUNDS):
         p = []
         for v, _n in sorted(data):
             z = math.log(prior / (1 - prior)) + sum(math.log(g / (1 - b)) if x > 0 else math.log((1 - g) / b) if x < 0 else 0 for x, g, b in zip(v, good, bad, strict=True))
             p.append(1 / (1 + math.exp(-z)))
         rows = [(v, n, y) for (v, n), y in zip(sorted(data), p, strict=True)]
-        prior = clip((sum(n * y for _, n, y in rows) + 2 * quality.PRIOR) / (sum(n for _, n, _ in rows) + 2), quality.PRIOR_RANGE)
-        good = [clip((sum(n * y for v, n, y in rows if v[j] > 0) + 2 * quality.ON_GOOD) / (sum(n * y for v, n, y in rows if v[j]) + 2), quality.ON_GOOD_RANGE) for j in range(m)]
-        bad = [clip((sum(n * (1 - y) for v, n, y in rows if v[j] < 0) + 2 * quality.ON_BAD) / (sum(n * (1 - y) for v, n, y in rows if v[j]) + 2), quality.ON_BAD_RANGE) for j in range(m)]
+        prior = (sum(n * y for _, n, y in rows) + more * quality.PRIOR) / (sum(n for _, n, _ in rows) + more)
+        good = [(sum(n * y for v, n, y in rows if v[j] > 0) + more * quality.ON_GOOD) / (sum(n * y for v, n, y in rows if v[j]) + more) for j in range(m)]
+        bad = [(sum(n * (1 - y) for v, n, y in rows if v[j] < 0) + more * quality.ON_BAD) / (sum(n * (1 - y) for v, n, y in rows if v[j]) + more) for j in range(m)]
     assert r["prior"] == pytest.approx(prior) and list(r["on_good"]) == pytest.approx(good) and list(r["on_bad"]) == pytest.approx(bad)
 
 

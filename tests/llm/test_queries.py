@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from brute import chat_digest, components, figures, fingerprint, ids_crc, targets, warc_rows, words
 from notelake.llm import queries as q
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -107,6 +108,22 @@ def test_quality(spark, sf_dir, docs):
     assert sum(not k for k, y in judged if not y) >= 0.8 * sum(not y for _, y in judged)
 
 
+def test_quality_against_all_must_pass(spark):
+    """On labelled documents past the base rules the posterior keeps good ones that one bad vote would cost, and rejects as
+    many bad ones; no estimate is at 0 or 1."""
+    from notelake.llm import quality
+
+    folder = "/root/testdata/sf0.01"
+    rows = quality.judged(spark.read.parquet(f"{folder}/documents.parquet"), ["doc_id"]).filter("not base_failed")
+    one = rows.groupBy(F.col("votes").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    r = quality.estimated(one).first()
+    assert all(0.001 < x < 0.9999 for x in [r["prior"], *r["on_good"], *r["on_bad"]])
+    passes = F.forall("votes", lambda v: v >= 0)
+    got = rows.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count_if(passes).alias("passes"), F.count_if(passes & ~F.col("kept")).alias("lost"), F.count_if(F.col("kept") & ~passes).alias("won"))
+    bad, good = got.orderBy("quality").collect()
+    assert good["won"] > 0 and good["lost"] == 0 and bad["kept"] == bad["passes"]
+
+
 def test_packing(spark, sf_dir, docs, tokenizer):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in q.op9_packing(spark, sf_dir).collect():
