@@ -108,10 +108,7 @@ class VersionedTable:
 
     def read(self) -> DataFrame:
         """The current version; empty where there is none."""
-        v = self.version
-        if v is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{v}")
+        return self.at_pin(self.version)
 
     def overwrite(self, df: DataFrame) -> str:
         state, v = self._state(), f"v-{uuid.uuid4().hex}"
@@ -126,11 +123,20 @@ class VersionedTable:
     def drop(self) -> None:
         remove(self.spark, self.path)
 
-    def backup(self, target: str) -> str:
-        """Copies the current version to a folder of its own and returns it."""
-        out = f"{target.rstrip('/')}/{self.version or 'empty'}"
-        self.read().write.mode("overwrite").parquet(out)
-        return out
+    def pin(self) -> str | None:
+        """What is current, for ``at_pin``; equal as long as nothing is written."""
+        return self.version
+
+    def at_pin(self, pin: str | None) -> DataFrame:
+        """The rows of a version that was pinned; reading fails once ``keep`` newer ones have come."""
+        return self.spark.createDataFrame([], self.schema) if pin is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{pin}")
+
+    def pin_name(self, pin: str | None) -> str | None:
+        return pin
+
+    def replace(self, rows: DataFrame) -> str:
+        """Makes the table hold these rows."""
+        return self.overwrite(rows)
 
 
 class BucketedTable:
@@ -277,24 +283,35 @@ class BucketedTable:
     def drop(self) -> None:
         remove(self.spark, self.path)
 
-    def backup(self, target: str) -> str:
-        """Copies the current rows to a folder of their own and returns it."""
-        out = f"{target.rstrip('/')}/{self.version or 'empty'}"
-        self.read().write.mode("overwrite").parquet(out)
-        return out
+    def pin(self) -> tuple[int, dict | None]:
+        """What is current, for ``at_pin``; equal as long as nothing is committed."""
+        return self.log.read()
 
+    def at_pin(self, pin: tuple[int, dict | None]) -> DataFrame:
+        """The rows of a state that was pinned; reading fails once ``keep`` newer ones have come."""
+        return self._read(pin[1])
 
-#: What lies beside the rows of a bucket: its number, and the values of its indexed columns.
-_VALUES = "bucket int, column string, value string"
+    def pin_name(self, pin: tuple[int, dict | None]) -> str | None:
+        return pin[1] and f"{pin[0]}:{pin[1]['version']}"
 
+    def replace(self, rows: DataFrame) -> str:
+        """Makes the table hold these rows, and none that another writer commits meanwhile."""
+        from .commits import Conflict
 
-def backed_up(target: str, tables: dict[str, VersionedTable | BucketedTable | DataFrame]) -> dict[str, str]:
-    """Copies tables, such as the index, the state and the notes, to folders by their names; where each went."""
-    out = {}
-    for name, t in tables.items():
-        if isinstance(t, DataFrame):
-            out[name] = f"{target.rstrip('/')}/{name}/rows"
-            t.write.mode("overwrite").parquet(out[name])
-        else:
-            out[name] = t.backup(f"{target.rstrip('/')}/{name}")
-    return out
+        written = None
+        while True:
+            number, state = self.log.read()
+            state = state or {"version": None, "count": self.buckets, "buckets": {}, "rows": {}}
+            if written is None or written[0] != state["count"]:
+                written = (state["count"], *self._write(rows, state["count"]))
+            try:
+                self._commit(number, state, written[1], set(state["buckets"]), written[2], state["count"])
+                break
+            except Conflict:
+                log.info("%s changed meanwhile", self.path)
+        self._grow()
+        return written[1]
+
+
+#: What lies beside the rows of a bucket: its number, and the values of its indexed columns.
+_VALUES = "bucket int, column string, value string"

@@ -181,7 +181,7 @@ def test_storage(spark, tmp_path):
     for i in range(5):
         t.overwrite(t.read().unionByName(spark.createDataFrame([(i, "x")], "a int, b string")))
     assert t.read().count() == 5 and len([d for d in (tmp_path / "t").iterdir() if d.name.startswith("v-")]) == 3
-    assert spark.read.parquet(t.backup(f"{tmp_path}/backup")).count() == 5
+    assert t.at_pin(t.pin()).count() == 5
     (tmp_path / "t" / "CURRENT.json").write_text("{broken")
     (tmp_path / "t" / ".CURRENT.json.crc").unlink(missing_ok=True)
     assert t.read().count() == 0
@@ -310,10 +310,6 @@ def test_index_writes_touched_buckets(spark, tmp_path):
     # a chunk that moves to another note is replaced where it was
     index.upsert(rows([1], "moved").withColumn("note_id", F.lit("other")))
     assert index.count() == 98 and index.ids().count() == 98
-    from notelake.sources.storage import backed_up
-
-    kept = backed_up(f"{tmp_path}/backup", {"index": index.table, "notes": rows([1, 2], "n")})
-    assert spark.read.parquet(kept["index"]).count() == 98 and spark.read.parquet(kept["notes"]).count() == 2
 
 
 def test_sync_stream(spark, tmp_path):
