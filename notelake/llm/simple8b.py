@@ -130,23 +130,54 @@ MOST_FILES = 1 << 15
 _SLICE = 1 << 17  # ids coded at a time
 
 
+_CELLS = 1 << 16  # cells of the first histogram of doc_id; later ones split at most ``MOST_FILES`` cells into 16 each
+_NULL = -(1 << 63)  # where rows without doc_id lie
+
+
 def file_bounds(docs: DataFrame, docs_per_file: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(edges, first, files): ids up to an edge and past the one before lie in ``files`` files from ``first`` on.
 
-    Edges are approximate quantiles of doc_id, a bounded summary of the column; an id that holds as much as several
-    files is an edge several times, and its rows are dealt to as many files.
+    Edges come from a histogram of doc_id by its leading bits, counted in tasks: only counts of cells move, as many as the
+    histogram has, however many rows there are. A cell that holds an edge and more than half a file is split by its next
+    four bits, down to a single id. An id (or null) that holds as much as several files has as many for itself.
     """
-    n = docs.count()
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"))
+    n, low, high = ids.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
     wanted = max(1, min(MOST_FILES, -(-n // docs_per_file)))
-    cuts = []
-    if wanted > 1:
-        q = F.percentile_approx(F.col("doc_id").cast("long"), [i / wanted for i in range(1, wanted)], max(1000, 16 * wanted))
-        cuts = docs.agg(q.alias("q")).first()["q"] or []
-    edges, files = np.unique(np.array(cuts, dtype=np.int64), return_counts=True)
+    if wanted == 1:
+        return np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+    ranks, half = [-(-i * n // wanted) for i in range(1, wanted)], n // wanted // 2
+    shift = 0
+    while (high >> shift) - (low >> shift) >= _CELLS:
+        shift += 1
+    cells = _counted(ids, shift)  # (cell, shift, rows), ascending
+    while True:
+        sums = np.cumsum([c[2] for c in cells])
+        at = np.searchsorted(sums, ranks)  # the cell in which a file ends
+        crowded = {int(i) for i in np.unique(at) if cells[i][1] and cells[i][2] > half}
+        if not crowded:
+            break
+        finer = max(0, shift - 4)
+        parts = _counted(ids, finer, shift, [cells[i][0] for i in sorted(crowded)])
+        cells = sorted([*(c for i, c in enumerate(cells) if i not in crowded), *parts], key=lambda c: c[0] << c[1])
+        shift = finer
+    edges, files = np.unique(np.array([((cells[i][0] + 1) << cells[i][1]) - 1 for i in at], dtype=np.int64), return_counts=True)
+    before = np.setdiff1d(edges[(files > 1) & (edges > low)] - 1, edges)  # ids below one that is dealt keep their order
+    order = np.argsort(np.r_[edges, before])
+    edges, files = np.r_[edges, before][order], np.r_[files, np.ones(len(before), dtype=np.int64)][order]
     files = np.append(files, 1)  # past the last edge
     return edges, np.cumsum(files) - files, files
 
 
+def _counted(ids: DataFrame, shift: int, above: int = 0, only: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """Rows of each cell of ids that agree past ``shift`` bits; of those cells at ``above`` bits that are asked for."""
+    if only is not None:
+        wanted = ids.sparkSession.createDataFrame([(c,) for c in only], "cell long")  # at most ``MOST_FILES``
+        ids = ids.withColumn("cell", F.shiftright("id", above)).join(F.broadcast(wanted), "cell", "left_semi")
+    counts = ids.groupBy(F.shiftright("id", shift).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return sorted((r["cell"], shift, r["n"]) for r in counts.collect())  # bounded by the number of cells
+
+
 def token_payloads(docs: DataFrame, tokenizer: str, end_id: int, edges: np.ndarray, first: np.ndarray, files: np.ndarray) -> DataFrame:
     """(file, doc_id, n_tokens, crc, payload): the coded ids of each document with ``end_id`` after them."""
 
@@ -165,7 +196,7 @@ def token_payloads(docs: DataFrame, tokenizer: str, end_id: int, edges: np.ndarr
                     raw, stops = memoryview(own.tobytes()), (np.cumsum(lengths) * 4).tolist()
                     crc = [zlib.crc32(raw[s:e]) for s, e in zip([0, *stops], stops, strict=False)]
                     rows = b.column(0).slice(at, len(part)).cast(pa.int64())
-                    known = rows.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+                    known = rows.fill_null(_NULL).to_numpy(zero_copy_only=False)
                     i = np.searchsorted(edges, known, side="left")
                     file = first[i] + (dealt + np.arange(len(part))) % files[i]
                     dealt += len(part)
@@ -183,7 +214,14 @@ def _payloads(words: np.ndarray, per_block: np.ndarray, blocks: np.ndarray) -> p
     out = np.empty(len(words) + len(per_block), dtype="<u8")
     out[np.arange(len(per_block)) + np.repeat(np.r_[0, word_ends[:-1]], blocks)] = per_block
     out[np.arange(len(words)) + np.repeat(block_ends, own)] = words
-    return pa.BinaryArray.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer((np.r_[0, ends] * 8).astype(np.int32)), pa.py_buffer(out)])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(blocks), [None, _offsets(ends * 8), pa.py_buffer(out)])
+
+
+def _offsets(ends: np.ndarray) -> pa.Buffer:
+    """Offsets of a binary column; OverflowError past 2 GB, which one document of 2^28 ids or more can reach."""
+    if len(ends) and int(ends[-1]) >= 1 << 31:
+        raise OverflowError(f"{int(ends[-1])} bytes of ids in one batch: a document is too long")
+    return pa.py_buffer(np.r_[0, ends].astype(np.int32))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, docs_per_file: int = 16384) -> DataFrame:
@@ -244,9 +282,9 @@ class _Writer:
         return self.path, len(self.docs), self.ids
 
 
-def read_file(uri: str, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc ids, which of them are null, lengths, all their ids) of a file, ``step`` documents at a time; raises
-    ValueError on damage."""
+def read_file(uri: str, step: int = 256, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc ids, which of them are null, lengths, all their ids) of a file, at most ``step`` documents and ``most`` ids at a
+    time, or one document that has more; raises ValueError on damage."""
     with open_file(uri) as f:
         size = f.size()
         if size < len(MAGIC) + _FOOT.size or f.read_at(8, 0) != MAGIC:
@@ -260,13 +298,16 @@ def read_file(uri: str, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarra
         offsets = np.frombuffer(f.read_at(8 * n_blocks, 8 + 8 * words + 24 * n), dtype="<u8").astype(np.int64)
         offsets = np.append(offsets, words)
         first = np.cumsum(np.r_[0, docs[:, 2]])
-        for i in range(0, n, step):
-            rows = docs[i : i + step]
+        ends, i = np.cumsum(docs[:, 1]), 0
+        while i < n:
+            fit = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right"))
+            rows = docs[i : min(i + step, max(fit, i + 1))]
             a, b = first[i], first[i + len(rows)]
             data = np.frombuffer(f.read_at(8 * int(offsets[b] - offsets[a]), 8 + 8 * int(offsets[a])), dtype="<u8")
             sizes = np.full(b - a, BLOCK, dtype=np.int64)
             sizes[np.cumsum(rows[:, 2]) - 1] = (rows[:, 1] - 1) % BLOCK + 1
-            yield rows[:, 0], null[i : i + step], rows[:, 1], decode(data, np.diff(offsets[a : b + 1]), sizes)
+            yield rows[:, 0], null[i : i + len(rows)], rows[:, 1], decode(data, np.diff(offsets[a : b + 1]), sizes)
+            i += len(rows)
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -283,7 +324,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
             for uri, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for doc_ids, null, lengths, ids in read_file(uri):
                     ends = np.cumsum(lengths)
-                    raw = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.r_[0, ends] * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                    raw = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, _offsets(ends * 4), pa.py_buffer(ids.astype("<u4"))])
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=null), pa.array(at + ends - lengths), pa.array(lengths), raw], ["doc_id", "start", "n_tokens", "ids"])
                     at += int(ends[-1])
 
