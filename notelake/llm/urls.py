@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,33 +56,42 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return (m[1].translate(_UPPER), m[2]) if m else ("", "")
 
 
-def grams(host: str, path: str, low: int = 3, high: int = 5) -> list[str]:
-    """Character n-grams of the host and of the path, marked apart, ends included."""
-    out = []
-    for mark, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
-        for n in range(low, high + 1):
-            out += [mark + text[i : i + n] for i in range(len(text) - n + 1)]
-    return out
+def grams(mark: str, text: str, low: int = 3, high: int = 5) -> list[str]:
+    """Character n-grams of a host or path, marked apart, ends included."""
+    text = f"^{text}$"
+    return [mark + text[i : i + n] for n in range(low, high + 1) for i in range(len(text) - n + 1)]
+
+
+#: Share of a URL's squared length that its host has; its path has the rest. What the host says is alike on all its pages.
+HOST_SHARE = 0.99
 
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Logistic regression; the weights of ``2 ** bits`` hashed n-grams (CRC-32 of their UTF-8) and a bias."""
+    """Logistic regression; the weights of ``2 ** bits`` hashed n-grams (CRC-32 of their UTF-8), a bias, and the share of
+    unwanted URLs in the labels."""
 
     bits: int
     weights: np.ndarray
     bias: float
-
-    def features(self, host: str, path: str) -> np.ndarray:
-        """Slots of the n-grams; a URL's vector has 1 at each, scaled to unit length."""
-        mask = (1 << self.bits) - 1
-        return np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) & mask for g in grams(host, path)), dtype=np.int64))
+    share: float = 0.5
+
+    def features(self, host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the n-grams and their values, alike among a host's and among a path's: each has its share of a vector
+        of unit length, so neither part weighs less beside a longer one."""
+        mask, slots, values = (1 << self.bits) - 1, [], []
+        for mark, text, share in (("h", host, HOST_SHARE), ("p", path, 1 - HOST_SHARE)):
+            own = np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) & mask for g in grams(mark, text)), dtype=np.int64))
+            slots.append(own)
+            values.append(np.full(len(own), np.sqrt(share / max(1, len(own)))))
+        return np.concatenate(slots), np.concatenate(values)
 
     def probability(self, host: str, path: str) -> float:
-        """Probability that the URL is unwanted; of one without host and path, that of the bias."""
-        f = self.features(host, path)
-        z = self.bias + (self.weights[f].sum() / np.sqrt(len(f)) if len(f) else 0.0)
-        return float(1 / (1 + np.exp(-z)))
+        """Probability that the URL is unwanted; of one without any n-gram the labels' share (a bias says nothing alone)."""
+        slots, values = self.features(host, path)
+        if not len(slots):
+            return self.share
+        return float(1 / (1 + np.exp(-(self.bias + (self.weights[slots] * values).sum()))))
 
 
 #: Weight of half the squared length of the weights beside the mean loss.
@@ -96,9 +105,9 @@ def trained(labelled: Sequence[tuple[str, int]], bits: int = 18, rounds: int = 1
     rows = [(model.features(*host_and_path(u)), y) for u, y in labelled]
     if not rows:
         return model
-    y, sizes = np.array([r[1] for r in rows], dtype=float), np.array([len(r[0]) for r in rows])
-    slots, col = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-    row, value = np.repeat(np.arange(len(rows)), sizes), np.repeat(1 / np.sqrt(np.maximum(1, sizes)), sizes)
+    y, sizes = np.array([r[1] for r in rows], dtype=float), np.array([len(r[0][0]) for r in rows])
+    slots, col = np.unique(np.concatenate([r[0][0] for r in rows]), return_inverse=True)
+    row, value = np.repeat(np.arange(len(rows)), sizes), np.concatenate([r[0][1] for r in rows])
     w, b = np.zeros(len(slots)), 0.0
     ahead_w, ahead_b, root = w, b, np.sqrt(penalty / 0.5)  # the loss curves by 0.5 at most: unit vectors and a bias
     momentum = (1 - root) / (1 + root)
@@ -110,7 +119,7 @@ def trained(labelled: Sequence[tuple[str, int]], bits: int = 18, rounds: int = 1
         w, b = new_w, new_b
     weights = np.zeros(1 << bits)
     weights[slots] = w
-    return UrlModel(bits, weights, float(b))
+    return UrlModel(bits, weights, float(b), float(y.mean()))
 
 
 def held_out(by_word: bool = False, folds: int = 5, **options) -> list[tuple[str, int, float]]:
@@ -128,17 +137,22 @@ def held_out(by_word: bool = False, folds: int = 5, **options) -> list[tuple[str
     return out
 
 
-def matching_rule(host: str, path: str, rules: dict[str, str]) -> str | None:
-    """The longest rule (host and start of path; ties to the lesser) that fits the host or a parent domain of it."""
-    best = None
+def by_domain(rules: Iterable[str]) -> dict[str, list[tuple[str, str]]]:
+    """(start of path, rule) by the rules' hosts."""
+    out: dict[str, list[tuple[str, str]]] = {}
+    for rule in rules:
+        at = rule.find("/")
+        out.setdefault(rule[:at], []).append((rule[at:], rule))
+    return out
+
+
+def matching_rule(host: str, path: str, rules: dict[str, list[tuple[str, str]]]) -> str | None:
+    """The longest rule (host and start of path; ties to the lesser) that fits the host or a parent domain of it; of rules
+    ``by_domain`` only those of these domains are tried."""
     labels = host.split(".")
-    for i in range(len(labels)):
-        domain = ".".join(labels[i:])
-        for rule in rules:
-            at = rule.find("/")
-            if rule[:at] == domain and path.startswith(rule[at:]) and (best is None or (-len(rule), rule) < (-len(best), best)):
-                best = rule
-    return best
+    domains = (".".join(labels[i:]) for i in range(len(labels)))
+    fit = [rule for d in domains for start, rule in rules.get(d, ()) if path.startswith(start)]
+    return min(fit, key=lambda rule: (-len(rule), rule), default=None)
 
 
 #: The rules of the query.
@@ -150,11 +164,11 @@ def judged_urls(pages: DataFrame, rules: dict[str, str] = RULES, labelled: Seque
     where the model finds the URL unwanted with at least ``threshold``.
 
     Rules are ``host/path``: they fit the host and its subdomains where the path starts alike. Null urls and those
-    without ``://`` have an empty host and path, fit no rule and get the model's verdict. Only the ids and urls
-    are read. Rows that repeat are judged each; an empty table gives no rows. The model (bounded by its number of
-    slots) goes to the tasks with the function.
+    without ``://`` have an empty host and path, fit no rule and get the verdict of the labels' share of unwanted ones
+    (allow as shipped). Only the ids and urls are read. Rows that repeat are judged each; an empty table gives no rows.
+    The model (bounded by its number of slots) goes to the tasks with the function.
     """
-    model = trained(labelled_urls() if labelled is None else labelled)
+    model, own_rules = trained(labelled_urls() if labelled is None else labelled), by_domain(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "host", "path", "rule", "p_unwanted", "verdict"]
@@ -162,7 +176,7 @@ def judged_urls(pages: DataFrame, rules: dict[str, str] = RULES, labelled: Seque
             out = []
             for url in b.column(1).to_pylist():
                 host, path = host_and_path(url)
-                rule, p = matching_rule(host, path, rules), model.probability(host, path)
+                rule, p = matching_rule(host, path, own_rules), model.probability(host, path)
                 out.append((host, path, rule, p, rules[rule] if rule else "block" if p >= threshold else "allow"))
             cols = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]

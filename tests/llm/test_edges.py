@@ -143,6 +143,34 @@ def test_simple8b_hot_id(spark):
     assert [r["doc_id"] for r in back] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0) if d is not None else (False, 0))
 
 
+def test_simple8b_bounds(spark):
+    """Files hold about as many rows each, whatever the spread of the ids; only an id of its own is dealt to several."""
+    r = random.Random(4)
+    spread = [r.randrange(-(1 << 63), 1 << 63) for _ in range(300)] + [5 + i for i in range(400)] + [1 << 40 | i << 3 for i in range(300)] + [9] * 200 + [None] * 90
+    for ids in (spread, list(range(1000)), [(1 << 63) - 1, -(1 << 63)] * 40, [3] * 50, [None] * 30):
+        docs = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        edges, first, files = simple8b.file_bounds(docs, 50)
+        assert 0 <= files.sum() - -(-len(ids) // 50) <= (files > 1).sum() and (np.diff(edges) > 0).all() and first.tolist() == (np.cumsum(files) - files).tolist()
+        known = np.array([-(1 << 63) if i is None else i for i in ids], dtype=np.int64)
+        at = np.searchsorted(edges, known, side="left")
+        for k in np.unique(at):
+            own = known[at == k]
+            assert len(own) <= 2 * 50 * files[k] and (files[k] == 1 or (own == edges[k]).all())
+    assert [x.tolist() for x in simple8b.file_bounds(docs.limit(0), 50)] == [[], [0], [1]]
+
+
+def test_simple8b_steps(odd):
+    """Documents are read by the number of their ids; one with more comes alone."""
+    path = simple8b.write_tokens(odd, q.tokenizer_path()).first()["path"]
+    whole = [np.concatenate(x) for x in zip(*simple8b.read_file(path), strict=True)]
+    for most in (1, 7, 1000):
+        parts = list(simple8b.read_file(path, most=most))
+        assert all(len(ids) <= most or len(lengths) == 1 for _, _, lengths, ids in parts) and len(parts) > 1
+        assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*parts, strict=True), whole, strict=True))
+    with pytest.raises(OverflowError):
+        simple8b._offsets(np.array([1 << 31]))
+
+
 def test_simple8b_damage(odd, tmp_path):
     path = simple8b.write_tokens(odd, q.tokenizer_path()).first()["path"].removeprefix("file://")
     data = open(path, "rb").read()
@@ -317,7 +345,7 @@ def test_urls_edges(spark):
     got = [tuple(r)[1:4] + (r["verdict"],) for r in urls.judged_urls(pages).collect()]
     assert got[0][:3] == got[1][:3] == ("", "", None)
     assert got[2:6] == [("a.example.net", "/en/x", "example.net/en/", "allow"), ("a.net", "", None, got[3][3]), ("b.org", "/fr/", "org/fr/", "allow"), ("cheapcasino.example.org", "/x", None, "block")]
-    assert got[6][:2] == ("h", "/b://c") and urls.judged_urls(pages.limit(0)).count() == 0
+    assert got[0][3] == got[1][3] == "allow" and got[6][:2] == ("h", "/b://c") and urls.judged_urls(pages.limit(0)).count() == 0
 
 
 def test_urls_held_out():
@@ -335,6 +363,15 @@ def test_urls_held_out_by_word():
     assert urls.THRESHOLD == next(t / 20 for t in range(1, 20) if blocked(t / 20, 0) <= 0.02) and blocked(urls.THRESHOLD, 1) >= 0.3
 
 
+def test_urls_pages_of_a_host():
+    """Pages of a host get one verdict, whatever the digits and lengths of their paths, save hosts at the threshold."""
+    model = urls.trained(urls.labelled_urls())
+    hosts = [f"www.{h}.example.com" for h, _, _ in urls.labelled_hosts()[::5]] + [f"{w}.example.org" for w in ("ththat", "qorivel", "casinoland", "slowfood")]
+    paths = ["/", "/en/1", "/fr/77.html", "/de/123456789/", "/a/very/long/path/of/many/words/0123456789/index.html"]
+    got = np.array([[model.probability(h, p) for p in paths] for h in hosts])
+    assert np.ptp(got, axis=1).max() < 0.06 and ((got >= urls.THRESHOLD).any(axis=1) != (got >= urls.THRESHOLD).all(axis=1)).mean() < 0.03
+
+
 def test_urls_long(spark):
     """Very long hosts and paths are judged whole."""
     long = "x" * 300_000
