@@ -199,12 +199,14 @@ def test_token_counts(spark, sf_dir, docs):
 
 
 def _grams(host, path):
-    """Hashed 3- to 5-grams of a host and a path."""
+    """Values of hashed 3- to 5-grams: those of the host have 0.99 of the squared length, those of the path the rest."""
     import zlib
 
-    out = set()
-    for mark, text in (("h", "^" + host + "$"), ("p", "^" + path + "$")):
-        out |= {zlib.crc32((mark + text[i : i + n]).encode()) % (1 << 18) for n in (3, 4, 5) for i in range(len(text) + 1 - n)}
+    out = defaultdict(float)
+    for mark, text, share in (("h", "^" + host + "$", 0.99), ("p", "^" + path + "$", 0.01)):
+        own = {zlib.crc32((mark + text[i : i + n]).encode()) % (1 << 18) for n in (3, 4, 5) for i in range(len(text) + 1 - n)}
+        for g in own:
+            out[g] += (share / len(own)) ** 0.5
     return out
 
 
@@ -222,15 +224,16 @@ def _newton(labelled, penalty):
     y = np.array([t for _, t in labelled], dtype=float)
     places = defaultdict(list)
     for i, r in enumerate(rows):
-        for g in r:
-            places[g].append(i)
-    n, scale = len(rows), np.array([len(r) ** -0.5 for r in rows])
+        for g, x in r.items():
+            places[g].append((i, x))
+    n = len(rows)
 
     def against(grams):
         out = np.zeros(n)
-        for g in grams:
-            out[places.get(g, [])] += 1
-        return out * scale * len(grams) ** -0.5
+        for g, x in grams.items():
+            for i, z in places.get(g, []):
+                out[i] += x * z
+        return out
 
     kernel = np.array([against(r) for r in rows])
     a, b = np.zeros(n), 0.0
