@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .context import SYSTEM_TEXT
-from .text import nfkc, stripped
+from .text import given_back, nfkc, stripped
 
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 FILTERED = "[FILTERED]"
@@ -87,6 +87,7 @@ def _hits(needs: list[tuple[str, ...]]) -> Callable[[Column], Column]:
 
     @F.arrow_udf("array<int>")
     def found(texts: pa.Array) -> pa.Array:
+        given_back()
         out = np.zeros((len(texts), len(each)), dtype=bool)
         some = pc.match_substring_regex(texts, "|".join(each), ignore_case=True).fill_null(False)
         at = np.flatnonzero(some.to_numpy(zero_copy_only=False))
