@@ -18,7 +18,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words a shingle, a similarity of 0.8 or more. Of rows that
+    """One document of each group of near copies: five words a shingle, a similarity of 0.8 or more. SimHash fingerprints
+    of 64 bits link rows first, in buckets of agreeing blocks; as a pair of 0.8 mostly differs in more bits than their
+    radius, rows that they leave apart meet in buckets of MinHash bands, too. An exact comparison decides. Of rows that
     repeat one stays; a pair of similarity 0.8 is missed with probability 1e-4 at most (7e-5 by its bands, 3e-5 by its
     fingerprints), others less; rows of one id with texts of different groups, and rows without id, stay in each group;
     texts without words are one group; ties go by the row's hash; an empty table stays empty."""

@@ -1,5 +1,6 @@
-"""Near copies by word shingles: MinHash bands deal rows into buckets, wide SimHash fingerprints compared in bit slices
-find candidates inside them, an exact comparison of shingle sets decides."""
+"""Near copies by word shingles: SimHash groups (``simhash.fingerprint_groups``) come first; of what they leave apart
+MinHash bands deal rows into buckets, wide SimHash fingerprints compared in bit slices find candidates inside them. An
+exact comparison of shingle sets decides on all."""
 
 from __future__ import annotations
 
@@ -69,23 +70,33 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def narrow(hashes: np.ndarray) -> int:
+    """SimHash of 64 bits of a set of shingles: a bit is set if it is set in over half of their hashes."""
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def signed_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text as binary, fp: XXH64 of the words, n: distinct shingles, bands) for every row."""
+    """(doc_id, text as binary, fp: XXH64 of the words, n: distinct shingles, sim: their SimHash, bands) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sizes, found = [], [], []
+            fps, sizes, sims, found = [], [], [], []
             for x in b.column(1):
                 ws = words_of(x.as_py())
                 h = shingles(ws, width)
                 fps.append(xxhash.xxh64_intdigest(b" ".join(ws), 42))
                 sizes.append(len(h))
+                sims.append(narrow(h))
                 found.append(bands(h))
-            cols = [b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "fp", "n", "bands"])
+            signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, sims)]
+            cols = [b.column(0), b.column(1), signed[0], pa.array(sizes, pa.int32()), signed[1], pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "fp", "n", "sim", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, text binary, fp long, n int, bands array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, text binary, fp long, n int, sim long, bands array<long>")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -234,11 +245,13 @@ def candidates(members: DataFrame, sketches: DataFrame, least: float, scratch: S
     return rows.mapInArrow(lean(run), "a long, b long")
 
 
-def near_roots(rows: DataFrame, width: int, least: float, scratch: Scratch) -> DataFrame:
+def near_roots(rows: DataFrame, groups: DataFrame, width: int, least: float, scratch: Scratch) -> DataFrame:
     """(fp, root) of the fingerprints that are linked, over links of ``least`` similarity or more, to others.
 
-    ``rows``: as ``signed_rows`` gives them, with ``_row``, a number of the row. Rows that share a band are candidates.
-    First each is compared with one row of the bucket; of what that leaves in different components, pairs that the
+    ``rows``: as ``signed_rows`` gives them, with ``_row``, a number of the row. ``groups``: (fp, c), rows of a SimHash
+    group and its centre, the least of them. Each row is compared with its group's centre. Rows that share a band are
+    candidates, too, as SimHash groups lack pairs that differ in more bits than their radius: first each is compared with
+    one row of the bucket, unless they are linked already; of what that leaves in different components, pairs that the
     sketches let through are compared, so a group of near copies costs as many pairs as it has rows and those that come
     close to the similarity, and every other pair of a bucket costs a few bits of a word. The result reads the tables in ``scratch``.
     """
@@ -247,14 +260,20 @@ def near_roots(rows: DataFrame, width: int, least: float, scratch: Scratch) -> D
     centre = F.min(F.struct("fp", "n"))
     buckets = entries.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), centre.alias("c")).filter("rows > 1").select("k", "c")
     shared = scratch.keep(entries.join(buckets, "k").select("k", "fp", "n", F.col("c.fp").alias("c"), F.col("c.n").alias("c_n")), "near-shared")
-    needed = shared.select("fp").distinct().join(distinct.select("fp", "_row"), "fp")
+    sizes = distinct.select("fp", "n")
+    close = groups.filter("fp <> c").select(F.col("c").alias("a"), F.col("fp").alias("b"))
+    close = close.join(sizes.select(F.col("fp").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("fp").alias("b"), F.col("n").alias("n_b")), "b")
+    close = scratch.keep(_fitting(close, least), "near-close")
+    ends = shared.select("fp").unionByName(close.select(F.col("a").alias("fp"))).unionByName(close.select(F.col("b").alias("fp")))
+    needed = ends.distinct().join(distinct.select("fp", "_row"), "fp")
     needed = scratch.keep(needed, "near-needed")
     texts = rows.select("_row", "text").join(bounded_broadcast(needed, needed.count(), 24), "_row").select("fp", "text")
     texts = scratch.keep(texts, "near-texts")
+    linked = scratch.keep(alike(close, texts, width, least), "near-links")
 
     star = shared.filter("fp <> c").select(F.col("c").alias("a"), F.col("fp").alias("b"), F.col("c_n").alias("n_a"), F.col("n").alias("n_b"))
-    star = scratch.keep(_fitting(star, least), "near-star")
-    links = scratch.keep(alike(star, texts, width, least), "near-links")
+    star = scratch.keep(_unlinked(_fitting(star, least), components(linked)).join(close, ["a", "b"], "left_anti"), "near-star")
+    links = scratch.keep(alike(star, texts, width, least).unionByName(linked), "near-links")
 
     known = components(links).withColumnRenamed("node", "fp")
     members = shared.join(known, "fp", "left").select("k", "fp", F.coalesce("root", "fp").alias("root"))
@@ -262,6 +281,13 @@ def near_roots(rows: DataFrame, width: int, least: float, scratch: Scratch) -> D
     several = members.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("k")
     left = scratch.keep(members.join(several, "k", "left_semi"), "near-left")
     sketches = scratch.keep(_sketched(texts.join(left.select("fp").distinct(), "fp", "left_semi"), width), "near-sketches")
-    pairs = candidates(left, sketches, least, scratch).join(star, ["a", "b"], "left_anti")
+    pairs = candidates(left, sketches, least, scratch).join(star.unionByName(close), ["a", "b"], "left_anti")
     more = scratch.keep(alike(scratch.keep(pairs, "near-pairs"), texts, width, least), "near-links")
     return components(links.unionByName(more)).withColumnRenamed("node", "fp")
+
+
+def _unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends lie in different components (node, root)."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.filter("root_a is null or root_b is null or root_a <> root_b").select("a", "b")

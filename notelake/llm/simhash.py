@@ -212,18 +212,31 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def fingerprint_groups(rows: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
+    """(fp, c): rows (fp, sim) whose SimHash fingerprints ``sim`` are linked, over links of at most ``radius`` differing
+    bits, to other rows, and the least fp of their group. Fingerprints meet in buckets of agreeing blocks."""
+    sims = scratch.keep(rows.groupBy("sim").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("rows")), "near-sims")
+    rooted = components(link_forest(sims.select(F.col("sim").alias("fp")), sims.count(), radius)).withColumnRenamed("node", "sim")
+    known = sims.join(rooted, "sim", "left").withColumn("root", F.coalesce("root", "sim"))
+    least = known.groupBy("root").agg(F.min("first").alias("c"), F.sum("rows").alias("rows")).filter("rows > 1").select("root", "c")
+    return rows.join(known.select("sim", "root").join(least, "root"), "sim").select("fp", "c")
+
+
 def near_deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each component of near copies stays, with all its columns: the one with the least doc_id (null
     last), of those with the least XXH64 of its words, then of the whole row. Rows that repeat a doc_id with texts of
     different components stay in each.
 
-    Near copies share at least ``similarity`` (Jaccard) of their shingles of ``width`` words; see ``neardup``. Null and
+    Near copies share at least ``similarity`` (Jaccard) of their shingles of ``width`` words. SimHash fingerprints of 64
+    bits link rows first, by buckets of agreeing blocks as in ``simhash_components``, and an exact comparison checks each
+    with its group's centre; pairs beyond that radius are found as ``neardup`` tells. Null and
     blank texts, which have no shingle, are copies of one another; texts of fewer words than ``width`` are one shingle.
     Whole texts count, however long. An empty table stays empty. Columns may have any name.
     """
     scratch = Scratch()
     rows = scratch.keep(neardup.signed_rows(docs, width).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    roots = scratch.keep(neardup.near_roots(rows, width, similarity, scratch), "near-roots")
+    groups = scratch.keep(fingerprint_groups(rows.filter("n > 0").select("fp", "sim").distinct(), scratch), "near-groups")
+    roots = scratch.keep(neardup.near_roots(rows, groups, width, similarity, scratch), "near-roots")
     own = rows.select("doc_id", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     own = scratch.keep(own, "near-own")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp"))

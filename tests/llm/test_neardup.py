@@ -5,6 +5,7 @@ import random
 import pytest
 from brute import words
 from notelake.llm import neardup, simhash
+from pyspark.sql import functions as F
 
 
 def _sets(text):
@@ -67,6 +68,27 @@ def test_repeated_ids_lose_no_group(spark):
     assert sorted(tuple(r) for r in two) == [(5, a), (5, b)]
 
 
+def test_simhash_groups_link_without_bands(spark, monkeypatch):
+    """Buckets of agreeing blocks deal rows: near copies whose fingerprints are close go though no band has them."""
+    real = neardup.signed_rows
+    monkeypatch.setattr(neardup, "signed_rows", lambda docs, width: real(docs, width).withColumn("bands", F.array().cast("array<long>")))
+    base = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join([*base[: 1500 + i], f"x{i}", *base[1501 + i :]])) for i in range(6)] + [(9, " ".join(f"y{i}" for i in range(50)))]
+    sims = [neardup.narrow(neardup.shingles(neardup.words_of(t.encode()), 5)) for _, t in rows]
+    assert all((sims[0] ^ s).bit_count() <= 3 for s in sims[:6]) and (sims[0] ^ sims[6]).bit_count() > 3
+    kept = simhash.near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == first_of_groups(dict(rows)) == [0, 9]
+
+
+def test_close_fingerprints_alone_make_no_copy(spark, monkeypatch):
+    """The exact comparison decides: rows of one SimHash group that share too little stay."""
+    real = neardup.signed_rows
+    monkeypatch.setattr(neardup, "signed_rows", lambda docs, width: real(docs, width).withColumn("sim", F.lit(7).cast("long")))
+    rows = [(i, " ".join(f"{c}{j}" for j in range(40))) for i, c in enumerate("aabc")]
+    kept = simhash.near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2, 3]
+
+
 @pytest.fixture(scope="module")
 def texts(spark, sf_dir):
     return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
