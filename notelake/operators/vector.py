@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..config import SearchFilter
 
 _QUERIES = 1 << 17  # of a cell, on average
-_ROWS = 1 << 17  # rows of a cell, on average
+_ROWS = 1 << 15  # rows of a cell, on average
 _STEP = 512  # queries that are multiplied at a time
 _MERGED = 256  # cells whose best rows meet at once
 
@@ -121,12 +121,12 @@ def _cell(limit: int, threshold: float, id_column: str, id_type: pa.DataType, qu
             for d, (at, q) in _matrices(asked.column("vector")).items():
                 own, x = known.get(d, (None, None))
                 for begin in range(0, len(at) if own is not None else 0, _STEP):
-                    # 64 MB of products at a time; of each block of rows the best stay
+                    # 8 MB of products at a time; of each block of rows the best stay
                     parts = []
-                    for low in range(0, len(own), 32 * _STEP):
-                        s = q[begin : begin + _STEP] @ x[low : low + 32 * _STEP].T
+                    for low in range(0, len(own), 4 * _STEP):
+                        s = q[begin : begin + _STEP] @ x[low : low + 4 * _STEP].T
                         s = np.where(np.isnan(s) | ((s < threshold) if threshold > 0 else False), -np.inf, s)
-                        row, col = _best(s, place[own[low : low + 32 * _STEP]], limit)
+                        row, col = _best(s, place[own[low : low + 4 * _STEP]], limit)
                         parts.append((row, own[low + col], s[row, col]))
                     row, col, s = (np.concatenate(p) for p in zip(*parts, strict=True))
                     order = np.lexsort((place[col], -np.round(s, 9), row))
