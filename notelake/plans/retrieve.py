@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from ..sources.index import IndexTable
 from ..sources.providers import EmbeddingProvider
 
 
+_SMALL = 100_000  # candidates that go to all tasks by their ids; they are counted first
+
+
 @dataclass
 class Retrieval:
     """``chunks``: query_id, rank, score and payload; ``metrics``: per query total_candidates, keyword_candidates,
@@ -24,12 +28,14 @@ class Retrieval:
     metrics: DataFrame
 
 
-def search_batch(index: DataFrame, queries: DataFrame, options: RetrievalQuery = RetrievalQuery(), keywords: bm25.KeywordIndex | None = None, matching: DataFrame | None = None) -> Retrieval:  # noqa: B008
+def search_batch(index: DataFrame, queries: DataFrame, options: RetrievalQuery = RetrievalQuery(), keywords: bm25.KeywordIndex | None = None, matching: DataFrame | None = None, once: bool = True) -> Retrieval:  # noqa: B008
     """Answers queries (query_id, text, vector) from an index of chunks; ``matching``: its rows that the filters let
     through, where they have been looked up.
 
     Both sources give top_k * over_fetch_factor candidates. Filters and the threshold hold for the vectors only,
     unless ``filter_keyword``. Only ids and scores move until the ranks are known; payloads join after trimming.
+    ``once``: the candidates of both sources are written to the shared folder, as several steps read them, and the index
+    is reduced to their rows where it lies.
     """
     o, n = options, options.top_k * options.over_fetch_factor
     kept = vector.filtered(index, o.filters) if matching is None else matching
@@ -41,6 +47,11 @@ def search_batch(index: DataFrame, queries: DataFrame, options: RetrievalQuery =
         keyword = bm25.search(k, queries, n)
         if o.filter_keyword and o.filters.active:
             keyword = keyword.join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    if once:
+        semantic, keyword = _written(semantic), _written(keyword)
+        ids = reduce(DataFrame.unionByName, [x.select("chunk_id") for x in (semantic, keyword) if x is not None]).distinct()
+        few = ids.limit(_SMALL + 1).count() <= _SMALL
+        index = index.join(F.broadcast(ids) if few else ids, "chunk_id", "left_semi")
     if o.mode == "hybrid":
         ranked = fusion.fused([(semantic, o.semantic_weight), (keyword, o.keyword_weight)], o.rrf_k, o.symmetric_penalty)
     else:
@@ -59,6 +70,14 @@ def search_batch(index: DataFrame, queries: DataFrame, options: RetrievalQuery =
     return Retrieval(chunks, metrics.withColumns({"filters_applied": F.lit(o.filters.active), "retrieval_mode": F.lit(o.mode)}))
 
 
+def _written(candidates: DataFrame | None) -> DataFrame | None:
+    if candidates is None:
+        return None
+    path = scratch_path(candidates.sparkSession, "candidates")
+    candidates.write.parquet(path)
+    return candidates.sparkSession.read.schema(candidates.schema).parquet(path)
+
+
 def search(index: DataFrame, text: str, embedding: list[float] | None, options: RetrievalQuery = RetrievalQuery(), keywords: bm25.KeywordIndex | None = None, matching: DataFrame | None = None) -> Retrieval:  # noqa: B008
     """Answers one query; of a keyword index only the postings of its terms are read."""
     spark = index.sparkSession
@@ -66,7 +85,7 @@ def search(index: DataFrame, text: str, embedding: list[float] | None, options:
         asked = spark.createDataFrame([(0, text)], "query_id int, text string")
         keywords = bm25.for_terms(keywords, [r["term"] for r in bm25.query_terms(asked).select("term").collect()])
     one = spark.createDataFrame([(0, text, embedding or [])], "query_id int, text string, vector array<double>")
-    return search_batch(index, one, options, keywords, matching)
+    return search_batch(index, one, options, keywords, matching, once=False)
 
 
 class Retriever:
