@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions.text import keyword_tokens
 
@@ -14,6 +19,9 @@ from ..functions.text import keyword_tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 _SALT = 16  # files over which the postings of one term are spread
 _SMALL = 100_000  # terms of queries that go to all tasks; they are counted first
+_HITS = 1 << 20  # contributions to scores, and
+_CELLS = 1 << 21  # scores, that are added up at once, unless one chunk alone has more
+_HELD = 1 << 17  # scores that a task keeps beside the best of each query
 
 
 @dataclass
@@ -133,15 +141,101 @@ def query_terms(queries: DataFrame, text_column: str = "text") -> DataFrame:
     return tokens.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _weighted(index: KeywordIndex, asked: DataFrame) -> DataFrame:
+    """query_id, term, w: the weight of a query's term, for terms that the index has."""
+    return asked.join(index.terms, "term").select("query_id", "term", (F.col("n") * F.col("idf")).alias("w"))
+
+
+def _parts(index: KeywordIndex, wanted: DataFrame) -> DataFrame:
+    """Postings of the wanted terms, and ``part``: what a weight is multiplied by."""
+    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    return hits.withColumn("part", F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+
+
 def scored(index: KeywordIndex, asked: DataFrame) -> DataFrame:
     """query_id, chunk_id, score of all chunks with a term of the query. A term that repeats in a query counts as
     often. Postings join terms of queries on the term; nothing else of the index moves."""
-    wanted = asked.join(index.terms, "term").withColumn("w", F.col("n") * F.col("idf")).select("query_id", "term", "w")
-    if asked.count() <= _SMALL:  # then postings of a frequent term needn't meet in one task
-        wanted = F.broadcast(wanted)
-    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    hits = _parts(index, _weighted(index, asked))
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
+
+
+def _best(index: KeywordIndex, weights: pa.Table, names: DataType, limit: int) -> DataFrame:
+    """query_id, chunk_id, score above 0: of each task's chunks the best of each query.
+
+    Few queries meet most chunks, so pairs of both are many times the postings. Postings of the queries' terms are dealt
+    by chunk, a row a posting; a task adds up the scores of whole chunks, for all queries at once, and keeps the best.
+    """
+    spark = index.stats.sparkSession
+    term, query = (weights[c].combine_chunks().dictionary_encode("encode") for c in ("term", "query_id"))
+    code = term.indices.to_numpy()
+    by_code = np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[by_code], np.arange(len(term.dictionary) + 1))
+    columns = pa.table({"term": term.dictionary.cast(pa.string()), "code": pa.array(np.arange(len(term.dictionary)), pa.int32())})
+    rows = _parts(index, F.broadcast(spark.createDataFrame(columns))).select("chunk_id", "code", "part")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "chunk_id").sortWithinPartitions("chunk_id")
+    kind = rows.schema["chunk_id"].dataType
+    ids = query.dictionary.cast(to_arrow_type(names))
+    add = _adder(starts, query.indices.to_numpy()[by_code], weights["w"].to_numpy()[by_code], ids, limit, to_arrow_type(kind))
+    return rows.mapInArrow(add, f"query_id {names.simpleString()}, chunk_id {kind.simpleString()}, score double")
+
+
+def _adder(starts: np.ndarray, query: np.ndarray, w: np.ndarray, ids: pa.Array, limit: int, kind: pa.DataType) -> Callable[[Iterator], Iterator]:
+    """Of batches (chunk_id, code of the term, part), ascending by chunk_id, the best chunks of each query. ``starts``:
+    where the queries and weights of each term begin."""
+    width, many = len(ids), np.diff(starts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = np.zeros(width)  # scores that can't be among the best of a query any more
+        found: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # queries, scores, chunks
+        held = None
+
+        def trimmed() -> None:
+            if not found:
+                return
+            q, s, c = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), pa.concat_arrays([f[2] for f in found])
+            order = np.lexsort((np.arange(len(q)), -np.round(s, 9), q))  # chunks come in ascending order
+            place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+            last = order[place == limit - 1]
+            floor[q[last]] = np.maximum(s[last] - 1e-8, 0)
+            order = np.sort(order[place < limit])
+            found[:] = [(q[order], s[order], c.take(pa.array(order)))]
+
+        def scores(t: pa.RecordBatch, begins: np.ndarray) -> None:
+            """Adds up whole chunks, which begin at the given rows."""
+            code, part = t.column(1).to_numpy(), t.column(2).to_numpy()
+            reps = many[code]
+            ends = np.append(begins[1:], len(code))
+            hits, i = np.cumsum(reps)[ends - 1], 0
+            while i < len(begins):
+                before = hits[i - 1] if i else 0
+                j = max(i + 1, min(int(np.searchsorted(hits, before + _HITS, "right")), i + _CELLS // width))
+                a, b = begins[i], ends[j - 1]
+                r = reps[a:b]
+                at = np.arange(r.sum()) + np.repeat(starts[code[a:b]] - np.cumsum(r) + r, r)
+                chunk = np.repeat(np.arange(j - i), ends[i:j] - begins[i:j])
+                s = np.bincount(np.repeat(chunk * width, r) + query[at], np.repeat(part[a:b], r) * w[at], (j - i) * width).reshape(-1, width)
+                row, q = np.nonzero(s > floor)
+                found.append((q, s[row, q], t.column(0).take(pa.array(begins[i:j][row]))))
+                if sum(len(f[0]) for f in found) > _HELD + 2 * width * limit:
+                    trimmed()
+                i = j
+
+        for t in batches:
+            if held is not None:
+                t = pa.concat_batches([held, t])
+            same = t.column(0).dictionary_encode("encode").indices.to_numpy()
+            begins = np.append(0, np.flatnonzero(same[1:] != same[:-1]) + 1)
+            held = t.slice(begins[-1])
+            if len(begins) > 1:
+                scores(t.slice(0, begins[-1]), begins[:-1])
+        if held is not None and held.num_rows:
+            scores(held, np.zeros(1, dtype=np.int64))
+        trimmed()
+        for q, s, c in found:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), c.cast(kind), pa.array(s)], ["query_id", "chunk_id", "score"])
+
+    return run
 
 
 def search_text(index: KeywordIndex, query: str, limit: int) -> DataFrame:
@@ -154,8 +248,11 @@ def search_text(index: KeywordIndex, query: str, limit: int) -> DataFrame:
 def search(index: KeywordIndex, queries: DataFrame, limit: int, text_column: str = "text") -> DataFrame:
     """query_id, chunk_id, score, list_pos: the best chunks with a score above 0, ties to the smaller id.
 
-    Scores are ranked to nine decimals: sums of one and the same terms may differ beyond, by their order.
+    Scores are ranked to nine decimals: sums of one and the same terms may differ beyond, by their order. Up to
+    ``_SMALL`` terms of queries with their weights go to all tasks; more are joined, and pairs of query and chunk shuffled.
     """
-    hits = scored(index, query_terms(queries, text_column)).filter("score > 0")
+    wanted = _weighted(index, query_terms(queries, text_column))
+    few = wanted.limit(_SMALL + 1).toArrow()
+    hits = scored(index, query_terms(queries, text_column)).filter("score > 0") if few.num_rows > _SMALL else _best(index, few, wanted.schema["query_id"].dataType, limit)
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return hits.withColumn("list_pos", F.row_number().over(order)).filter(F.col("list_pos") <= limit)
