@@ -217,15 +217,17 @@ class BucketedTable:
         while True:
             number, state = self.log.read()
             state = state or {"version": None, "count": self.buckets, "buckets": {}, "rows": {}}
-            if written is None or state["count"] != written[0] or any(state["buckets"].get(k) != written[1].get(k) for k in written[2]):
+            if written is None or (state["buckets"] and state["count"] != written[0]) or any(state["buckets"].get(k) != written[1].get(k) for k in written[2]):
+                if not state["buckets"]:  # the first rows come into as many buckets as they ask for, and aren't written again to split them
+                    state = {**state, "count": max(state["count"], -(-keys.count() // self.most))}
                 touched = {str(r[0]) for r in keys.select(self.bucket(state["count"])).distinct().collect()}  # at most ``count``
                 if not touched:
                     return None
                 rows = new(self._read(state, set(map(int, touched))))
                 written = (state["count"], dict(state["buckets"]), touched, *self._write(rows, state["count"]))
-            _, _, touched, version, sizes = written
+            count, _, touched, version, sizes = written
             try:
-                self._commit(number, state, version, touched, sizes, state["count"])
+                self._commit(number, state, version, touched, sizes, count)
                 break
             except Conflict:
                 log.info("%s changed meanwhile", self.path)
